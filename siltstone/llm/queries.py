@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import leakage, packing, ranking, splitting
+from siltstone.llm import leakage, neardup, packing, ranking, splitting, vectors
 from siltstone.sources.tables import table
 
 SCORES = {"similarity": True, "rerank_score": True, "original_rank": False}
 LIST = ["run", "query_id"]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.nearest(table(spark, d, "document_chunks", "id", "embedding"), least=0.899)
+    near = near.where(F.col("cosine") >= 0.9 - 1e-6)
+    return near.select(F.least("id", "near_id").alias("id_a"), F.greatest("id", "near_id").alias("id_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.nearest(table(spark, d, "document_chunks", "id", "embedding"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "document_chunks", "id", "content")).where("piece = 0").select("id")
 
@@ -28,6 +38,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_ranking(spark, d).where("position <= 3").select(*LIST, "chunk_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.pairs_of(*neardup.near_duplicates(table(spark, d, "document_chunks", "id", "content")))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups_of(*neardup.near_duplicates(table(spark, d, "document_chunks", "id", "content")))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.sizes_of(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), "doc_id")
 
@@ -53,7 +71,7 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id", "kind").agg(F.countDistinct("doc_id").alias("documents"), F.max("longest").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_ranking, p7_found, p7_containers, p8_found, p8_items)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p8_found, p8_items)}
 
 TOKENS = r"regexp_extract_all({}, '[^ \t\n\r\x0B\f]+')"
 
