@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import leakage, neardup, packing, ranking, splitting, vectors
+from siltstone.llm import leakage, neardup, packing, ranking, spans, splitting, vectors
 from siltstone.sources.tables import table
 
 SCORES = {"similarity": True, "rerank_score": True, "original_rank": False}
@@ -71,7 +71,15 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id", "kind").agg(F.countDistinct("doc_id").alias("documents"), F.max("longest").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p8_found, p8_items)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.span_pairs(*spans.shared_spans(table(spark, d, "documents", "doc_id", "text")))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shares(*spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_shares)}
 
 TOKENS = r"regexp_extract_all({}, '[^ \t\n\r\x0B\f]+')"
 
