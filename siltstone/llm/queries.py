@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import leakage, neardup, packing, ranking, spans, splitting, vectors
+from siltstone.llm import leakage, neardup, packing, quality, ranking, spans, splitting, vectors
 from siltstone.sources.tables import table
 
 SCORES = {"similarity": True, "rerank_score": True, "original_rank": False}
 LIST = ["run", "query_id"]
 
 
+def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.assessed(table(spark, d, "document_chunks", "id", "content", "token_count"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_statistics(spark, d).where("kind != 'prose' and tokens >= 10").select("id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     near = vectors.nearest(table(spark, d, "document_chunks", "id", "embedding"), least=0.899)
     near = near.where(F.col("cosine") >= 0.9 - 1e-6)
@@ -79,7 +87,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(*spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_shares)}
 
 TOKENS = r"regexp_extract_all({}, '[^ \t\n\r\x0B\f]+')"
 
