@@ -17,6 +17,8 @@ EXAMPLES: list[tuple[str, str, str]] = [
     ("prose", "wrapped", _EN.replace("long ", "long\n").replace("boats, ", "boats,\n").replace("moved ", "moved\n").replace("when ", "when\n")),
     ("prose", "lines", "\n".join('"' + s.strip() + '."' for s in (_EN + " " + _FILM).split(".") if s.strip())),
     ("prose", "headed", "== History ==\n" + _EN + "\n\n" + _NEWS),
+    ("prose", "headed", "== Early life ==\n" + _NEWS), ("prose", "headed", "== Introduction ==\n" + _DE), ("prose", "lines", '"We could not reach the market," wrote Ida Holm, "and so we let the boats go."\nThe two towns lie between Norhaven\nand Lindby. In 1895, the mild law was changed, 232 stories were read\nand about 586 more were told.'),
+    ("prose", "article", _EN.replace(". ", ". [3] ") + " [25]"), ("prose", "news", _NEWS + " (Mara Voss, 1886)"), ("prose", "news", 'Debt at Sund Society was cut to 852 million from 177 million a year earlier. "The market is short," said Ole Brandt, adding that Varn Works would not leave the town.'),
     ("list", "dashes", "\n".join("- " + x for x in _ITEMS)), ("list", "numbers", "\n".join(f"{i + 1}. {x}" for i, x in enumerate(_ITEMS))), ("list", "letters", "\n".join(f"({chr(97 + i)}) {x}" for i, x in enumerate(_ITEMS))),
     ("list", "bullets", "\n".join(f"• {x.capitalize()};" for x in _ITEMS)), ("list", "plain", "\n".join(x.capitalize() for x in _ITEMS)), ("list", "inline", "Towns and trades: " + ", ".join(_ITEMS)),
     ("list", "terms", "\n".join(f"* {a.split()[0].lower()}: {b}." for a, b in zip(_ITEMS, reversed(_ITEMS), strict=True))), ("list", "dates", "\n".join(f"{m} {i + 3} – {x}" for i, (m, x) in enumerate(zip(["March", "April", "June", "July"] * 3, _ITEMS, strict=True)))),

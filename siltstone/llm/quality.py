@@ -19,7 +19,10 @@ from siltstone.plans.cut import written
 COUNTS = ("tokens", "lines")
 STATS = ("running", "common_words", "line_end_punctuation", "word_length", "symbol_ratio", "digit_ratio", "line_tokens", "marked_lines", "delimiters", "capitals", "odd_ratio", "size")
 CLASSES = ("prose", "list", "table", "junk")
-_FLOOR = 0.02  # least variance of a standardized statistic in a component
+_FLOOR, _CEILING = 0.02, 1.5  # bounds of the variance of a standardized statistic in a component
+#: Weight of the inspected start of a component, as a share of all rows: a kind that hardly occurs
+#: stays at its examples instead of drifting to the outliers of another.
+ANCHOR = 0.002
 
 
 def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +112,8 @@ def fit(stats: DataFrame, rounds: int = 15, tolerance: float = 1e-3, least_token
     kinds = list(dict.fromkeys(k for _, k, _ in EXAMPLES))
     start = Mixture(centre, scale, np.zeros((0, len(STATS))), np.zeros(0), np.zeros(0)).standard(known)
     means = np.array([start[[k == kind for _, k, _ in EXAMPLES]].mean(0) for kind in kinds])
-    model = Mixture(centre, scale, means, np.full(means.shape, 0.5), np.full(len(kinds), 1 / len(kinds)))
-    spark, last = stats.sparkSession, None
+    model = Mixture(centre, scale, means, np.full(means.shape, 0.3), np.full(len(kinds), 1 / len(kinds)))
+    anchor, spark, last = model, stats.sparkSession, None
     names = ["w", *(f"a{j}" for j in range(len(STATS))), *(f"q{j}" for j in range(len(STATS)))]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -137,10 +140,11 @@ def fit(stats: DataFrame, rounds: int = 15, tolerance: float = 1e-3, least_token
         d = len(STATS)
         a = np.array([[r[f"a{j}"] for j in range(d)] for r in sums])
         q = np.array([[r[f"q{j}"] for j in range(d)] for r in sums])
-        own = w[:, None] + 1.0  # one row's worth of the previous estimate keeps an empty component
-        means = (a + model.means) / own
-        squares = (q + model.variances + model.means**2) / own
-        model = Mixture(centre, scale, means, np.maximum(squares - means**2, _FLOOR), (w + 1) / (w.sum() + len(w)))
+        tau = max(1.0, ANCHOR * w.sum())
+        own = w[:, None] + tau
+        means = (a + tau * anchor.means) / own
+        squares = (q + tau * (anchor.variances + anchor.means**2)) / own
+        model = Mixture(centre, scale, means, np.clip(squares - means**2, _FLOOR, _CEILING), (w + tau) / (w.sum() + tau * len(w)))
         like = sum(r["like"] for r in sums) / w.sum()
         if last is not None and like - last < tolerance:
             break
