@@ -23,7 +23,10 @@ from siltstone.plans.cut import written
 #: Words in at least one of so many rows get a counted rank; their number is at most RANKED times
 #: the average number of different words of a row, whatever the size of the collection.
 RANKED = 5000
-FRAGMENTS = 4
+FRAGMENTS, MAPS = 4, 4
+#: Rows of one word that are compared in one task; the list of a more frequent word is cut into
+#: cells, each pair of which is a task of its own.
+HOT = 20_000
 RARE = 1 << 62  # ranked words are numbered from here, all others are below by their hash
 #: Classes of equal sets up to this size are written out pair by pair, larger ones as a star around
 #: their smallest id (all links between different sets are kept either way).
@@ -55,9 +58,9 @@ def gram_counts(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
 
 
 def ordered_sets(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
-    """(id, s, n, f0.., b0, b1): each row's n-grams in the global order, cut into fragments.
+    """(id, s, n, f0.., b0..): each row's n-grams in the global order, cut into fragments.
 
-    ``s`` names the set; b0 and b1 hold the parity of the set in 128 cells, so the number of cells
+    ``s`` names the set; b0 to b3 hold the parity of the set in 256 cells, so the number of cells
     in which two sets differ is a lower bound of their symmetric difference.
     """
     spark = rows.sparkSession
@@ -95,9 +98,9 @@ def ordered_sets(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
             all_, size = np.array(flat, np.int64), np.array(sizes, np.int64)
             start = np.concatenate([[0], np.cumsum(size)])
             names = [xxhash.xxh3_64_intdigest(all_[a:b].tobytes()) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
-            bit = (all_.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+            bit = (all_.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
             one = np.left_shift(np.uint64(1), bit & np.uint64(63))
-            maps = [np.bitwise_xor.reduceat(np.where((bit >> np.uint64(6)) == h, one, np.uint64(0)), start[:-1]) if len(keys) else np.zeros(0, np.uint64) for h in (0, 1)]
+            maps = [np.bitwise_xor.reduceat(np.where((bit >> np.uint64(6)) == h, one, np.uint64(0)), start[:-1]) if len(keys) else np.zeros(0, np.uint64) for h in range(MAPS)]
             piece = np.searchsorted(np.array(cuts), all_, "right")
             lists = []
             for k in range(FRAGMENTS):
@@ -106,34 +109,97 @@ def ordered_sets(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
                 lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(all_[inside])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.string()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(size.astype(np.int32)), *lists, *[pa.array(m.view(np.int64)) for m in maps]],
-                names=["id", "s", "n", *(f"f{k}" for k in range(FRAGMENTS)), "b0", "b1"],
+                names=["id", "s", "n", *(f"f{k}" for k in range(FRAGMENTS)), *(f"b{k}" for k in range(MAPS))],
             )
 
     fragments = ", ".join(f"f{k} array<bigint>" for k in range(FRAGMENTS))
-    return rows.mapInArrow(run, f"id string, s bigint, n int, {fragments}, b0 bigint, b1 bigint")
+    return rows.mapInArrow(run, f"id string, s bigint, n int, {fragments}, " + ", ".join(f"b{k} bigint" for k in range(MAPS)))
+
+
+def _joined(t: float, rows: int = 200_000, most: int = 2_000_000):
+    """A worker function: rows (g, c, i, s, n, p, b0..) sorted by (g, c, n) to candidate pairs (a, b)."""
+    both = 2 * t / (1 + t)
+
+    def met(g: np.ndarray, i: np.ndarray, s: np.ndarray, n: np.ndarray, p: np.ndarray, maps: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # Partners of a row: later rows of the same word and cell, not larger than n / t.
+        widest = int(n.max()) + 1
+        key = g * (2 * widest) + n
+        end = np.searchsorted(key, g * (2 * widest) + np.minimum(np.floor(n / t + 1e-9).astype(np.int64), 2 * widest - 1), "right")
+        count = np.where(p < n - np.ceil(n * both - 1e-9).astype(np.int64) + 1, end - np.arange(len(n)) - 1, 0)
+        need = np.ceil(np.arange(2 * widest + 1) * (t / (1 + t)) - 1e-9).astype(np.int32)
+        left, n = (n - p).astype(np.int32), n.astype(np.int32)
+        total = np.cumsum(count)
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+            own = count[a:b]
+            x = np.repeat(np.arange(a, b), own)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own) + x + 1
+            # A pair is met at its first common word, if anywhere: beyond it at most the rest is common.
+            least = need[n[x] + n[y]]
+            fit = np.nonzero((np.minimum(left[x], left[y]) >= least) & ((i[x] != i[y]) | (i[x] < 0)))[0]
+            x, y, least = x[fit], y[fit], least[fit]
+            apart = sum(np.bitwise_count(m[x] ^ m[y]).astype(np.int32) for m in maps)
+            fit = apart <= n[x] + n[y] - 2 * least
+            x, y = s[x[fit]], s[y[fit]]
+            yield np.minimum(x, y), np.maximum(x, y)
+            a = b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            g, c = table["g"].to_numpy(), table["c"].to_numpy()
+            new = np.concatenate([[True], (np.diff(g) != 0) | (np.diff(c) != 0)])
+            cut = len(g) if last else int(np.nonzero(new)[0][-1])
+            held.clear()
+            if cut < len(g):
+                held.extend(table.slice(cut).combine_chunks().to_batches())
+            if cut:
+                part = table.slice(0, cut)
+                col = lambda k: part[k].to_numpy()
+                for a, b in met(np.cumsum(new[:cut]) - 1, col("i"), col("s"), col("n").astype(np.int64), col("p").astype(np.int64), [col(f"b{k}").view(np.uint64) for k in range(MAPS)]):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(h.num_rows for h in held) >= rows:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    return run
+
+
+def candidates(reps: DataFrame, t: float) -> DataFrame:
+    """(a, b): pairs of different sets that share one of their rarest words and can reach ``t``."""
+    n = F.col("n")
+    reach = (n - F.ceil(F.round(n * t, 6)).cast("int") + 1).alias("reach")  # as the larger set of a pair
+    maps = [f"b{k}" for k in range(MAPS)]
+    entries = reps.select("s", "n", *maps, reach, F.concat(*[f"f{k}" for k in range(FRAGMENTS)]).alias("g"))
+    entries = entries.select("s", "n", *maps, F.posexplode(F.slice("g", 1, F.col("reach"))).alias("p", "g"))
+    hot = written(entries.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select(F.col("g").alias("h"), F.ceil(F.col("c") / HOT).cast("int").alias("r")), "hot")
+    if hot.head(1):
+        marked = entries.join(hot, entries["g"] == hot["h"], "left")
+        i = F.when(F.col("r").isNull(), -1).otherwise(F.pmod(F.xxhash64("s"), F.col("r")).cast("int")).alias("i")
+        j = F.explode(F.when(F.col("r").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("r") - 1))).alias("j")
+        cells = marked.select("g", "s", "n", "p", *maps, "r", i, j)
+        cell = F.when(F.col("i") < 0, 0).otherwise(F.least("i", "j") * F.col("r") + F.greatest("i", "j")).alias("c")
+        # In a cell of one part with itself all rows are compared, else only rows of different parts.
+        entries = cells.select("g", cell, F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("i")).alias("i"), "s", "n", "p", *maps)
+    else:
+        entries = entries.select("g", F.lit(0).alias("c"), F.lit(-1).alias("i"), "s", "n", "p", *maps)
+    spread = entries.repartition("g", "c").sortWithinPartitions("g", "c", "n")
+    return spread.mapInArrow(_joined(t), "a bigint, b bigint").distinct()
 
 
 def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     """(a, b, overlap, jaccard) of all pairs of different sets (rows of ``ordered_sets``) with a similarity of ``t`` or more."""
-    columns = ["n", *(f"f{k}" for k in range(FRAGMENTS)), "b0", "b1"]
+    columns = ["n", *(f"f{k}" for k in range(FRAGMENTS)), *(f"b{k}" for k in range(MAPS))]
     reps = written(sets.groupBy("s").agg(F.first(F.struct(*columns)).alias("r")).select("s", "r.*"), "sets")
-    ceil = lambda x: F.ceil(F.round(x, 6)).cast("int")
-    n, both = F.col("n"), 2 * t / (1 + t)
-    reach = (n - ceil(n * t) + 1).alias("reach")  # as the larger set of a pair
-    entries = reps.select("s", "n", "b0", "b1", reach, F.concat(*[f"f{k}" for k in range(FRAGMENTS)]).alias("g"))
-    entries = entries.select("s", "n", "b0", "b1", F.posexplode(F.slice("g", 1, F.col("reach"))).alias("p", "g"))
-    small = entries.where(F.col("p") < n - ceil(n * both) + 1)
-    x, y = small.alias("x"), entries.alias("y")
-    xn, yn = F.col("x.n"), F.col("y.n")
-    need = ceil((xn + yn) * (t / (1 + t)))
-    # A pair is met at its first common word, if anywhere: beyond it at most the rest can be common.
-    rest = F.least(xn - F.col("x.p"), yn - F.col("y.p"))
-    apart = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
-    on = (
-        (F.col("x.g") == F.col("y.g")) & ((xn < yn) | ((xn == yn) & (F.col("x.s") < F.col("y.s"))))
-        & (xn >= ceil(yn * t)) & (rest >= need) & (apart <= xn + yn - 2 * need)
-    )
-    met = x.join(y, on).select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
+    met = candidates(reps, t)
     side = lambda c: reps.select(F.col("s").alias(c), F.col("n").alias(f"{c}n"), *[F.col(f"f{k}").alias(f"{c}{k}") for k in range(FRAGMENTS)])
     pairs = met.join(side("a"), "a").join(side("b"), "b")
     partial = [F.size(F.array_intersect(f"a{k}", f"b{k}")) for k in range(FRAGMENTS)]
