@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import leakage, neardup, packing, quality, ranking, spans, splitting, vectors
+from siltstone.llm import leakage, neardup, packing, quality, ranking, spans, splitting, truncation, vectors
 from siltstone.sources.tables import table
 
 SCORES = {"similarity": True, "rerank_score": True, "original_rank": False}
@@ -30,6 +30,22 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(table(spark, d, "document_chunks", "id", "embedding"))
 
 
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "document_chunks", "id", "document_id", "chunk_index", "content"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d).where("truncated").select("id")
+
+
+def p3_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d)
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(_truncated(spark, d), table(spark, d, "rag_documents", "id", "metadata"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "document_chunks", "id", "content")).where("piece = 0").select("id")
 
@@ -87,7 +103,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(*spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_neighbours, p3_found, p3_evidence, p3_rates, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_shares)}
 
 TOKENS = r"regexp_extract_all({}, '[^ \t\n\r\x0B\f]+')"
 

@@ -9,13 +9,13 @@ import numpy as np
 
 #: Words that sentences need and items, cells and labels mostly do without (fixed values, four languages).
 SENTENCE_WORDS = frozenset(
-    """the a an was were is are has have had be been being it its that which who whom whose this these those there they them their he she his her we you i not could would should can will may must by to from since after before because when while if but or also than then with for as into where what why how did do does on in so until during unlike said
+    """the a an was were is are has have had be been being it its that which who whom whose this these those there they them their he she his her we you i not could would should can will by to from since after before because when while if but or also than then with for as into where what why how did do does on in so until during unlike said
     le la les un une des du est sont était étaient a ont été dans par pour avec sur qui que ne pas plus il elle ils elles se en au aux ce cette ces mais depuis encore aussi
     el los las una es son fue fueron está están por con para no se su sus más que lo al como desde también pero todavía hay ha tiene del
     der die das den dem ein eine einer eines einem einen ist sind war waren wurde wurden hat haben im mit auf für nicht aus bei als es sich auch noch nach zu zum zur aber gibt liegt kommt""".split()
 )
 #: Start of a list item.
-MARKER = re.compile(r"[ \t]*(?:[-*•–‣◦·]|\d{1,3}[.)]|\(?[A-Za-z]\)|\(\d{1,3}\))[ \t]+")
+MARKER = re.compile(r"^[ \t]*(?:[-*•–‣◦·]|\d{1,3}[.)]|\(?[A-Za-z]\)|\(\d{1,3}\))[ \t]+")
 SENTENCE_END = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
 STRIP = "\"'“”‘’«»()[]{}.,;:!?…*_"
 WINDOW = 12
