@@ -23,7 +23,8 @@ from siltstone.plans.cut import written
 #: Words in at least one of so many rows get a counted rank; their number is at most RANKED times
 #: the average number of different words of a row, whatever the size of the collection.
 RANKED = 5000
-FRAGMENTS, MAPS = 4, 4
+FRAGMENTS, MAPS, SKETCH = 4, 4, 8
+PARITY = [f"b{k}" for k in range(MAPS)] + [f"c{k}" for k in range(SKETCH)]
 #: Rows of one word that are compared in one task; the list of a more frequent word is cut into
 #: cells, each pair of which is a task of its own.
 HOT = 20_000
@@ -58,10 +59,10 @@ def gram_counts(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
 
 
 def ordered_sets(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
-    """(id, s, n, f0.., b0..): each row's n-grams in the global order, cut into fragments.
+    """(id, s, n, f0.., b0.., c0..): each row's n-grams in the global order, cut into fragments.
 
     ``s`` names the set; b0 to b3 hold the parity of the set in 256 cells, so the number of cells
-    in which two sets differ is a lower bound of their symmetric difference.
+    in which two sets differ is a lower bound of their symmetric difference; c0 to c7 do so in 512.
     """
     spark = rows.sparkSession
     total = max(rows.count(), 1)
@@ -98,9 +99,12 @@ def ordered_sets(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
             all_, size = np.array(flat, np.int64), np.array(sizes, np.int64)
             start = np.concatenate([[0], np.cumsum(size)])
             names = [xxhash.xxh3_64_intdigest(all_[a:b].tobytes()) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
-            bit = (all_.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
-            one = np.left_shift(np.uint64(1), bit & np.uint64(63))
-            maps = [np.bitwise_xor.reduceat(np.where((bit >> np.uint64(6)) == h, one, np.uint64(0)), start[:-1]) if len(keys) else np.zeros(0, np.uint64) for h in range(MAPS)]
+            mixed = all_.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            maps = []
+            for bit, parts in ((mixed >> np.uint64(56), MAPS), ((mixed >> np.uint64(40)) & np.uint64(511), SKETCH)):
+                one = np.left_shift(np.uint64(1), bit & np.uint64(63))
+                part = bit >> np.uint64(6)
+                maps += [np.bitwise_xor.reduceat(np.where(part == h, one, np.uint64(0)), start[:-1]) if len(keys) else np.zeros(0, np.uint64) for h in range(parts)]
             piece = np.searchsorted(np.array(cuts), all_, "right")
             lists = []
             for k in range(FRAGMENTS):
@@ -109,11 +113,11 @@ def ordered_sets(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
                 lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(all_[inside])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.string()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(size.astype(np.int32)), *lists, *[pa.array(m.view(np.int64)) for m in maps]],
-                names=["id", "s", "n", *(f"f{k}" for k in range(FRAGMENTS)), *(f"b{k}" for k in range(MAPS))],
+                names=["id", "s", "n", *(f"f{k}" for k in range(FRAGMENTS)), *PARITY],
             )
 
     fragments = ", ".join(f"f{k} array<bigint>" for k in range(FRAGMENTS))
-    return rows.mapInArrow(run, f"id string, s bigint, n int, {fragments}, " + ", ".join(f"b{k} bigint" for k in range(MAPS)))
+    return rows.mapInArrow(run, f"id string, s bigint, n int, {fragments}, " + ", ".join(f"{c} bigint" for c in PARITY))
 
 
 def _joined(t: float, rows: int = 200_000, most: int = 2_000_000):
@@ -197,11 +201,16 @@ def candidates(reps: DataFrame, t: float) -> DataFrame:
 
 def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     """(a, b, overlap, jaccard) of all pairs of different sets (rows of ``ordered_sets``) with a similarity of ``t`` or more."""
-    columns = ["n", *(f"f{k}" for k in range(FRAGMENTS)), *(f"b{k}" for k in range(MAPS))]
+    columns = ["n", *(f"f{k}" for k in range(FRAGMENTS)), *PARITY]
     reps = written(sets.groupBy("s").agg(F.first(F.struct(*columns)).alias("r")).select("s", "r.*"), "sets")
     met = candidates(reps, t)
     side = lambda c: reps.select(F.col("s").alias(c), F.col("n").alias(f"{c}n"), *[F.col(f"f{k}").alias(f"{c}{k}") for k in range(FRAGMENTS)])
-    pairs = met.join(side("a"), "a").join(side("b"), "b")
+    # Most pairs fall to the finer parity, before any word list moves.
+    sketch = lambda c: reps.select(F.col("s").alias(c), F.col("n").alias(f"{c}n"), *[F.col(f"c{k}").alias(f"{c}c{k}") for k in range(SKETCH)])
+    apart = sum((F.bit_count(F.col(f"ac{k}").bitwiseXOR(F.col(f"bc{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("ac0").bitwiseXOR(F.col("bc0"))))
+    need = F.ceil(F.round((F.col("an") + F.col("bn")) * (t / (1 + t)), 6))
+    near = met.join(sketch("a"), "a").join(sketch("b"), "b").where(apart <= F.col("an") + F.col("bn") - 2 * need).select("a", "b")
+    pairs = near.join(side("a"), "a").join(side("b"), "b")
     partial = [F.size(F.array_intersect(f"a{k}", f"b{k}")) for k in range(FRAGMENTS)]
     overlap = sum(partial[1:], partial[0])
     pairs = pairs.select("a", "b", "an", "bn", overlap.alias("overlap"))
