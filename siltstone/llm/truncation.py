@@ -151,7 +151,8 @@ def ending(text: str, odd: float) -> tuple[str, bool, bool, bool, str]:
         return "item", marked, closed, not closed and _item_open(listed, item), word
     if re.fullmatch(r"[ \t]*(?:[-*•–]|\d{1,3}[.)]|\(?[A-Za-z]\)?)", last) and marks >= 2:
         return "item", marked, False, True, ""
-    if running >= 0.5:
+    few = n < 10 and len(lines) < 3
+    if running >= 0.5 and not (few and not closed and (n < 4 or sum(flags) < 2)):
         if _HEADING.search(last):
             closed = True
         elif not closed and len(lines) > 1 and _CLOSED.search(lines[-2].rstrip(_TRIM)):
@@ -159,7 +160,7 @@ def ending(text: str, odd: float) -> tuple[str, bool, bool, bool, str]:
             if len(label) <= 6 and label[0][0].isupper() and not any(structure.sentence_flags(label)) and not last[-1] in ",;":
                 closed = len(label) > 1 and "\n\n" in core[-len(last) - 3 :]
         return "prose", marked, closed, False, word
-    if n < 10 and len(lines) < 3:
+    if few:
         return "label", marked, True, False, word
     address = sum(_ADDRESS.search(x) is not None for x in lines)
     if address >= 0.5 * len(lines):
