@@ -6,8 +6,8 @@ PASSAGE = "The wide market of Norhaven was opened by Marta Kell in 1820 after a
 def test_exact_part_case_slots_and_none(spark):
     part = "But then: THE WIDE market of norhaven was, opened by Marta-Kell in 1820 after Easter."
     slots = PASSAGE.replace("Norhaven", "Lindby").replace("Marta Kell", "Ole Brandt").replace("1820", "1911")
-    twice = "Kell gave Lind nine coins because Kell owed Lind money for the mill"
-    same = "Voss gave Brandt nine coins because Voss owed Brandt money for the mill"
+    twice = "Kell gave Lind nine coins because Kell owed Lind money for salt"
+    same = "Voss gave Brandt nine coins because Voss owed Brandt money for salt"
     wrong = same.replace("because Voss", "because Holm")  # one slot, two fillings
     docs = [(1, "x " + PASSAGE + " y"), (2, part), (3, slots), (4, wrong), (9, same), (5, None), (6, ""), (7, "the wide market of Norhaven was opened by Marta Kell in 1821"), (8, PASSAGE[:60])]
     df = spark.createDataFrame([(a, b, "t") for a, b in docs], "doc_id bigint, text string, item_id string")
