@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,10 +25,14 @@ def nearest_rank(c: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})")
 
 
-def upper_median(c: Column) -> Column:
-    """Of n sorted values that at place n div 2 from 0."""
-    ordered = F.array_sort(F.collect_list(c))
-    return F.try_element_at(ordered, (F.size(ordered) / 2).cast("int") + 1)
+def upper_median(df: DataFrame, group: list[str], value: str, out: str = "upper_median") -> DataFrame:
+    """(group, out): of n sorted values that at place n div 2 from 0. Ranks are made without gathering a group."""
+    from siltstone.plans.ranks import average_ranks
+
+    ranks = average_ranks(df, group, value, False, "_r")
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.floor(F.count(value) / 2 + 1).alias("_k"))
+    half = (F.col("_r_ties") - 1) / 2.0
+    return ranks.join(sizes, group).where((F.col("_k") >= F.col("_r") - half) & (F.col("_k") <= F.col("_r") + half)).select(*group, F.col(value).alias(out))
 
 
 def cost(prompt: Column, completion: Column, per_million_in: float = 0.40, per_million_out: float = 1.60) -> Column:

@@ -117,36 +117,3 @@ def fill(template: str, **values: Column) -> Column:
     for name, value in values.items():
         out = F.replace(out, F.lit(f"${name}"), F.coalesce(value.cast("string"), F.lit("")))
     return out
-
-
-def is_month_line(c: Column) -> Column:
-    return c.rlike(MONTH_LINE)
-
-
-def is_timeline_line(c: Column) -> Column:
-    return c.rlike(f"{MONTH_LINE}|{TIMELINE_EVENT}")
-
-
-def is_list_line(c: Column) -> Column:
-    return c.rlike(LIST_ITEM)
-
-
-def heading_case(c: Column) -> Column:
-    """Every word starts upper-cased or has no letters to lower; minor words may follow the first."""
-
-    def fits(word: Column, i: Column) -> Column:
-        w = F.regexp_replace(word, r"^[()\[\]{}\"']+|[()\[\]{}\"']+$", "")
-        upper = (F.upper(w) == w) & w.rlike(r"\p{L}")
-        return (w == "") | upper | ((i > 0) & F.lower(w).isin(MINOR_WORDS)) | w.rlike(r"^\p{Lu}")
-
-    parts = F.filter(F.split(c, f"{WS}+"), lambda w: w != "")
-    bad = F.filter(F.transform(parts, fits), lambda ok: ~ok)
-    return (F.size(parts) > 0) & (F.size(bad) == 0)
-
-
-def probable_heading(line: Column) -> Column:
-    """An ignored title, or a short line in heading case or capitals that is no item, date or sentence."""
-    x = strip(line)
-    capitals = (F.upper(x) == x) & x.rlike(r"\p{L}")
-    plain = (F.length(x) <= 80) & ~x.rlike(r"[.,;:]$") & (token_count(x) <= 12) & ~is_list_line(x) & ~is_timeline_line(x)
-    return (x != "") & (F.lower(x).isin(IGNORED_SECTIONS) | (plain & (heading_case(x) | capitals)))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -33,53 +34,97 @@ def with_ids(chunks: DataFrame, key: str, *parts: str) -> DataFrame:
     return chunks.withColumn("chunk_id", T.stable_id(*[F.col(c).cast("string") for c in parts or (key, "chunk_index", "content")]))
 
 
-def lines_of(c: Column) -> Column:
-    return F.filter(F.transform(F.split(T.normalize(c), "\n"), T.strip), lambda x: x != "")
-
-
-def paragraphs_of(c: Column) -> Column:
-    """Split at empty lines; where that gives one paragraph, at every line."""
-    keep = lambda a: F.filter(F.transform(a, T.strip), lambda x: x != "")
-    apart = keep(F.split(T.normalize(c), r"\n[ \t]*\n"))
-    return F.when(F.size(apart) <= 1, keep(F.split(T.normalize(c), "\n"))).otherwise(apart)
+_BLANK = " \t\n\r\v\f"
+_LINE_ENDS, _BLANKS, _EMPTY_LINES, _PARAGRAPH = re.compile(r"\r\n?"), re.compile(r"[ \t]+"), re.compile(r"\n{3,}"), re.compile(r"\n[ \t]*\n")
+_TIMELINE, _ITEM = re.compile(f"{T.MONTH_LINE}|{T.TIMELINE_EVENT}"), re.compile(T.LIST_ITEM)
+_WORDS = re.compile(r"[^ \t\n\r\v\f]+")
+
+
+def tidy(text: str) -> str:
+    """The same as ``functions.text.normalize``, for workers."""
+    return _EMPTY_LINES.sub("\n\n", _BLANKS.sub(" ", _LINE_ENDS.sub("\n", text))).strip(_BLANK)
+
+
+def is_heading(line: str) -> bool:
+    """An ignored title, or a short line in heading case or capitals that is no item, date or sentence."""
+    if line.lower() in T.IGNORED_SECTIONS:
+        return True
+    if not line or len(line) > 80 or line[-1] in ".,;:":
+        return False
+    words = _WORDS.findall(line)
+    if len(words) > 12 or _ITEM.match(line) or _TIMELINE.match(line):
+        return False
+    capitals = lambda w: w.upper() == w and any(map(str.isalpha, w))
+    if capitals(line):
+        return True
+    for i, word in enumerate(words):
+        w = word.strip("()[]{}\"'")
+        if w and not w[0].isupper() and not capitals(w) and not (i and w.lower() in T.MINOR_WORDS):
+            return False
+    return True
+
+
+def kind_of(text: str) -> str:
+    """timeline, list or article by the share of such lines; ``text`` is tidy."""
+    lines = [x for raw in text.split("\n") if (x := raw.strip(_BLANK))]
+    if not lines:
+        return "article"
+    if sum(_TIMELINE.match(x) is not None for x in lines) / len(lines) >= 0.18:
+        return "timeline"
+    listed = sum(_ITEM.match(x) is not None for x in lines)
+    if listed >= 10 and listed / len(lines) >= 0.35:
+        parts = [x for raw in _PARAGRAPH.split(text) if (x := raw.strip(_BLANK))]
+        parts = parts if len(parts) > 1 else lines
+        prose = 0
+        for p in parts:
+            solid = sum(1 for c in p if c not in _BLANK)
+            prose += len(p) >= T.MIN_CHUNK_CHARS and sum(map(str.isalpha, p)) >= 0.55 * solid
+        if prose <= max(4, len(parts) // 3):
+            return "list"
+    return "article"
+
+
+def sections_of(title: str, text: str) -> list[tuple[str, str, str]]:
+    """(section title, path, text) in order; ``text`` is tidy."""
+    found: list[tuple[str, list[str]]] = [("Introduction", [])]
+    for line in text.split("\n"):
+        bare = line.strip(_BLANK)
+        if is_heading(bare):
+            found.append((bare, []))
+        else:
+            found[-1][1].append(line)
+    kept = [(name, f"{title} > {name}", body) for name, own in found if (body := tidy("\n".join(own))) and name.lower() not in T.IGNORED_SECTIONS]
+    return kept or ([("Full Article", title, text)] if text else [])
+
+
+def with_document_type(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, document_type) of every document; null and blank texts are articles."""
+    kind = docs.schema[key].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kind_of(tidy(x or "")) for x in b.column(1).to_pylist()], pa.string())], names=[key, "document_type"])
 
-def document_type(c: Column) -> Column:
-    """timeline, list or article by the share of such lines."""
-    lines, paragraphs = lines_of(c), paragraphs_of(c)
-    count = lambda f: F.size(F.filter(lines, f))
-    timeline, listed = count(T.is_timeline_line), count(T.is_list_line)
-    prose = F.size(F.filter(paragraphs, lambda p: (F.length(p) >= T.MIN_CHUNK_CHARS) & (T.alpha_ratio(p) >= 0.55)))
-    n = F.size(lines)
-    few = prose <= F.greatest(F.lit(4), F.floor(F.size(paragraphs) / 3))
-    return F.when(F.coalesce(n, F.lit(0)) < 1, "article").when(timeline / n >= 0.18, "timeline").when((listed >= 10) & (listed / n >= 0.35) & few, "list").otherwise("article")
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, document_type string")
 
 
 def sections(docs: DataFrame, key: str, title: str, text: str) -> DataFrame:
     """(key, section_index, section_title, section_path, section_text) split at probable headings.
 
     Text before the first heading is the Introduction; ignored and empty sections are dropped; a
-    document without any left has the one section Full Article. The fold is an ordered aggregate
-    inside each row: nothing is exploded or shuffled before the sections exist.
+    document without any left has the one section Full Article. Blank and null texts give no row.
+    One pass in Arrow batches without a shuffle: as lambdas over line arrays the same rules run
+    outside generated code and took ten times as long.
     """
-    lines = F.split(T.normalize(F.coalesce(F.col(text), F.lit(""))), "\n")
-    marked = F.transform(lines, lambda x: F.struct(T.probable_heading(x).alias("h"), x.alias("x")))
-    empty = F.array().cast("array<struct<title:string,body:string>>")
-    start = F.struct(F.lit("Introduction").alias("title"), F.lit("").alias("body"), empty.alias("done"))
-
-    def step(acc: Column, line: Column) -> Column:
-        closed = F.array_append(acc["done"], F.struct(acc["title"].alias("title"), acc["body"].alias("body")))
-        body = F.when(acc["body"] == "", line["x"]).otherwise(F.concat(acc["body"], F.lit("\n"), line["x"]))
-        return F.when(line["h"], F.struct(T.strip(line["x"]).alias("title"), F.lit("").alias("body"), closed.alias("done"))).otherwise(F.struct(acc["title"].alias("title"), body.alias("body"), acc["done"].alias("done")))
-
-    folded = F.aggregate(marked, start, step, lambda acc: F.array_append(acc["done"], F.struct(acc["title"].alias("title"), acc["body"].alias("body"))))
-    base = docs.select(key, F.col(title).alias("_title"), F.col(text).alias("_text"), folded.alias("_s"))
-    kept = F.filter(F.transform("_s", lambda s: F.struct(s["title"].alias("title"), T.normalize(s["body"]).alias("body"))), lambda s: (s["body"] != "") & ~F.lower(s["title"]).isin(T.IGNORED_SECTIONS))
-    whole = F.array(F.struct(F.lit("Full Article").alias("title"), T.normalize(F.coalesce("_text", F.lit(""))).alias("body")))
-    base = base.withColumn("_k", kept).withColumn("_k", F.when(F.size("_k") == 0, whole).otherwise(F.col("_k")))
-    out = base.select(key, "_title", F.posexplode("_k").alias("section_index", "s")).where(F.col("s.body") != "")
-    path = F.when(F.col("s.title") == "Full Article", F.coalesce("_title", F.lit(""))).otherwise(F.concat(F.coalesce("_title", F.lit("")), F.lit(" > "), F.col("s.title")))
-    return out.select(key, F.col("section_index"), F.col("s.title").alias("section_title"), path.alias("section_path"), F.col("s.body").alias("section_text"))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, j, *s) for i, (t, x) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) for j, s in enumerate(sections_of(t or "", tidy(x or "")))]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.string()) for c in cols[2:]]], names=[key, "section_index", "section_title", "section_path", "section_text"])
+
+    return docs.select(key, title, text).mapInArrow(run, f"{key} {kind}, section_index int, section_title string, section_path string, section_text string")
 
 
 class Packer:
@@ -96,9 +141,7 @@ class Packer:
     def __init__(self, budget: int = T.MAX_TOKENS, least_tokens: int = T.MIN_CHUNK_TOKENS, least_chars: int = T.MIN_CHUNK_CHARS):
         self.budget, self.least_tokens, self.least_chars = budget, least_tokens, least_chars
 
-    @staticmethod
-    def tidy(text: str) -> str:
-        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", re.sub(r"\r\n?", "\n", text))).strip()
+    tidy = staticmethod(tidy)
 
     @staticmethod
     def size(text: str) -> int:
@@ -202,30 +245,34 @@ class Packer:
 def section_chunks(docs: DataFrame, key: str, title: str, text: str, budget: int = T.MAX_TOKENS) -> DataFrame:
     """The whole section-aware chunking of (key, title, text), one row per chunk.
 
-    Types and sections are native; only the ordered packing of one document at a time runs in
-    Python. Columns: key, document_type, section_index, section_title, section_path, chunk_index,
-    chunk_id, chunk_strategy, content, token_count, is_orphan_repaired, prev_chunk_id,
-    next_chunk_id. Null and blank texts give no row.
+    Type, sections, packing and links of a document are one pass in Arrow batches without a
+    shuffle. Columns: key, document_type, section_index, section_title,
+    section_path, chunk_index, chunk_strategy, content, is_orphan_repaired, chunk_id, prev_chunk_id,
+    next_chunk_id, token_count. Null and blank texts give no row.
     """
     kind = docs.schema[key].dataType.simpleString()
-    typed = docs.where(T.strip(F.coalesce(F.col(text), F.lit(""))) != "").select(key, F.coalesce(F.col(title), F.lit("")).alias("_title"), F.col(text).alias("_text"), document_type(F.col(text)).alias("document_type"))
-    secs = sections(typed, key, "_title", "_text").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section_index", "section_title", "section_path", "section_text"))).alias("_secs"))
-    joined = secs.join(typed.select(key, "document_type"), key)
+    fields = {"document_type": pa.string(), "section_index": pa.int32(), "section_title": pa.string(), "section_path": pa.string(), "chunk_index": pa.int32(), "chunk_strategy": pa.string(), "content": pa.string(), "is_orphan_repaired": pa.bool_(), "chunk_id": pa.string(), "prev_chunk_id": pa.string(), "next_chunk_id": pa.string()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(budget)
-        names = [key, "document_type", "section_index", "section_title", "section_path", "chunk_index", "chunk_strategy", "content", "is_orphan_repaired"]
-        for batch in batches:
-            rows = []
-            for k, kind_, own in zip(batch[key], batch["document_type"], batch["_secs"], strict=True):
-                for i, c in enumerate(packer.document(kind_, list(own))):
-                    rows.append((k, kind_, c["section_index"], c["section_title"], c["section_path"], i, c["chunk_strategy"], c["content"], c["is_orphan_repaired"]))
-            yield pd.DataFrame(rows, columns=names)
-
-    schema = f"{key} {kind}, document_type string, section_index int, section_title string, section_path string, chunk_index int, chunk_strategy string, content string, is_orphan_repaired boolean"
-    packed = joined.select(key, "document_type", "_secs").mapInPandas(run, schema)
-    named = packed.withColumn("token_count", T.token_count(F.col("content"))).withColumn("chunk_id", T.stable_id("section_path", F.col("chunk_index").cast("string"), "content"))
-    return linked(named, key)
+        for b in batches:
+            at: list[int] = []
+            rows: list[dict] = []
+            for i, (k_, t, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                body = tidy(x or "")
+                if body:
+                    type_ = kind_of(body)
+                    secs = [{"section_index": j, "section_title": n, "section_path": p, "section_text": s} for j, (n, p, s) in enumerate(sections_of(t or "", body))]
+                    own = [c | {"document_type": type_, "chunk_index": k} for k, c in enumerate(packer.document(type_, secs))]
+                    ids = [hashlib.sha256(f"{k_}|{c['section_path']}|{c['chunk_index']}|{c['content']}".encode("utf-8", "surrogatepass")).hexdigest()[:16] for c in own]
+                    for c, before, id_, after in zip(own, [None, *ids[:-1]], ids, [*ids[1:], None], strict=True):
+                        c |= {"chunk_id": id_, "prev_chunk_id": before, "next_chunk_id": after}
+                    rows += own
+                    at += [i] * len(own)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array([r[n] for r in rows], k) for n, k in fields.items()]], names=[key, *fields])
+
+    schema = f"{key} {kind}, document_type string, section_index int, section_title string, section_path string, chunk_index int, chunk_strategy string, content string, is_orphan_repaired boolean, chunk_id string, prev_chunk_id string, next_chunk_id string"
+    return docs.select(key, title, text).mapInArrow(run, schema).withColumn("token_count", T.token_count(F.col("content")))
 
 
 def linked(chunks: DataFrame, key: str) -> DataFrame:

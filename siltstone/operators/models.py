@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -168,12 +168,17 @@ def logistic_scores(df: DataFrame, key: str, features: list[str], label: str, hi
 
 
 def early_stopping(df: DataFrame, run: str, epoch: str, loss: str, patience: int = 10) -> DataFrame:
-    """(run, best_epoch, best_loss, stopped_at): the running best, stopped ``patience`` epochs after its last gain."""
-    w = Window.partitionBy(run).orderBy(epoch)
-    best = df.withColumn("_b", F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    gains = best.withColumn("_g", F.col("_b").isNull() | (F.col(loss) < F.col("_b"))).withColumn("_at", F.last(F.when(F.col("_g"), F.col(epoch)), True).over(w))
-    stop = gains.groupBy(run).agg(F.min(F.when(F.col(epoch) - F.col("_at") >= patience, F.col(epoch))).alias("_stop"), F.max(epoch).alias("_last"))
-    kept = gains.join(stop, run).where(F.col(epoch) <= F.coalesce("_stop", "_last"))
+    """(run, best_epoch, best_loss, stopped_at): the running best, stopped ``patience`` epochs after its last gain.
+
+    The running minimum is made over buckets of epochs, so one long run is not one task.
+    """
+    from siltstone.plans.ranks import running
+
+    best = running(df, run, epoch, {"_best": ("min", F.col(loss), False)})
+    gain = F.col("_best").isNull() | (F.col(loss) < F.col("_best"))
+    at = running(best.withColumn("_gain", F.when(gain, F.col(epoch))), run, epoch, {"_at": ("max", F.col("_gain"), True)})
+    stop = at.groupBy(F.col(run).alias("_r")).agg(F.min(F.when(F.col(epoch) - F.col("_at") >= patience, F.col(epoch))).alias("_stop"), F.max(epoch).alias("_last"))
+    kept = at.join(stop, at[run] == stop["_r"]).where(F.col(epoch) <= F.coalesce("_stop", "_last"))
     return kept.groupBy(run).agg(F.min_by(epoch, F.struct(loss, epoch)).alias("best_epoch"), F.min(loss).alias("best_loss"), F.max(epoch).alias("stopped_at"))
 
 

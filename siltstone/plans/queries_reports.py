@@ -42,7 +42,7 @@ def nearest_rank_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, (list_sort(list(value)))[count(*) // 2 + 1] AS upper_median FROM events GROUP BY 1")
 def upper_median(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events", "user_id", "value").groupBy("user_id").agg(N.upper_median(F.col("value")).alias("upper_median"))
+    return N.upper_median(table(spark, d, "events", "user_id", "value"), ["user_id"], "value")
 
 
 @query("SELECT user_id, json_extract_string(props, '$.k') AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -107,12 +107,11 @@ def llm_cost(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT b AS batch, min(rn) - 1 AS start_index, max(rn) AS end_index, count(*) AS rows, round(sum(value), 4) AS seconds, round(count(*) / nullif(sum(value), 0), 6) AS per_second FROM
  (SELECT value, rn, (rn - 1) // 100 AS b FROM (SELECT value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events WHERE event_type = (SELECT min(event_type) FROM events))) GROUP BY 1""")
 def run_batches(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    from siltstone.plans.ranks import row_numbers
 
     ev = table(spark, d, "events", "event_id", "event_type", "value")
     one = ev.join(F.broadcast(ev.agg(F.min("event_type").alias("event_type"))), "event_type", "left_semi")
-    rn = one.withColumn("rn", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")))
-    g = rn.groupBy(F.floor((F.col("rn") - 1) / 100).alias("batch"))
+    g = row_numbers(one, ["event_type"], "event_id", "value", "rn").groupBy(F.floor((F.col("rn") - 1) / 100).alias("batch"))
     return g.agg((F.min("rn") - 1).alias("start_index"), F.max("rn").alias("end_index"), F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("seconds"), F.round(F.try_divide(F.count(F.lit(1)), F.sum("value")), 6).alias("per_second"))
 
 
@@ -351,10 +350,10 @@ def auc(spark: SparkSession, d: str) -> DataFrame:
  g AS (SELECT *, max(CASE WHEN best IS NULL OR loss < best THEN epoch END) OVER (PARTITION BY user_id ORDER BY epoch) AS gained FROM b), s AS (SELECT user_id, min(CASE WHEN epoch - gained >= 10 THEN epoch END) AS stop, max(epoch) AS last FROM g GROUP BY 1)
  SELECT user_id, arg_min(epoch, loss) AS best_epoch, min(loss) AS best_loss, max(epoch) AS stopped_at FROM g JOIN s USING (user_id) WHERE epoch <= coalesce(stop, last) GROUP BY 1""")
 def early_stopping(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    from siltstone.plans.ranks import row_numbers
 
-    ev = table(spark, d, "events", "user_id", "event_id", "ts", "value")
-    runs = ev.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("epoch"), F.col("value").alias("loss"))
+    ev = table(spark, d, "events", "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("value").alias("loss"))
+    runs = row_numbers(ev, ["user_id"], "ts", "event_id", "epoch").select("user_id", "epoch", "loss")
     return M.early_stopping(runs, "user_id", "epoch", "loss")
 
 
@@ -407,14 +406,13 @@ def events_session(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT query_id, count(*) AS hits, min(chunk_id) AS first_chunk FROM (SELECT DISTINCT query_id, chunk_id FROM reranked_results WHERE run = 'flat') GROUP BY 1")
 def report_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Rankings written as nested JSON report rows into the shared folder and read again."""
+    """Rankings written as JSON report rows, one per hit, into the shared folder and read again."""
     import uuid
 
     hits = table(spark, d, "reranked_results", "run", "query_id", "chunk_id").where("run = 'flat'").drop("run").distinct()
     path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
-    R.write_report(hits.groupBy("query_id").agg(F.collect_list(F.struct("chunk_id")).alias("results")), path)
-    again = spark.read.schema("query_id bigint, results array<struct<chunk_id:string>>").json(path)
-    return again.select("query_id", F.explode("results").alias("r")).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("r.chunk_id").alias("first_chunk"))
+    R.write_report(hits, path)
+    return spark.read.schema("query_id bigint, chunk_id string").json(path).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("chunk_id").alias("first_chunk"))
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem GROUP BY 1, 2")

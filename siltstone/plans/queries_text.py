@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import numbers as N
 from siltstone.functions import text as T
 from siltstone.operators import chunking as C
+from siltstone.plans.ranks import running_total
 from siltstone.plans.registry import query
 from siltstone.sources.tables import delivered_once, table
 
@@ -129,10 +130,28 @@ _apart = lambda x: f"list_filter(list_transform(regexp_split_to_array({_norm(x)}
   len(list_filter(ps, lambda x: length(x) >= 180 AND {_share('x', chr(92) + 'p{L}')} >= 0.55)) AS pr FROM p)
  SELECT doc_id, CASE WHEN coalesce(n, 0) < 1 THEN 'article' WHEN tl / n >= 0.18 THEN 'timeline' WHEN li >= 10 AND li / n >= 0.35 AND pr <= greatest(4, floor(np / 3)) THEN 'list' ELSE 'article' END AS document_type FROM c""")
 def document_type(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d).select("doc_id", C.document_type(F.col("text")).alias("document_type"))
+    return C.with_document_type(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-@query()
+_edge = "regexp_replace({x}, '^[()\\[\\]{{}}\"'']+|[()\\[\\]{{}}\"'']+$', '', 'g')"
+_in = lambda x, words: f"{x} IN ({', '.join(chr(39) + w + chr(39) for w in words)})"
+
+
+def _heading_sql(x: str) -> str:
+    w = _edge.format(x="w")
+    fits = f"({w} = '' OR (upper({w}) = {w} AND regexp_matches({w}, '\\p{{L}}')) OR (i > 1 AND {_in(f'lower({w})', T.MINOR_WORDS)}) OR regexp_matches({w}, '^\\p{{Lu}}'))"
+    parts = f"list_filter(regexp_split_to_array({x}, '{_W}+'), lambda w: w <> '')"
+    case = f"(len({parts}) > 0 AND len(list_filter({parts}, lambda w, i: NOT {fits})) = 0)"
+    plain = f"(length({x}) <= 80 AND NOT regexp_matches({x}, '[.,;:]$') AND {_count(x)} <= 12 AND NOT regexp_matches({x}, '{T.LIST_ITEM}') AND NOT regexp_matches({x}, '{T.MONTH_LINE}|{T.TIMELINE_EVENT}'))"
+    return f"({x} <> '' AND ({_in(f'lower({x})', T.IGNORED_SECTIONS)} OR ({plain} AND ({case} OR (upper({x}) = {x} AND regexp_matches({x}, '\\p{{L}}'))))))"
+
+
+@query(f"""WITH ln AS (SELECT doc_id, coalesce(title, '') AS t, string_split({_norm("coalesce(text, '')")}, chr(10)) AS ls FROM documents), ex AS (SELECT doc_id, t, unnest(ls) AS x, generate_subscripts(ls, 1) AS n FROM ln),
+ fl AS (SELECT doc_id, t, n, x, {_strip('x')} AS sx FROM ex), hd AS (SELECT *, {_heading_sql('sx')} AS h FROM fl), sc AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY n) AS sid FROM hd),
+ se AS (SELECT doc_id, t, sid, coalesce(max(CASE WHEN h THEN sx END), 'Introduction') AS section_title, {_norm("coalesce(string_agg(CASE WHEN NOT h THEN x END, chr(10) ORDER BY n), '')")} AS body FROM sc GROUP BY 1, 2, 3),
+ ok AS (SELECT * FROM se WHERE body <> '' AND NOT {_in('lower(section_title)', T.IGNORED_SECTIONS)}),
+ al AS (SELECT doc_id, sid, section_title, t || ' > ' || section_title AS section_path, body FROM ok UNION ALL SELECT doc_id, 0, 'Full Article', coalesce(title, ''), {_norm('text')} FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ok) AND {_norm("coalesce(text, '')")} <> '')
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sid) - 1 AS section_index, section_title, section_path, sha256(body) AS text_hash FROM al""")
 def section_split(spark: SparkSession, d: str) -> DataFrame:
     return C.sections(_documents(spark, d), "doc_id", "title", "text").select("doc_id", "section_index", "section_title", "section_path", F.sha2("section_text", 256).alias("text_hash"))
 
@@ -177,10 +196,8 @@ def prompt_render(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("id", text.alias("prompt"), T.file_safe(F.coalesce("title", F.lit(""))).alias("file_name"))
 
 
-@query(f"""WITH {_ONCE}, g AS (SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) AS rn, document_id FROM once) SELECT document_id, (rn - 1) // 64 AS batch, count(*) AS rows FROM g GROUP BY 1, 2""")
+@query(f"""WITH {_ONCE}, g AS (SELECT row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, id) AS rn, document_id FROM once) SELECT document_id, (rn - 1) // 64 AS batch, count(*) AS rows FROM g GROUP BY 1, 2""")
 def insert_batches(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("document_id").orderBy("created_at", "id")
-    chunks = delivered_once(table(spark, d, "document_chunks", "id", "document_id", "created_at"))
-    return chunks.select("document_id", F.floor((F.row_number().over(w) - 1) / 64).alias("batch")).groupBy("document_id", "batch").agg(F.count(F.lit(1)).alias("rows"))
+    chunks = _chunks(spark, d, "document_id", "chunk_index")
+    placed = running_total(chunks, "document_id", "chunk_index", "id", F.lit(1), "before")
+    return placed.groupBy("document_id", F.floor(F.col("before") / 64).alias("batch")).agg(F.count(F.lit(1)).alias("rows"))

@@ -55,3 +55,34 @@ def running_total(df: DataFrame, key: str, order: str, tie: str, amount: Column,
     offsets = totals.select("_k", "_ob", F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_off"))
     joined = local.join(offsets, local[key].eqNullSafe(offsets["_k"]) & (local["_b"] == offsets["_ob"]))
     return joined.select(*[local[c] for c in df.columns], (F.col("_off") + F.col("_in")).alias(out))
+
+
+def row_numbers(df: DataFrame, group: list[str], value: str, tie: str, out: str, best_high: bool = False, bucket_rows: int = 100_000) -> DataFrame:
+    """``df`` with the place of each row in its group by ``value``, ties by ``tie``, from 1.
+
+    Only rows of one group with equal values are sorted together. Rows with a null value or group are left out.
+    """
+    places = average_ranks(df, group, value, best_high, "_place", bucket_rows)
+    places = places.select(*group, value, (F.col("_place") - (F.col("_place_ties") - 1) / 2.0).cast("bigint").alias("_first"))
+    own = F.row_number().over(Window.partitionBy(*group, value).orderBy(tie))
+    return df.join(places, [*group, value]).withColumn(out, F.col("_first") + own - 1).drop("_first")
+
+
+def running(df: DataFrame, key: str, order: str, columns: dict[str, tuple[str, Column, bool]], bucket: int = 4096) -> DataFrame:
+    """``df`` with running ``min``, ``max`` or ``sum`` per key by the integer column ``order``.
+
+    ``columns``: output name -> (function, value, whether the row itself counts). Summed over buckets
+    of consecutive orders and then within each, so a hot key is many tasks.
+    """
+    functions = {"min": F.min, "max": F.max, "sum": F.sum}
+    join = {"min": F.least, "max": F.greatest, "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}
+    base = df.withColumn("_b", F.floor(F.col(order) / F.lit(bucket)))
+    for name, (_, value, _) in columns.items():
+        base = base.withColumn(f"_v_{name}", value)
+    inner, outer = Window.partitionBy(key, "_b").orderBy(order), Window.partitionBy("_k").orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)
+    frame = lambda own: inner.rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    local = base.select("*", *[functions[f](f"_v_{n}").over(frame(own)).alias(f"_i_{n}") for n, (f, _, own) in columns.items()])
+    totals = base.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_ob")).agg(*[functions[f](f"_v_{n}").alias(f"_t_{n}") for n, (f, _, _) in columns.items()])
+    before = totals.select("_k", "_ob", *[functions[f](f"_t_{n}").over(outer).alias(f"_o_{n}") for n, (f, _, _) in columns.items()])
+    joined = local.join(before, local[key].eqNullSafe(before["_k"]) & (local["_b"] == before["_ob"]))
+    return joined.select(*[local[c] for c in df.columns], *[join[f](F.col(f"_i_{n}"), F.col(f"_o_{n}")).alias(n) for n, (f, _, _) in columns.items()])
