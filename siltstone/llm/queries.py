@@ -107,7 +107,22 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_neighbo
 
 TOKENS = r"regexp_extract_all({}, '[^ \t\n\r\x0B\f]+')"
 
+WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
 SQL = {
+    "p2_found": """WITH u AS (SELECT DISTINCT id, embedding::DOUBLE[] AS e FROM document_chunks WHERE embedding IS NOT NULL AND len(embedding) = 64
+       AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+     n AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS m FROM u), r AS (SELECT a.id AS i, b.id AS j, list_inner_product(a.e, b.e) / (a.m * b.m) AS c FROM n a, n b WHERE a.id <> b.id),
+     t AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY round(c, 6) DESC, j) AS k FROM r WHERE c >= 0.9) SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM t WHERE k <= 5""",
     "p4_found": f"SELECT DISTINCT id FROM document_chunks WHERE len({TOKENS.format('content')}) > 256",
+    "p5_found": """WITH c AS (SELECT run, query_id, chunk_id, coalesce(max(similarity), '-inf'::DOUBLE) AS s, coalesce(max(rerank_score), '-inf'::DOUBLE) AS r, min(original_rank) AS o FROM reranked_results GROUP BY 1, 2, 3)
+     SELECT x.run, x.query_id, x.chunk_id FROM c x JOIN c y ON x.run = y.run AND x.query_id = y.query_id GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE (y.s > x.s)::INT + (y.r > x.r)::INT + (y.o < x.o)::INT >= 2) < 3""",
+    "p6_found": f"""WITH w AS (SELECT id, unnest(list_distinct({WORDS.format('any_value(content)')})) AS t FROM document_chunks GROUP BY id), n AS (SELECT id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 40), k AS (SELECT w.* FROM w SEMI JOIN n USING (id)),
+     p AS (SELECT a.id AS i, b.id AS j, count(*) AS o FROM k a JOIN k b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2) SELECT i AS id_a, j AS id_b FROM p JOIN n x ON x.id = i JOIN n y ON y.id = j WHERE o >= 0.7 * (x.n + y.n - o)""",
     "p7_found": f"SELECT doc_id FROM documents WHERE len({TOKENS.format('text')}) > 1024",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), e AS (SELECT item_id, {WORDS.format('passage')} AS w FROM eval_items),
+     dg AS (SELECT doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 11)) AS p FROM d)), eg AS (SELECT item_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 11)) AS p FROM e))
+     SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+    "p9_found": """WITH s AS (SELECT DISTINCT doc_id, md5(substr(text, p, 300)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 299)) AS p FROM documents WHERE length(text) >= 300)),
+     r AS (SELECT h FROM s GROUP BY 1 HAVING count(*) > 1), k AS (SELECT s.* FROM s SEMI JOIN r USING (h)) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id""",
 }
