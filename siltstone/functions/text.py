@@ -117,3 +117,21 @@ def fill(template: str, **values: Column) -> Column:
     for name, value in values.items():
         out = F.replace(out, F.lit(f"${name}"), F.coalesce(value.cast("string"), F.lit("")))
     return out
+
+
+def rerank_text(title: Column, section: Column, content: Column) -> Column:
+    """The text that a reranker sees; missing parts leave no line."""
+    line = lambda name, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{name}: "), c))
+    return F.concat_ws("\n", line("Title", title), line("Section", section), line("Content", content))
+
+
+def scored_passage(rank: Column, title: Column, content: Column, score: Column) -> Column:
+    """A numbered passage; the score with four decimals, without its line where it is missing."""
+    head = F.concat(F.lit("["), rank.cast("string"), F.lit("] "), F.coalesce(title, F.lit("")))
+    return F.concat_ws("\n", head, F.when(score.isNotNull(), F.concat(F.lit("Score: "), F.format_string("%.4f", score))), F.coalesce(content, F.lit("")))
+
+
+def chat_messages(system: Column, user: Column, assistant: Column | None = None) -> Column:
+    """An array of {role, content}; without the assistant's turn for inference."""
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    return F.array(turn("system", system), turn("user", user), *([turn("assistant", assistant)] if assistant is not None else []))

@@ -158,3 +158,37 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     counts = base.groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("_p"), F.count_if(F.col("_y") != 1).alias("_n"))
     sums = counts.join(ranks, counts["_s"] == ranks["_v"]).agg(F.sum(F.col("_r") * F.col("_p")).alias("rs"), F.sum("_p").alias("p"), F.sum("_n").alias("n"))
     return sums.select(F.round(F.try_divide(F.col("rs") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("n")), 6).alias("auc"))
+
+
+def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
+    """(threshold, tp, fp, tpr, fpr) at each distinct score, by distributed ranks of counted scores."""
+    from siltstone.plans.ranks import average_ranks
+
+    base = df.select(F.when(F.col(label) == 1, 1).otherwise(0).alias("_y"), F.col(score).alias("_s"))
+    totals = base.agg(F.count_if(F.col("_y") == 1).alias("_p"), F.count_if(F.col("_y") == 0).alias("_n"))
+    above = average_ranks(base, ["_y"], "_s", True, "_r").select("_y", "_s", (F.col("_r") + (F.col("_r_ties") - 1) / 2.0).cast("bigint").alias("_c"), F.col("_r_ties").alias("_t"))
+    counts = above.groupBy("_s").agg(*[F.max(F.when(F.col("_y") == v, F.col("_t"))).alias(n) for v, n in ((1, "_tp"), (0, "_fp"))])
+    place = average_ranks(counts.select(F.lit(0).alias("_g"), "_s"), ["_g"], "_s", True, "_o").select("_s", F.col("_o").cast("int").alias("i"))
+    from siltstone.plans.ranks import running
+
+    ordered = counts.join(place, "_s").withColumn("_g", F.lit(0))
+    summed = running(ordered, "_g", "i", {"tp": ("sum", F.coalesce("_tp", F.lit(0)), True), "fp": ("sum", F.coalesce("_fp", F.lit(0)), True)})
+    out = summed.crossJoin(F.broadcast(totals))  # one row
+    return out.select(F.col("_s").alias("threshold"), "tp", "fp", F.round(N.safe_ratio(F.col("tp"), F.col("_p")), 6).alias("tpr"), F.round(N.safe_ratio(F.col("fp"), F.col("_n")), 6).alias("fpr"))
+
+
+def value_summary(df: DataFrame, values: list[str]) -> DataFrame:
+    """(metric, rows, avg, median, p10, p90, min, max) of several columns; nulls are skipped."""
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in values])).alias("s")
+    return df.select(stack).select("s.*").groupBy("metric").agg(F.count("v").alias("rows"), F.round(F.avg("v"), 6).alias("avg"), F.round(F.median("v"), 6).alias("median"), N.nearest_rank("v", 0.1).alias("p10"), N.nearest_rank("v", 0.9).alias("p90"), F.min("v").alias("min"), F.max("v").alias("max"))
+
+
+def run_summary(df: DataFrame, seconds: str, tokens: str, success: str, usd_per_hour: float) -> DataFrame:
+    """One row: items, failures, seconds and tokens per item, rates and cost; nulls count as 0, rates of nothing are null."""
+    s, t = F.sum(F.coalesce(F.col(seconds), F.lit(0.0))), F.sum(F.coalesce(F.col(tokens), F.lit(0)))
+    n = F.count(F.lit(1))
+    r = lambda c: F.round(c, 6)
+    return df.agg(
+        n.alias("items"), F.count_if(~F.col(success)).alias("failed"), r(s).alias("seconds"), t.alias("tokens"), r(F.try_divide(s, n)).alias("seconds_per_item"), r(F.try_divide(60 * n, s)).alias("items_per_minute"),
+        r(F.try_divide(t, s)).alias("tokens_per_second"), r(s / 3600 * usd_per_hour).alias("usd"), r(F.try_divide(100 * s / 3600 * usd_per_hour, n)).alias("usd_per_100"),
+    )

@@ -130,3 +130,37 @@ def search_fields(chunks: DataFrame, stored_first: bool = True) -> DataFrame:
     pick = lambda stored, found: F.coalesce(stored, *found) if stored_first else F.coalesce(*found, stored)
     out = chunks.withColumns({"title": pick(F.col("title"), title), "section_path": pick(F.col("section_path"), path)})
     return out.withColumn("search_text", F.concat_ws("\n", "title", "section_path", "content"))
+
+
+def web_search(posts: DataFrame, key: str, queries: DataFrame, query_key: str, text: str = "query") -> DataFrame:
+    """(query_key, key, score): documents that satisfy web-style queries (see ``parse_query``).
+
+    The queries are a stated set, parsed in batches; postings are joined on words. Words joined by
+    ``or`` count as one requirement; documents with an excluded word or without a phrase are left out.
+    """
+    kind = queries.schema[query_key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, q in zip(b[query_key], b[text], strict=True):
+                p = parse_query(q)
+                groups = [[w] for w in p["required"]] + p["either"]
+                rows += [(k, "need", g, w, len(groups)) for g, own in enumerate(groups) for w in own]
+                rows += [(k, "not", 0, w, 0) for w in p["excluded"]]
+                rows += [(k, "phrase", 100 * n + i, w, len(own)) for n, own in enumerate(p["phrases"]) for i, w in enumerate(own)]
+            yield pd.DataFrame(rows, columns=[query_key, "role", "slot", "lexeme", "size"])
+
+    parsed = queries.select(query_key, text).mapInPandas(run, f"{query_key} {kind}, role string, slot int, lexeme string, size int")
+    letter = F.col("weight")
+    value = F.when(letter == "A", WEIGHTS["A"]).when(letter == "B", WEIGHTS["B"]).otherwise(WEIGHTS["C"])
+    counted = posts.groupBy(key, "lexeme").agg(F.sum(value).alias("_s"))
+    need = parsed.where("role = 'need'")
+    met = counted.join(need, "lexeme").groupBy(query_key, key).agg(F.countDistinct("slot").alias("_met"), F.max("size").alias("_size"), F.round(F.sum("_s"), 6).alias("score")).where("_met = _size")
+    out = counted.join(parsed.where("role = 'not'"), "lexeme").select(query_key, key).distinct()
+    words = parsed.where("role = 'phrase'").select(query_key, F.floor(F.col("slot") / 100).alias("_p"), (F.col("slot") % 100).alias("i"), "lexeme", "size")
+    at = posts.join(words, "lexeme").groupBy(query_key, "_p", key, (F.col("pos") - F.col("i")).alias("_at")).agg(F.countDistinct("i").alias("_c"), F.max("size").alias("_n")).where("_c = _n")
+    have = at.select(query_key, "_p", key).distinct().groupBy(query_key, key).agg(F.count(F.lit(1)).alias("_have"))
+    want = words.select(query_key, "_p").distinct().groupBy(query_key).agg(F.count(F.lit(1)).alias("_want"))
+    kept = met.join(out, [query_key, key], "left_anti").join(want, query_key, "left").join(have, [query_key, key], "left")
+    return kept.where(F.coalesce("_want", F.lit(0)) == F.coalesce("_have", F.lit(0))).select(query_key, key, "score")

@@ -420,3 +420,57 @@ def grouped_totals(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount")
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
 
+
+
+@query(f"""WITH s AS ({_SCORED}), g AS (SELECT prob AS threshold, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label <> 1) AS n FROM s GROUP BY 1), c AS (SELECT threshold, sum(p) OVER w::BIGINT AS tp, sum(n) OVER w::BIGINT AS fp FROM g WINDOW w AS (ORDER BY threshold DESC))
+ SELECT threshold, tp, fp, round(tp / (SELECT sum(p) FROM g), 6) AS tpr, round(fp / (SELECT sum(n) FROM g), 6) AS fpr FROM c""".replace("sum(p) OVER w::BIGINT", "(sum(p) OVER w)::BIGINT").replace("sum(n) OVER w::BIGINT", "(sum(n) OVER w)::BIGINT"))
+def roc_curve(spark: SparkSession, d: str) -> DataFrame:
+    return E.roc_curve(_scored(spark, d), "label", "prob")
+
+
+_VS = ("similarity", "rerank_score", "lexical_score")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS metric, count({c}) AS rows, round(avg({c}), 6) AS avg, round(median({c}), 6) AS median, quantile_disc({c}, 0.1) AS p10, quantile_disc({c}, 0.9) AS p90, min({c}) AS min, max({c}) AS max FROM reranked_results" for c in _VS))
+def score_summary(spark: SparkSession, d: str) -> DataFrame:
+    return E.value_summary(table(spark, d, "reranked_results", *_VS), list(_VS))
+
+
+@query("""WITH c AS (SELECT value AS s, event_id % 500 AS t, event_id % 9 <> 0 AS ok FROM events) SELECT count(*) AS items, count(*) FILTER (WHERE NOT ok) AS failed, round(sum(s), 6) AS seconds, sum(t)::BIGINT AS tokens, round(sum(s) / count(*), 6) AS seconds_per_item,
+ round(60 * count(*) / sum(s), 6) AS items_per_minute, round(sum(t) / sum(s), 6) AS tokens_per_second, round(sum(s) / 3600 * 0.171, 6) AS usd, round(100 * sum(s) / 3600 * 0.171 / count(*), 6) AS usd_per_100 FROM c""")
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events", "event_id", F.col("value").alias("s")).select("s", (F.col("event_id") % 500).alias("t"), (F.col("event_id") % 9 != 0).alias("ok"))
+    return E.run_summary(ev, "s", "t", "ok", 0.171)
+
+
+@query(f"""WITH {_ONCE}, docs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at) AS rn FROM rag_documents) WHERE rn = 1)
+ SELECT c.id, c.document_id, trim(d.title) AS document_title, json_extract_string(d.metadata, '$.source') AS source FROM once c JOIN docs d ON d.id = c.document_id""")
+def chunks_with_documents(spark: SparkSession, d: str) -> DataFrame:
+    chunks = delivered_once(table(spark, d, "document_chunks", "id", "document_id", "created_at")).select("id", "document_id")
+    docs = delivered_once(table(spark, d, "rag_documents", "id", "title", "metadata", "created_at"))
+    named = docs.select(F.col("id").alias("document_id"), F.trim("title").alias("document_title"), J.field(F.col("metadata"), "source").alias("source"))
+    return chunks.join(named, "document_id").select("id", "document_id", "document_title", "source")
+
+
+@query(f"""WITH {_ONCE}, h AS (SELECT DISTINCT query_id, rank, chunk_id, title, similarity FROM reranked_results WHERE run = 'flat' AND rank <= 3),
+ p AS (SELECT query_id, rank, chunk_id, concat_ws(chr(10), '[' || rank || '] ' || coalesce(h.title, ''), CASE WHEN similarity IS NOT NULL THEN 'Score: ' || printf('%.4f', similarity) END, coalesce(c.content, '')) AS t FROM h LEFT JOIN once c ON c.id = h.chunk_id)
+ SELECT query_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY rank, chunk_id)) AS context_hash, count(*) AS passages FROM p GROUP BY 1""")
+def context_strings(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "reranked_results", "run", "query_id", "rank", "chunk_id", "title", "similarity").where("run = 'flat' and rank <= 3").drop("run").distinct()
+    text = delivered_once(table(spark, d, "document_chunks", "id", "content", "created_at")).select(F.col("id").alias("chunk_id"), "content")
+    part = T.scored_passage(F.col("rank"), F.col("title"), F.col("content"), F.col("similarity"))
+    parts = hits.join(text, "chunk_id", "left").select("query_id", F.struct("rank", "chunk_id", part.alias("t")).alias("p"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"]), "\n\n")
+    return parts.groupBy("query_id").agg(F.sha2(joined, 256).alias("context_hash"), F.count(F.lit(1)).alias("passages"))
+
+
+@query("SELECT query_id, 3 AS turns, 'user' AS second_role, query AS second_content FROM queries")
+def chat_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "queries", "query_id", "query", "expected_route")
+    m = q.select("query_id", T.chat_messages(F.lit("Answer briefly."), F.col("query"), F.coalesce("expected_route", F.lit("none"))).alias("m"))
+    return m.select("query_id", F.size("m").alias("turns"), F.col("m")[1]["role"].alias("second_role"), F.col("m")[1]["content"].alias("second_content"))
+
+
+@query("SELECT doc_id, title FROM documents ORDER BY doc_id LIMIT 50")
+def head_sample(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "title").orderBy("doc_id").limit(50)

@@ -258,3 +258,9 @@ def reranked_provenance(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "reranked_results", "run", "query_id", "rank", "chunk_id", "source").distinct().where("rank <= 10")
     s = F.col("source")
     return h.groupBy("run", "query_id").agg(F.count_if(s == "semantic").alias("semantic_only"), F.count_if(s == "lexical").alias("lexical_only"), F.count_if(~s.isin("semantic", "lexical")).alias("other"), F.count_if(s.isNull()).alias("unknown"))
+
+
+@query()
+def lexical_web_search(spark: SparkSession, d: str) -> DataFrame:
+    hits = L.web_search(_postings(spark, d), "id", table(spark, d, "queries", "query_id", "query"), "query_id")
+    return L.top(hits, "query_id", "id", 20)

@@ -94,3 +94,23 @@ def test_vectors(spark):
     every = {(r["q"], r["id"]) for r in V.topk_cells(base, "id", asked, "q", 5, count=6, probes=6, dims=8).collect()}
     assert every == {(q, i) for q, own in got.items() for i in own}
     assert V.within(base, "id", asked, "q", 0.999, 5, dims=8).count() == 6 and V.topk(base.limit(0), "id", asked.limit(0), "q", 5, dims=8).count() == 0
+
+
+def test_web_search(spark):
+    docs = spark.createDataFrame([(1, "the old mill sells red salt"), (2, "mill old red corn"), (3, "old mill red salt barn"), (4, "old mill red")], "id int, content string")
+    posts = L.postings(docs, "id", {"content": "C"})
+    q = spark.createDataFrame([(1, 'red "old mill" -barn salt or corn'), (2, "red or barn"), (3, ""), (4, None)], "q int, query string")
+    got = {(r["q"], r["id"]) for r in L.web_search(posts, "id", q, "q").collect()}
+    assert got == {(1, 1), (2, 1), (2, 2), (2, 3), (2, 4)}
+
+
+def test_curves_and_summaries(spark):
+    scored = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.1)], "label int, prob double")
+    rows = [tuple(r) for r in E.roc_curve(scored, "label", "prob").orderBy(F.col("threshold").desc()).collect()]
+    assert rows == [(0.9, 1, 1, 0.5, 0.5), (0.5, 2, 1, 1.0, 0.5), (0.1, 2, 2, 1.0, 1.0)]
+    empty = scored.where(F.lit(False)).withColumn("ok", F.lit(True))
+    assert E.run_summary(empty, "prob", "label", "ok", 1.0).first()["items_per_minute"] is None
+    from siltstone.plans.benchmark import timed
+
+    results, times = timed(spark, {"a": lambda: scored}, 2, 0)
+    assert results["a"].count() == 4 and times.first()["count"] == 2
