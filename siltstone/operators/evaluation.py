@@ -114,8 +114,9 @@ def histogram(df: DataFrame, value: str, domain: list[str], name: str = "value")
     """Counts over a fixed domain with zeros, and their share in percent."""
     spark = df.sparkSession
     counts = df.groupBy(F.col(value).alias(name)).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_t"))
-    return spark.createDataFrame([(d,) for d in domain], f"{name} string").join(counts, name, "left").crossJoin(F.broadcast(total)).select(name, F.coalesce("_n", F.lit(0)).alias("count"), N.percent(F.coalesce("_n", F.lit(0)), F.col("_t")).alias("pct"))
+    total = df.agg(F.count(F.lit(1))).first()[0]
+    rows = spark.createDataFrame([(d,) for d in domain], f"{name} string").join(counts, name, "left")
+    return rows.select(name, F.coalesce("_n", F.lit(0)).alias("count"), N.percent(F.coalesce("_n", F.lit(0)), F.lit(total)).alias("pct"))
 
 
 def transitions(df: DataFrame, a: str, b: str, domain: list[str]) -> DataFrame:
@@ -165,7 +166,7 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     from siltstone.plans.ranks import average_ranks
 
     base = df.select(F.when(F.col(label) == 1, 1).otherwise(0).alias("_y"), F.col(score).alias("_s"))
-    totals = base.agg(F.count_if(F.col("_y") == 1).alias("_p"), F.count_if(F.col("_y") == 0).alias("_n"))
+    totals = base.agg(F.count_if(F.col("_y") == 1), F.count_if(F.col("_y") == 0)).first()
     above = average_ranks(base, ["_y"], "_s", True, "_r").select("_y", "_s", (F.col("_r") + (F.col("_r_ties") - 1) / 2.0).cast("bigint").alias("_c"), F.col("_r_ties").alias("_t"))
     counts = above.groupBy("_s").agg(*[F.max(F.when(F.col("_y") == v, F.col("_t"))).alias(n) for v, n in ((1, "_tp"), (0, "_fp"))])
     place = average_ranks(counts.select(F.lit(0).alias("_g"), "_s"), ["_g"], "_s", True, "_o").select("_s", F.col("_o").cast("int").alias("i"))
@@ -173,8 +174,7 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
 
     ordered = counts.join(place, "_s").withColumn("_g", F.lit(0))
     summed = running(ordered, "_g", "i", {"tp": ("sum", F.coalesce("_tp", F.lit(0)), True), "fp": ("sum", F.coalesce("_fp", F.lit(0)), True)})
-    out = summed.crossJoin(F.broadcast(totals))  # one row
-    return out.select(F.col("_s").alias("threshold"), "tp", "fp", F.round(N.safe_ratio(F.col("tp"), F.col("_p")), 6).alias("tpr"), F.round(N.safe_ratio(F.col("fp"), F.col("_n")), 6).alias("fpr"))
+    return summed.select(F.col("_s").alias("threshold"), "tp", "fp", F.round(N.safe_ratio(F.col("tp"), F.lit(totals[0])), 6).alias("tpr"), F.round(N.safe_ratio(F.col("fp"), F.lit(totals[1])), 6).alias("fpr"))
 
 
 def value_summary(df: DataFrame, values: list[str]) -> DataFrame:

@@ -72,12 +72,12 @@ def phrase_match(posts: DataFrame, key: str, phrases: DataFrame, query_key: str)
 def bm25(posts: DataFrame, key: str, terms: DataFrame, query_key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_key, key, score): Okapi BM25 over all fields, any word may match."""
     lengths = posts.groupBy(key).agg(F.count(F.lit(1)).alias("_len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_len").alias("_avg"))
+    docs, average = lengths.agg(F.count(F.lit(1)), F.coalesce(F.avg("_len"), F.lit(1.0))).first()
     tf = posts.join(terms.select("lexeme").distinct(), "lexeme", "left_semi").groupBy(key, "lexeme").agg(F.count(F.lit(1)).alias("_tf"))
     df = tf.groupBy("lexeme").agg(F.count(F.lit(1)).alias("_df"))
-    joined = tf.join(df, "lexeme").join(lengths, key).crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
+    joined = tf.join(df, "lexeme").join(lengths, key)
+    idf = F.log(1 + (F.lit(docs) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.lit(average)))
     return joined.withColumn("_p", part).join(terms, "lexeme").groupBy(query_key, key).agg(F.round(F.sum("_p"), 6).alias("score"))
 
 

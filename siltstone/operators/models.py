@@ -140,16 +140,16 @@ def split_of(key: Column, parts: dict[str, int]) -> Column:
 def standardized(df: DataFrame, columns: list[str], fit_on: Column | None = None) -> DataFrame:
     """(x - mean) / population deviation, fitted on the rows of ``fit_on``; a constant column becomes 0."""
     base = df.where(fit_on) if fit_on is not None else df
-    stats = base.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    out = df.crossJoin(F.broadcast(stats))  # one row
-    return out.select(*[c for c in df.columns if c not in columns], *[F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)).alias(c) for c in columns])
+    stats = base.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scaled = lambda c: F.coalesce(F.try_divide(F.col(c) - F.lit(stats[f"m_{c}"]), F.lit(stats[f"s_{c}"])), F.lit(0.0))
+    return df.select(*[c for c in df.columns if c not in columns], *[scaled(c).alias(c) for c in columns])
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, rows, weight) with weight n / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
-    total = counts.agg(F.sum("rows").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    return counts.crossJoin(F.broadcast(total)).select(label, "rows", F.round(F.col("_n") / (F.col("_k") * F.col("rows")), 6).alias("weight"))
+    total, classes = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+    return counts.select(label, "rows", F.round(F.lit(total) / (F.lit(classes) * F.col("rows")), 6).alias("weight"))
 
 
 def logistic_scores(df: DataFrame, key: str, features: list[str], label: str, hidden: list[int] | None = None) -> DataFrame:

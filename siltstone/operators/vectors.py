@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries per block: a block of 64 numbers each is 2 MB, whatever the size of the collection.
-BLOCK = 4096
+BLOCK, MOST = 4096, 256
 
 
 def _unit(rows: list, dims: int) -> np.ndarray:
@@ -25,15 +25,21 @@ def _unit(rows: list, dims: int) -> np.ndarray:
     return out
 
 
-def _blocks(queries: DataFrame, query_key: str, vector: str) -> list[tuple[list, list]]:
-    """The stated query set, cut into bounded blocks on the driver."""
-    rows = queries.select(query_key, vector).dropDuplicates([query_key]).orderBy(query_key)
-    blocks: list[tuple[list, list]] = []
+def _blocks(queries: DataFrame, query_key: str, vector: str, more: list[str]) -> list[tuple[list, ...]]:
+    """The stated query set, cut into blocks on the driver: at most ``MOST`` of them.
+
+    Exact search costs a pass over the collection per block, so a larger set is refused here; the
+    forest of the training-text operators answers every row of a collection.
+    """
+    rows = queries.select(query_key, vector, *more).dropDuplicates([query_key]).orderBy(query_key)
+    blocks: list[tuple[list, ...]] = []
     for r in rows.toLocalIterator():
         if not blocks or len(blocks[-1][0]) >= BLOCK:
-            blocks.append(([], []))
-        blocks[-1][0].append(r[0])
-        blocks[-1][1].append(r[1])
+            if len(blocks) == MOST:
+                raise ValueError(f"more than {MOST * BLOCK} queries for an exact search")
+            blocks.append(tuple([] for _ in r))
+        for own, value in zip(blocks[-1], r, strict=True):
+            own.append(value)
     return blocks
 
 
@@ -44,11 +50,10 @@ def scores(base: DataFrame, key: str, queries: DataFrame, query_key: str, vector
     Scoring is one matrix product per Arrow batch in float64; only k rows per query and task leave it.
     """
     spark = base.sparkSession
-    probes = {r[0]: r[1] for r in queries.select(query_key, "cells").collect()} if among else {}
     kinds = base.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
     parts = []
-    for ids, vectors in _blocks(queries, query_key, vector):
-        shared = spark.sparkContext.broadcast((ids, _unit(vectors, dims), [set(probes.get(i) or ()) for i in ids]))
+    for ids, vectors, *probes in _blocks(queries, query_key, vector, ["cells"] if among else []):
+        shared = spark.sparkContext.broadcast((ids, _unit(vectors, dims), [set(c or ()) for c in probes[0]] if probes else []))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q, cells = shared.value

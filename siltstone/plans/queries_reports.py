@@ -153,7 +153,7 @@ def classify_failures(spark: SparkSession, d: str) -> DataFrame:
 @query(_FAIL_SQL + " SELECT label, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM cl), 2) AS pct FROM cl GROUP BY 1")
 def failure_shares(spark: SparkSession, d: str) -> DataFrame:
     f = written(_failures(spark, d), "failures")
-    return f.groupBy("label").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(f.agg(F.count(F.lit(1)).alias("t")))).select("label", "n", N.percent(F.col("n"), F.col("t")).alias("pct"))
+    return f.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", "n", N.percent(F.col("n"), F.lit(f.count())).alias("pct"))
 
 
 @query(_FAIL_SQL + " SELECT query_id, recall, label FROM cl ORDER BY coalesce(recall, 0), query_id LIMIT 10")
