@@ -6,8 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch sent to a Python worker: rows alone would not bound batches of long texts.
+BATCH_BYTES = 32 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Lowers the session's Arrow batch size in bytes to ``limit`` if it is higher."""
+    if int(spark.conf.get(_SETTING).rstrip("bB")) > limit:
+        spark.conf.set(_SETTING, str(limit))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """``name`` of ``sf_dir``; ``columns`` prunes the scan. All rows, no filter."""
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 

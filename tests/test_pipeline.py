@@ -116,3 +116,16 @@ def test_entry_works_without_the_subpackage(monkeypatch):
     monkeypatch.setattr(importlib, "import_module", missing)
     names = entry.queries()
     assert "vector_topk_flat" in names and not any(n.startswith("p1_") for n in names) and set(entry.oracle_sql()) <= set(names)
+
+
+def test_batches_are_bounded_in_bytes(spark, tmp_path):
+    import pyarrow as pa
+
+    from siltstone.sources.tables import BATCH_BYTES, bound_batches, table
+
+    spark.range(64).selectExpr("id", "repeat('x', 2000000) as t").coalesce(1).write.parquet(str(tmp_path / "big.parquet"))
+    df = table(spark, str(tmp_path), "big", "id", "t")
+    most = df.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in it), "n bigint").agg(F.max("n")).first()[0]
+    assert most <= 1.2 * BATCH_BYTES
+    bound_batches(spark, 1 << 40)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES
