@@ -30,6 +30,14 @@ def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return delivered_once(table(spark, d, "document_chunks", "id", *columns, "created_at")).drop("created_at")
 
 
+def _each(spark: SparkSession, d: str, *derived) -> DataFrame:
+    """(id, derived...) once per chunk: what is derived from the text is shuffled, not the text.
+
+    Rows delivered again have equal values, so any of them gives the same row.
+    """
+    return table(spark, d, "document_chunks", "id", *derived).dropDuplicates(["id"])
+
+
 @query(f"""SELECT doc_id, {_strip('title')} AS title, length({_norm('text')}) AS chars, sha256({_norm('text')}) AS text_hash FROM documents
  WHERE length({_strip('title')}) > 0 AND length({_strip('text')}) >= 500""")
 def ingest_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +81,7 @@ _label = lambda x: f"({_strip(x)} <> '' AND ({_count(x)} <= 8 OR ({_count(x)} <=
  count(*) FILTER (WHERE mid) AS mid_sentence_ends, count(*) FILTER (WHERE fr) AS fragment_starts, count(*) FILTER (WHERE la) AS short_labels, round(100 * count(*) FILTER (WHERE fr) / count(*), 2) AS fragment_pct FROM q""")
 def chunk_quality_report(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("content")
-    q = _chunks(spark, d, "content").select(T.token_count(c).alias("n"), T.starts_lower(c).alias("lo"), T.starts_punctuated(c).alias("pu"), T.ends_mid_sentence(c).alias("mid"), T.starts_like_fragment(c).alias("fr"), T.short_label(c).alias("la"))
+    q = _each(spark, d, T.token_count(c).alias("n"), T.starts_lower(c).alias("lo"), T.starts_punctuated(c).alias("pu"), T.ends_mid_sentence(c).alias("mid"), T.starts_like_fragment(c).alias("fr"), T.short_label(c).alias("la"))
     n = F.col("n")
     count = F.count(F.lit(1))
     return q.agg(
@@ -87,7 +95,7 @@ def chunk_quality_report(spark: SparkSession, d: str) -> DataFrame:
 def duplicate_ratio(spark: SparkSession, d: str) -> DataFrame:
     # Only a 128-bit hash of each folded text is shuffled and counted.
     x = T.folded(F.col("content"))
-    g = _chunks(spark, d, "content").where(x != "").groupBy(F.md5(x).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    g = _each(spark, d, F.when(x != "", F.md5(x)).alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     return g.agg(F.sum("c").alias("texts"), F.sum(F.col("c") - 1).alias("repeats"), F.round(N.safe_ratio(F.sum(F.col("c") - 1), F.sum("c")), 6).alias("duplicate_ratio"))
 
 
@@ -100,7 +108,7 @@ _set = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '{_S}+'))"  # no
 def adjacent_jaccard(spark: SparkSession, d: str) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(f"{T.NOT_WS}+"), F.lit(0)))
     # Only the distinct words' hashes travel; the neighbour is met by an equi-join, so a hot document is no single task.
-    base = _chunks(spark, d, "document_id", "chunk_index", "content").select("document_id", "chunk_index", F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
+    base = _each(spark, d, "document_id", "chunk_index", F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
     after = base.select("document_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("w").alias("v"))
     j = base.join(after, ["document_id", "chunk_index"]).select(N.safe_ratio(F.size(F.array_intersect("w", "v")), F.size(F.array_union("w", "v"))).alias("j"))
     return j.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("j"), 6).alias("avg_jaccard"), F.round(F.median("j"), 6).alias("median_jaccard"), F.round(N.nearest_rank("j", 0.9), 6).alias("p90_jaccard"), F.round(F.max("j"), 6).alias("max_jaccard"))
@@ -112,13 +120,13 @@ _flat = "regexp_replace(coalesce(content, ''), '\\n', ' ', 'g')"
 @query(f"""WITH {_ONCE} SELECT id, {_count('content')} AS tokens, CASE WHEN length({_strip(_flat)}) > 500 THEN substr({_strip(_flat)}, 1, 500) || '...' ELSE {_strip(_flat)} END AS preview FROM once ORDER BY tokens, id LIMIT 20""")
 def shortest_chunks(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("content")
-    return _chunks(spark, d, "content").select("id", T.token_count(c).alias("tokens"), T.preview(c).alias("preview")).orderBy("tokens", "id").limit(20)
+    return _each(spark, d, T.token_count(c).alias("tokens"), T.preview(c).alias("preview")).orderBy("tokens", "id").limit(20)
 
 
 @query(f"WITH {_ONCE} SELECT id, {_frag('content')} AS fragment, {_label('content')} AS label FROM once WHERE {_frag('content')} OR {_label('content')} ORDER BY id LIMIT 20")
 def fragment_examples(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("content")
-    return _chunks(spark, d, "content").select("id", T.starts_like_fragment(c).alias("fragment"), T.short_label(c).alias("label")).where("fragment or label").orderBy("id").limit(20)
+    return _each(spark, d, T.starts_like_fragment(c).alias("fragment"), T.short_label(c).alias("label")).where("fragment or label").orderBy("id").limit(20)
 
 
 _lines = lambda x: f"list_filter(list_transform(string_split({_norm(x)}, chr(10)), lambda l: {_strip('l')}), lambda l: l <> '')"
@@ -170,17 +178,18 @@ def prev_next_links(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_ONCE} SELECT document_id, count(*) AS chunks, round(avg({_count('content')}), 6) AS avg_tokens, min({_count('content')}) AS min_tokens, count(*) FILTER (WHERE {_count('content')} < 40) AS under_40,
  count(*) FILTER (WHERE {_low('content')}) AS lowercase, count(*) FILTER (WHERE {_punct('content')}) AS punctuation, count(*) FILTER (WHERE {_share('content', chr(92) + 'p{Nd}')} > 0.2) AS numeric_heavy FROM once GROUP BY 1""")
 def chunk_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    c, n = F.col("content"), T.token_count(F.col("content"))
-    return _chunks(spark, d, "document_id", "content").groupBy("document_id").agg(
+    c, n = F.col("content"), F.col("n")
+    each = _each(spark, d, "document_id", T.token_count(c).alias("n"), T.starts_lower(c).alias("lo"), T.starts_punctuated(c).alias("pu"), (T.numeric_ratio(c) > 0.2).alias("nu"))
+    return each.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.round(F.avg(n), 6).alias("avg_tokens"), F.min(n).alias("min_tokens"), F.count_if(n < 40).alias("under_40"),
-        F.count_if(T.starts_lower(c)).alias("lowercase"), F.count_if(T.starts_punctuated(c)).alias("punctuation"), F.count_if(T.numeric_ratio(c) > 0.2).alias("numeric_heavy"),
+        F.count_if("lo").alias("lowercase"), F.count_if("pu").alias("punctuation"), F.count_if("nu").alias("numeric_heavy"),
     )
 
 
 @query(f"WITH {_ONCE} SELECT id, round({_share('content', chr(92) + 'p{L}')}, 6) AS alpha_ratio, round({_share('content', chr(92) + 'p{Nd}')}, 6) AS numeric_ratio, {_mid('content')} AS mid_sentence FROM once")
 def text_ratios(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("content")
-    return _chunks(spark, d, "content").select("id", F.round(T.alpha_ratio(c), 6).alias("alpha_ratio"), F.round(T.numeric_ratio(c), 6).alias("numeric_ratio"), T.ends_mid_sentence(c).alias("mid_sentence"))
+    return _each(spark, d, F.round(T.alpha_ratio(c), 6).alias("alpha_ratio"), F.round(T.numeric_ratio(c), 6).alias("numeric_ratio"), T.ends_mid_sentence(c).alias("mid_sentence"))
 
 
 @query("SELECT query_id, array_to_string(list_filter(regexp_split_to_array(replace(replace(replace(replace(lower(coalesce(query, '')), '?', ''), ',', ''), '.', ''), '/', ' '), '[ \\t\\n\\r\\x0B\\f]+'), lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], w)), ' ') AS keywords FROM queries")
