@@ -22,8 +22,10 @@ from siltstone.llm.neardup import pairs_of
 from siltstone.plans.cut import written
 
 SHARD_TEXTS = 500
-#: Occurrences of one phrase that are compared directly; more are classed by their windows.
+#: Occurrences of one phrase that are compared directly; more are paired by their equal windows.
 DIRECT = 256
+#: Texts with an equal window that are paired in one task; more are cut into parts, two of which make a task.
+PART = 1000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -151,8 +153,9 @@ def extended(occ: DataFrame, width: int, least: int) -> DataFrame:
     """(a, a_start, a_end, b, b_start, b_end): common spans of ``least`` or more characters around common phrases.
 
     A phrase with up to ``DIRECT`` occurrences has them compared with each other; of a more
-    frequent phrase each occurrence names the windows of ``least`` characters around it, and
-    occurrences with an equal window are linked to the first text that has it.
+    frequent phrase each occurrence names the windows of ``least`` characters around it. Every two
+    texts with an equal window are paired (once for all windows that the same texts have), and each
+    window is given once more beside the first text that has it, so that no shared character is missed.
     """
     reach = least - width
     often = occ.groupBy("p").agg((F.count(F.lit(1)) > DIRECT).alias("often"))
@@ -206,7 +209,26 @@ def extended(occ: DataFrame, width: int, least: int) -> DataFrame:
     first = many.groupBy("p", "w").agg(F.min(F.struct("t", "start")).alias("f"))
     linked = many.join(first, ["p", "w"]).where(F.col("t") != F.col("f.t"))
     linked = linked.select(F.col("f.t").alias("a"), F.col("f.start").alias("a_start"), (F.col("f.start") + least).alias("a_end"), F.col("t").alias("b"), F.col("start").alias("b_start"), (F.col("start") + least).alias("b_end"))
-    return few.unionByName(linked.distinct())
+    return few.unionByName(linked.distinct()).unionByName(_paired(many, least))
+
+
+def _paired(many: DataFrame, least: int) -> DataFrame:
+    """Every pair of different texts with an equal window, from (p, t, start, w), with one window for each pair.
+
+    The windows that the same set of texts has are joined once, over cells of ``PART`` texts by ``PART``.
+    """
+    held = written(many.groupBy("p", "w", "t").agg(F.min("start").alias("start")), "held")
+    sets = held.groupBy("p", "w").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("t").cast("decimal(38,0)")).alias("texts")).where("n > 1")
+    one = sets.groupBy("n", "texts").agg(F.min(F.struct("p", "w")).alias("m")).select("m.p", "m.w", F.ceil(F.col("n") / PART).cast("int").alias("r"))
+    side = held.join(one, ["p", "w"]).withColumn("i", F.pmod(F.xxhash64("t", F.lit("part")), F.col("r")).cast("int"))
+    left = side.select("p", "w", "i", F.explode(F.sequence("i", F.col("r") - 1)).alias("j"), F.col("t").alias("a"), F.col("start").alias("a_start"))
+    right = side.select("p", "w", F.explode(F.sequence(F.lit(0), "i")).alias("_i"), F.col("i").alias("j"), F.col("t").alias("b"), F.col("start").alias("b_start")).withColumnRenamed("_i", "i")
+    met = left.join(right, ["p", "w", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    swap = F.col("a") > F.col("b")
+    x, y = F.struct("a", "a_start"), F.struct(F.col("b").alias("a"), F.col("b_start").alias("a_start"))
+    met = met.select(F.when(swap, y).otherwise(x).alias("x"), F.when(swap, x).otherwise(y).alias("y"))
+    pairs = met.groupBy(F.col("x.a").alias("a"), F.col("y.a").alias("b")).agg(F.min(F.struct("x.a_start", F.col("y.a_start").alias("b_start"))).alias("at"))
+    return pairs.select("a", "at.a_start", (F.col("at.a_start") + least).alias("a_end"), "b", "at.b_start", (F.col("at.b_start") + least).alias("b_end"))
 
 
 def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 300) -> tuple[DataFrame, DataFrame]:
@@ -214,9 +236,8 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
     membership: id, s (the class), chars, for texts of at least ``least`` characters (code points).
     spans: a, a_start, a_end, b, b_start, b_end with classes a and b: for every pair of different
-    texts with a common span of ``least`` or more characters at least one such span, and together
-    all characters that they share in such spans. Where more than ``DIRECT`` texts have a phrase,
-    those with an equal window are linked to one of them instead of to each other. Null, empty and
+    texts with a common span of ``least`` or more characters at least one such span, and for each
+    text together all characters that it shares in such spans. Null, empty and
     shorter texts give no row. A text that is repeated within itself only is not shared.
     """
     if least < 3:

@@ -51,6 +51,26 @@ def test_pairs_and_shares_equal_brute_force(spark, monkeypatch, seed, direct):
     assert {r["id"]: r["shared_chars"] for r in S.shares(members, spans).collect()} == {i: len(v) for i, v in expect.items()}
 
 
+def test_a_frequent_span_gives_every_pair(spark, monkeypatch):
+    rnd = random.Random(5)
+    make = lambda n: "".join(rnd.choice("abcde é\n") for _ in range(n))
+    notice, other = make(450), make(320)
+    docs = [make(60) + notice + make(60) + (other if i % 3 == 0 else "") + make(20) for i in range(S.DIRECT + 14)]
+    docs += [make(40) + notice[:310] + make(80) for _ in range(9)]
+    rows = [(i, t, "") for i, t in enumerate(docs)]
+    true = brute(rows)[0]
+    assert len(true) == len(docs) * (len(docs) - 1) // 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, s string")
+    for part in (1000, 40):
+        monkeypatch.setattr(S, "PART", part)
+        members, spans = S.shared_spans(df)
+        assert {tuple(r) for r in S.span_pairs(members, spans).collect()} == true
+    texts = {i: t for i, t, _ in rows}
+    names = {r["s"]: texts[r["id"]] for r in members.collect()}
+    assert all(names[r["a"]][r["a_start"] : r["a_end"]] == names[r["b"]][r["b_start"] : r["b_end"]] for r in spans.limit(2000).collect())
+    assert {r["texts"] for r in S.shares(members, spans).collect()} == {len(docs) - 1}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert S.span_pairs(*S.shared_spans(df)).count() == 0
