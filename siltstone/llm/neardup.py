@@ -29,9 +29,8 @@ PARITY = [f"b{k}" for k in range(MAPS)] + [f"c{k}" for k in range(SKETCH)]
 #: cells, each pair of which is a task of its own.
 HOT = 20_000
 RARE = 1 << 62  # ranked words are numbered from here, all others are below by their hash
-#: Classes of equal sets up to this size are written out pair by pair, larger ones as a star around
-#: their smallest id (all links between different sets are kept either way).
-EXPAND = 200
+#: Ids of one class that are paired in one task; a larger class is cut into parts, two of which make a task.
+PART = 1000
 
 
 def _grams(text: str, gram: int) -> set[str]:
@@ -59,9 +58,9 @@ def gram_counts(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
 
 
 def ordered_sets(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
-    """(id, s, n, f0.., b0.., c0..): each row's n-grams in the global order, cut into fragments.
+    """(id, s, n, copy, f0.., b0.., c0..): each row's n-grams in the global order, cut into fragments.
 
-    ``s`` names the set; b0 to b3 hold the parity of the set in 256 cells, so the number of cells
+    ``s`` names the set, ``copy`` the exact text; b0 to b3 hold the parity of the set in 256 cells, so the number of cells
     in which two sets differ is a lower bound of their symmetric difference; c0 to c7 do so in 512.
     """
     spark = rows.sparkSession
@@ -80,7 +79,7 @@ def ordered_sets(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
         for batch in batches:
             if len(known) > 1_000_000:
                 known.clear()
-            keys, flat, sizes, names = [], [], [], []
+            keys, flat, sizes, names, copies = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = _grams(text, gram) if text else ()
                 if len(own) < least_grams or key is None:
@@ -96,6 +95,7 @@ def ordered_sets(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
                 keys.append(key)
                 flat += order
                 sizes.append(len(order))
+                copies.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
             all_, size = np.array(flat, np.int64), np.array(sizes, np.int64)
             start = np.concatenate([[0], np.cumsum(size)])
             names = [xxhash.xxh3_64_intdigest(all_[a:b].tobytes()) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
@@ -112,12 +112,12 @@ def ordered_sets(rows: DataFrame, gram: int, least_grams: int) -> DataFrame:
                 counts = np.add.reduceat(inside, start[:-1]) if len(keys) else np.zeros(0, int)
                 lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(all_[inside])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(size.astype(np.int32)), *lists, *[pa.array(m.view(np.int64)) for m in maps]],
-                names=["id", "s", "n", *(f"f{k}" for k in range(FRAGMENTS)), *PARITY],
+                [pa.array(keys, pa.string()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(size.astype(np.int32)), pa.array(np.array(copies, np.uint64).view(np.int64)), *lists, *[pa.array(m.view(np.int64)) for m in maps]],
+                names=["id", "s", "n", "copy", *(f"f{k}" for k in range(FRAGMENTS)), *PARITY],
             )
 
     fragments = ", ".join(f"f{k} array<bigint>" for k in range(FRAGMENTS))
-    return rows.mapInArrow(run, f"id string, s bigint, n int, {fragments}, " + ", ".join(f"{c} bigint" for c in PARITY))
+    return rows.mapInArrow(run, f"id string, s bigint, n int, copy bigint, {fragments}, " + ", ".join(f"{c} bigint" for c in PARITY))
 
 
 def _joined(t: float, rows: int = 200_000, most: int = 2_000_000):
@@ -220,30 +220,52 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
 def near_duplicates(chunks: DataFrame, threshold: float = 0.7, gram: int = 1, least_grams: int = 40) -> tuple[DataFrame, DataFrame]:
     """(membership, links): classes of equal n-gram sets and the links between similar classes.
 
-    ``chunks`` has id and content. membership: id, s (the class), n. links: a, b (classes),
-    overlap, jaccard, for every pair of different classes with a similarity of ``threshold`` or more.
+    ``chunks`` has id and content. membership: id, s (the class), n, copy (the exact text).
+    links: a, b (classes), overlap, jaccard, for every pair of different classes with a similarity of ``threshold`` or more.
     Only texts with ``least_grams`` different n-grams take part: null, empty, blank and short
     texts, and null ids, give no row. A row delivered again counts once. One class may hold any
     share of the rows: it is one set in the join.
     """
     sets = written(ordered_sets(chunks.select("id", "content"), gram, least_grams), "ordered")
-    return sets.select("id", "s", "n").distinct(), similar_sets(sets, threshold)
+    return sets.select("id", "s", "n", "copy").distinct(), similar_sets(sets, threshold)
 
 
-def pairs_of(membership: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:
+def pairs_of(membership: DataFrame, links: DataFrame, expand: int | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b: the links as pairs of ids, and the pairs within each class.
 
-    Classes of at most ``expand`` ids are written out; a larger class of copies gives a star of its
-    smallest id, which also stands for it in links to other classes.
+    Every pair is given, in cells of ``PART`` ids by ``PART``. Only if ``expand`` is set, more than so
+    many copies of one text (``copy``, where membership has it, else the class) give a star of their
+    smallest id, which also stands for them in pairs with others.
     """
-    sizes = membership.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("head"))
-    members = membership.select("id", "s").join(sizes, "s")
-    stand = members.where((F.col("size") <= expand) | (F.col("id") == F.col("head"))).select("s", "id")
-    across = links.select("a", "b").join(stand.select(F.col("s").alias("a"), F.col("id").alias("i")), "a").join(stand.select(F.col("s").alias("b"), F.col("id").alias("j")), "b").select("i", "j")
-    few = members.where((F.col("size") > 1) & (F.col("size") <= expand)).select("s", "id")
-    within = few.select("s", F.col("id").alias("i")).join(few.select("s", F.col("id").alias("j")), "s").where(F.col("i") < F.col("j")).select("i", "j")
-    star = members.where((F.col("size") > expand) & (F.col("id") != F.col("head"))).select(F.col("head").alias("i"), F.col("id").alias("j"))
-    every = across.unionByName(within).unionByName(star)
+    members = membership.select("id", "s", F.col("copy" if "copy" in membership.columns else "s").alias("copy"))
+    star = None
+    if expand is not None:
+        copies = members.groupBy("s", "copy").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("head"))
+        members = members.join(copies, ["s", "copy"])
+        apart = (F.col("copies") > expand) & (F.col("id") != F.col("head"))
+        star = members.where(apart).select(F.col("head").alias("i"), F.col("id").alias("j"))
+        members = members.where(~apart)
+    sizes = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"))
+    large = written(sizes.where(F.col("size") > PART).select("s", F.ceil(F.col("size") / PART).cast("int").alias("r")), "large")
+    few = members.join(sizes.where(F.col("size") > 1), "s").select("s", "id")
+    sides = links.select("a", "b")
+    if large.head(1):
+        parts = lambda df, c: df.join(large.withColumnRenamed("s", c), c, "left").withColumn("r", F.coalesce("r", F.lit(1)))
+        part = F.pmod(F.xxhash64("id"), F.col("r")).cast("int")
+        stand = parts(members.select("s", "id"), "s").select("s", "id", part.alias("k"))
+        for c in ("a", "b"):
+            sides = parts(sides, c).withColumn(f"{c}k", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).drop("r")
+        across = sides.join(stand.select(F.col("s").alias("a"), F.col("k").alias("ak"), F.col("id").alias("i")), ["a", "ak"]).join(stand.select(F.col("s").alias("b"), F.col("k").alias("bk"), F.col("id").alias("j")), ["b", "bk"]).select("i", "j")
+        cells = parts(few, "s").select("s", "id", "r", part.alias("k"))
+        left = cells.select("s", F.col("k").alias("x"), F.explode(F.sequence("k", F.col("r") - 1)).alias("y"), F.col("id").alias("i"))
+        right = cells.select("s", F.explode(F.sequence(F.lit(0), "k")).alias("x"), F.col("k").alias("y"), F.col("id").alias("j"))
+        within = left.join(right, ["s", "x", "y"]).where((F.col("x") < F.col("y")) | (F.col("i") < F.col("j"))).select("i", "j")
+    else:
+        across = sides.join(members.select(F.col("s").alias("a"), F.col("id").alias("i")), "a").join(members.select(F.col("s").alias("b"), F.col("id").alias("j")), "b").select("i", "j")
+        within = few.select("s", F.col("id").alias("i")).join(few.select("s", F.col("id").alias("j")), "s").where(F.col("i") < F.col("j")).select("i", "j")
+    every = across.unionByName(within)
+    if star is not None:
+        every = every.unionByName(star)
     return every.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
 
 

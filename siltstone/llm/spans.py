@@ -255,7 +255,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
 
 def span_pairs(membership: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: documents with a common span; large classes of copies as stars."""
+    """(doc_a, doc_b), doc_a < doc_b: every two documents with a common span."""
     pairs = pairs_of(membership, spans.select("a", "b").distinct())
     return pairs.select(F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"))
 

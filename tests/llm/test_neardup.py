@@ -67,6 +67,18 @@ def test_large_class_becomes_a_star(spark):
     assert D.pairs_of(*D.near_duplicates(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("part", [1000, 50])
+def test_large_class_of_different_texts_gives_every_pair(spark, monkeypatch, part):
+    rnd, own = random.Random(4), WORDS[:60]
+    rows = [(f"k{i:03d}", " ".join(rnd.sample(own, 60)), "") for i in range(220)] + [("near", " ".join(own) + " one more", ""), ("near2", "more one " + " ".join(own), "")]
+    monkeypatch.setattr(D, "PART", part, raising=False)
+    members, links = D.near_duplicates(spark.createDataFrame(rows, "id string, content string, s string"))
+    true = brute(rows)
+    assert len(true) == 222 * 221 // 2 and {tuple(r) for r in D.pairs_of(members, links).collect()} == true
+    if part == 50:  # other texts with the same words are no copies
+        assert {tuple(r) for r in D.pairs_of(members, links, expand=5).collect()} == true
+
+
 def test_word_shingles(spark):
     base = " ".join(f"t{i}" for i in range(100))
     df = spark.createDataFrame([("a", base, ""), ("b", base.replace("t50", "zz"), ""), ("c", " ".join(reversed(base.split())), "")], "id string, content string, s string")
