@@ -9,6 +9,7 @@ from siltstone.plans.cut import written
 from siltstone.plans.ranks import average_ranks
 
 BLOCK, HEAD = 64, 3
+PART = 1000  # items of a list that one task compares with as many others
 WINDOW = 100_000  # rows of a group that one task may sort
 
 
@@ -48,6 +49,41 @@ def borda(cands: DataFrame, group: list[str], item: str, scores: dict[str, bool]
     return ranked.groupBy(*group, item).agg(F.sum(points).alias("points"))
 
 
+def _fields(scores: dict[str, bool]) -> list[Column]:
+    """f0, f1, ..: the scores, greater is better, null below every value."""
+    return [F.coalesce(F.col(c) if high else -F.col(c), F.lit(float("-inf"))).alias(f"f{k}") for k, (c, high) in enumerate(scores.items())]
+
+
+def _beats(y: Column, x: Column, fields: int) -> Column:
+    """Whether y is better than x in more than half of the fields."""
+    won: Column = F.lit(0)
+    for k in range(fields):
+        won = won + (y[f"f{k}"] > x[f"f{k}"]).cast("int")
+    return won >= fields // 2 + 1
+
+
+def _against_leaders(left: DataFrame, group: list[str], fields: int) -> DataFrame:
+    """``left`` without items that HEAD of their list's leaders (by each field, ties by the others) beat."""
+    orders = F.array(*[F.struct(F.lit(k).alias("k"), F.struct(*[F.col(f"c.f{(k + i * step) % fields}").alias(f"v{i}") for i in range(fields)]).alias("v")) for k in range(fields) for step in (1, fields - 1)])
+    keyed = left.select(*group, "c", F.explode(orders).alias("o"))
+    place = F.row_number().over(Window.partitionBy(*group, "o.k").orderBy(F.col("o.v").desc(), "c.item"))
+    leaders = keyed.withColumn("_place", place).where(F.col("_place") <= BLOCK // 4).groupBy(*group).agg(F.collect_set("c").alias("_leaders"))
+    kept = F.size(F.filter("_leaders", lambda y: _beats(y, F.col("c"), fields))) < HEAD
+    return left.join(leaders, group).where(kept).select(*group, "c")
+
+
+def _counted(left: DataFrame, group: list[str], fields: int) -> DataFrame:
+    """``left`` without items that HEAD others of their list beat, every two compared in cells of PART by PART."""
+    sizes = left.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_r"))
+    side = left.join(sizes, group).withColumn("_k", F.pmod(F.xxhash64("c.item"), F.col("_r")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_r") - 1))
+    x = side.select(*group, F.col("_k").alias("_x"), every.alias("_y"), F.col("c").alias("_own"))
+    y = side.select(*group, every.alias("_x"), F.col("_k").alias("_y"), F.col("c").alias("_other"))
+    lost = x.join(y, [*group, "_x", "_y"]).where(_beats(F.col("_other"), F.col("_own"), fields))
+    lost = lost.groupBy(*group, F.col("_own.item").alias("_item")).count().where(F.col("count") >= HEAD).select(*group, "_item")
+    return left.withColumn("_item", F.col("c.item")).join(lost, [*group, "_item"], "left_anti").drop("_item")
+
+
 def majority_head(cands: DataFrame, group: list[str], item: str, scores: dict[str, bool], most: int) -> DataFrame:
     """The items that fewer than ``HEAD`` others beat in most scores, found by elimination in blocks.
 
@@ -56,30 +92,32 @@ def majority_head(cands: DataFrame, group: list[str], item: str, scores: dict[st
     beaten by fewer than HEAD items (each other) and all others by HEAD or more. Losses only grow
     when more items are seen, so an item with HEAD losses inside any block of at most about BLOCK
     items can go; the members stay in every round, and meet the rest in the last. A list of any
-    length is thus reduced by rounds of small blocks, and no list is gathered in one task. A list
-    that ties keep larger than a head has no such set and no head.
+    length is thus reduced by rounds of small blocks, and no list is gathered in one task. Where
+    ties keep a round from reducing the largest list, the rest is compared with the leaders of its
+    list and, if that does not help, every two items are, in cells. A list that still keeps more
+    than a head has no such set and no head; the other lists keep theirs.
     """
-    majority = len(scores) // 2 + 1
-    low = F.lit(float("-inf"))
-    fields = [F.coalesce(F.col(c) if high else -F.col(c), low).alias(f"f{k}") for k, (c, high) in enumerate(scores.items())]
-    left = cands.select(*group, F.struct(*fields, F.col(item).alias("item")).alias("c"))
-
-    def beats(y: Column, x: Column) -> Column:
-        won: Column = F.lit(0)
-        for k in range(len(scores)):
-            won = won + (y[f"f{k}"] > x[f"f{k}"]).cast("int")
-        return won >= majority
+    left = cands.select(*group, F.struct(*_fields(scores), F.col(item).alias("item")).alias("c"))
 
     def survivors(every: str) -> Column:
-        return F.filter(every, lambda x: F.size(F.filter(F.col(every), lambda y: beats(y, x))) < HEAD)
+        return F.filter(every, lambda x: F.size(F.filter(F.col(every), lambda y: _beats(y, x, len(scores)))) < HEAD)
+
+    def largest() -> int:
+        return left.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
 
     while most > BLOCK:
         salted = left.withColumn("_salt", F.pmod(F.xxhash64("c.item", F.lit(most)), F.lit(-(-most // BLOCK) * 2)))
         left = written(salted.groupBy(*group, "_salt").agg(F.collect_list("c").alias("_all")).select(*group, F.explode(survivors("_all")).alias("c")), "head")
-        before, most = most, left.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-        if most > 0.9 * before:
-            left = left.where(F.lit(False)) if most > 100 * BLOCK else left
-            break
+        before, most = most, largest()
+        if most > max(BLOCK, 0.9 * before):
+            left = written(_against_leaders(left, group, len(scores)), "head")
+            before, most = most, largest()
+            if most > max(BLOCK, 0.9 * before):
+                left = written(_counted(left, group, len(scores)), "head")
+                # All losses are counted: a list with more items left than a block has no head.
+                short = left.groupBy(*group).count().where(F.col("count") <= BLOCK).select(*group)
+                left = left.join(short, group, "left_semi")
+                break
     last = left.groupBy(*group).agg(F.collect_list("c").alias("_all")).select(*group, survivors("_all").alias("_left"))
     return last.where(F.size("_left") <= HEAD).select(*group, F.explode("_left.item").alias(item))
 

@@ -42,6 +42,33 @@ def test_hot_list_takes_the_same_result(spark, monkeypatch):
     assert plain == hot and sum(v[2] for k, v in hot.items() if k[0] == 1) == 3
 
 
+def tied(n, q):
+    """Three leaders in all fields; the others tie in two of three."""
+    own = [("a", q, f"i{k:05d}", None, None, k + 1, "") for k in range(n - 3)]
+    return own + [("a", q, f"z{k}", 1.0 + k, 5.0 + k, -5 - k, "") for k in range(3)]
+
+
+def beaten(n, q):
+    """Three leaders whom Borda count does not put first: last in one field, best in the others."""
+    own = [("a", q, f"i{k:05d}", float(n - k), float(n - k), k + 1, "") for k in range(n - 3)]
+    return own + [("a", q, f"z{k}", 2.0 * n + k, 2.0 * n + k, n * 2 + k, "") for k in range(3)]
+
+
+def test_ties_leave_the_head_of_every_list(spark):
+    rows = tied(6500, 1) + beaten(9, 2) + lists(12, 3)
+    cands = R.candidates(spark.createDataFrame(rows, DDL), ["run", "q"], "item", SCORES)
+    got = {(r["q"], r["item"]) for r in R.majority_head(cands, ["run", "q"], "item", SCORES, 6500).collect()}
+    assert got == {(q, k) for q in (1, 2) for k in ("z0", "z1", "z2")} | {(3, k) for k in brute(lists(12, 3))}
+
+
+def test_counting_every_two_items(spark, monkeypatch):
+    monkeypatch.setattr(R, "PART", 40)
+    left = R.candidates(spark.createDataFrame(lists(300, 1) + lists(9, 2), DDL), ["run", "q"], "item", SCORES)
+    left = left.select("run", "q", F.struct(*R._fields(SCORES), "item").alias("c"))
+    got = {(r["q"], r["item"]) for r in R._counted(left, ["run", "q"], 3).select("q", "c.item").collect()}
+    assert got == {(q, k) for q, n in ((1, 300), (2, 9)) for k in brute(lists(n, q))}
+
+
 def test_borda_by_hand_ties_nulls_and_empty(spark):
     rows = [("a", 1, "x", 1.0, None, 1, ""), ("a", 1, "y", 1.0, None, 2, ""), ("a", 1, "z", 0.0, 9.0, 3, ""), (None, 1, "n", 0.0, 9.0, 3, "")]
     df = spark.createDataFrame(rows, DDL)
