@@ -122,22 +122,39 @@ def majority_head(cands: DataFrame, group: list[str], item: str, scores: dict[st
     return last.where(F.size("_left") <= HEAD).select(*group, F.explode("_left.item").alias(item))
 
 
+def checked_heads(cands: DataFrame, scored: DataFrame, group: list[str], item: str, scores: dict[str, bool]) -> DataFrame:
+    """One row per group: the first ``HEAD`` items by points, and whether each beats every other item in most scores."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.round("points", 6).desc(), item))
+    first = scored.select(*group, item, place.alias("_place")).where(F.col("_place") <= HEAD).select(*group, item)
+    rows = cands.select(*group, F.struct(*_fields(scores), F.col(item).alias("item")).alias("c"))
+    heads = first.join(rows.withColumn(item, F.col("c.item")), [*group, item]).groupBy(*group).agg(F.collect_list("c").alias("_head"))
+    met = rows.join(heads, group)
+    right = F.exists("_head", lambda y: y["item"] == F.col("c.item")) | F.forall("_head", lambda y: _beats(y, F.col("c"), len(scores)))
+    return met.groupBy(*group).agg(F.min(right).alias("right"), F.first("_head.item").alias("head"))
+
+
 def fused_ranking(df: DataFrame, group: list[str], item: str, scores: dict[str, bool], weights: dict[str, float] | None = None) -> DataFrame:
     """One ranking per group: columns group + item, points, in_head, position (from 1).
 
-    ``scores`` maps each score to whether greater is better. Order: the majority head first, then
-    Borda points, then the item's identifier. Repeated rows count once; null and NaN scores take
-    the middle rank for points and lose to every value in the head; a group with all scores null is
-    ordered by identifier; rows without a group key or item are left out; an empty table gives an
-    empty ranking. Other columns are ignored.
+    ``scores`` maps each score to whether greater is better. Order: Borda points, then the item's
+    identifier. The first ``HEAD`` items are checked against all others; only in a list where one of
+    them does not beat every other item in most scores the majority head is put first instead.
+    Repeated rows count once; null and NaN scores take the middle rank for points and lose to every
+    value in the head; a group with all scores null is ordered by identifier; rows without a group
+    key or item are left out; an empty table gives an empty ranking. Other columns are ignored.
     """
     known = df.where(F.col(item).isNotNull())
     for c in group:
         known = known.where(F.col(c).isNotNull())
     cands = written(candidates(known, group, item, scores), "fusion")
     most = cands.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    head = majority_head(cands, group, item, scores, most).withColumn("in_head", F.lit(True))
-    scored = borda(cands, group, item, scores, weights, most).join(head, [*group, item], "left").withColumn("in_head", F.coalesce("in_head", F.lit(False)))
+    counted = written(borda(cands, group, item, scores, weights, most), "points")
+    checked = written(checked_heads(cands, counted, group, item, scores), "checked")
+    head = checked.where("right").select(*group, F.explode("head").alias(item))
+    failed = cands.join(checked.where("not right").select(*group), group, "left_semi")
+    if (larger := failed.groupBy(*group).count().agg(F.max("count")).first()[0]) is not None:
+        head = head.unionByName(majority_head(failed, group, item, scores, larger))
+    scored = counted.join(head.withColumn("in_head", F.lit(True)), [*group, item], "left").withColumn("in_head", F.coalesce("in_head", F.lit(False)))
     if most <= WINDOW:
         place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("in_head").desc(), F.round("points", 6).desc(), item))
         return scored.select(*group, item, "points", "in_head", place.alias("position"))

@@ -69,6 +69,19 @@ def test_counting_every_two_items(spark, monkeypatch):
     assert got == {(q, k) for q, n in ((1, 300), (2, 9)) for k in brute(lists(n, q))}
 
 
+def test_borda_first_and_repair_only_where_it_fails(spark, monkeypatch):
+    asked = []
+    plain = R.majority_head
+    monkeypatch.setattr(R, "majority_head", lambda cands, *rest: asked.extend(r["q"] for r in cands.select("q").distinct().collect()) or plain(cands, *rest))
+    own = beaten(9, 2)
+    weights = {"s": 1.0, "r": 1.0, "o": 9.0}
+    df = spark.createDataFrame(own + lists(12, 3), DDL)
+    out = R.fused_ranking(df.where("q = 3"), ["run", "q"], "item", SCORES).collect()
+    assert asked == [] and {r["item"] for r in out if r["position"] <= 3} == brute(lists(12, 3))
+    out = R.fused_ranking(df.where("q = 2"), ["run", "q"], "item", SCORES, weights).collect()
+    assert asked == [2] and {r["item"] for r in out if r["position"] <= 3} == brute(own)
+
+
 def test_borda_by_hand_ties_nulls_and_empty(spark):
     rows = [("a", 1, "x", 1.0, None, 1, ""), ("a", 1, "y", 1.0, None, 2, ""), ("a", 1, "z", 0.0, 9.0, 3, ""), (None, 1, "n", 0.0, 9.0, 3, "")]
     df = spark.createDataFrame(rows, DDL)
