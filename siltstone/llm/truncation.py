@@ -37,8 +37,9 @@ _FIELDS = (("||", " || "), ("|", "|"), ("\t", "\t"), ("</td>", "</td>"), ('": ',
 _PAIRS = (" – ", " - ", ": ")
 _NEEDS_MORE = structure.SENTENCE_WORDS | frozenset("of near and et y und von de von".split())
 _ADDRESS = re.compile(r"https?://|www\.|\.(?:com|org|example)\b|0x[0-9a-f]+|[=;{}]\w+[=;]")
+_GARBLED = re.compile(r"[A-Za-z]\d+[A-Za-z]|[A-Za-z0-9][+/=][A-Za-z0-9]")
 
-KINDS = ("empty", "label", "prose", "item", "row", "junk")
+KINDS = ("empty", "label", "prose", "item", "row", "unsorted", "junk")
 
 
 def stripped(text: str) -> tuple[str, bool]:
@@ -176,7 +177,10 @@ def ending(text: str, odd: float) -> tuple[str, bool, bool, bool, str]:
         return "item", marked, closed, not closed and _item_open(items, items[-1].strip()), word
     if running > 0.2 and closed:
         return "prose", marked, True, False, word
-    return "junk", marked, True, False, ""
+    # Encoded data: most tokens mix letters with digits or signs.
+    if sum(_GARBLED.search(x) is not None for x in parts) > 0.5 * n:
+        return "junk", marked, True, False, ""
+    return "unsorted", marked, closed, False, word
 
 
 def _hash(value: str) -> int:
@@ -286,7 +290,7 @@ def cut_words(last: DataFrame, counts: DataFrame) -> DataFrame:
 def _inside(next_: Column, word: Column, kind: Column, closed: Column) -> Column:
     """Whether what follows in the longer copy shows a cut inside a word, sentence, item or row."""
     in_word = (word != "") & next_.rlike(r"^[\p{L}\p{N}]")
-    in_line = kind.isin("item", "row") & ~next_.rlike(r"^[ \t]*[;.,|)\]}>\"']*(?:</\w+>)*[ \t]*(?:[\r\n]|$)")
+    in_line = kind.isin("item", "row", "unsorted") & ~next_.rlike(r"^[ \t]*[;.,|)\]}>\"']*(?:</\w+>)*[ \t]*(?:[\r\n]|$)")
     return in_word | (~closed & (in_line | (kind == "prose")))
 
 
@@ -295,7 +299,9 @@ def truncated(chunks: DataFrame) -> DataFrame:
 
     evidence: ``mark``, ``longer copy``, ``sentence``, ``item``, ``word`` or null. A text whose last
     ``OVERLAP`` tokens are the first of the next chunk of its document goes on there and is not
-    truncated, unless marked. Null, empty and blank texts, labels and junk are not truncated; a
+    truncated, unless marked. Null, empty and blank texts are not truncated, labels and junk (odd
+    symbols, links, encoded data) only if marked or, for labels, cut inside a word that a longer copy completes; text
+    that is of no known kind is read as lines are. A
     complete text that happens to have the length of a field limit is not either. Rows delivered
     again give one row. A document of any size is joined by (document_id, chunk_index).
     """
@@ -304,19 +310,19 @@ def truncated(chunks: DataFrame) -> DataFrame:
     on = (ends["document_id"] == after["_d"]) & (ends["chunk_index"] == after["_i"]) & (ends["tail"] == after["_head"])
     joined = ends.join(after, on, "left").drop("_d", "_i", "_head")
     joined = joined.join(continuations(chunks).groupBy("core").agg(F.min("next").alias("next")), "core", "left")
-    asked = ends.where("kind in ('item', 'row') and not open and not closed and word != ''").select("word")
+    asked = ends.where("kind in ('item', 'row', 'unsorted') and not open and not closed and word != ''").select("word")
     cut = cut_words(asked, word_counts(chunks)).withColumn("cut", F.lit(True))
     joined = joined.join(cut, "word", "left")
     longer = F.col("next").isNotNull()
     inside = _inside(F.col("next"), F.col("word"), F.col("kind"), F.col("closed"))
     free = F.coalesce("goes_on", F.lit(False)) == F.lit(False)
-    lines = F.col("kind").isin("item", "row")
+    lines = F.col("kind").isin("item", "row", "unsorted")
     evidence = (
-        F.when(F.col("kind").isin("junk", "empty"), None)
+        F.when(F.col("kind") == "empty", None)
         .when(F.col("marked"), "mark")
         .when(~free, None)
         .when(longer & inside, "longer copy")
-        .when(F.col("kind") == "label", None)
+        .when(F.col("kind").isin("label", "junk"), None)
         .when((F.col("kind") == "prose") & ~F.col("closed"), "sentence")
         .when(lines & longer, None)
         .when(lines & F.col("open"), "item")

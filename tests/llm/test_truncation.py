@@ -26,6 +26,14 @@ def test_longer_copies_decide_for_lists(spark):
     assert out["inside"] == "longer copy" and out["between"] is None and out["long"] is None and out["row"] == "item"
 
 
+def test_unsorted_text_is_read_by_its_longer_copy_mark_and_word(spark):
+    table = "| 2001 | Berlin | 3.5 | 10 |\n| 2002 | Pari"
+    rows = [("cut", "a", 0, table), ("long", "b", 0, table + "s | 4 |"), ("whole", "c", 0, table + "s | 4 |\n"), ("marked", "d", 0, "| 2011 | Wien | 3.5 | 10 |\n| 2012 | Prag [...]"), ("odd", "e", 0, "12% 85/ 910. 44, 7 - 23 610, 88% 34/ 5. 701 - 66, 213% 9/ 48 - 39")]
+    rows += [("sentence", "f", 0, "The trade of Kirkwallen was opened by a society in 1820."), ("word", "g", 0, "| 2021 | Rom | 3.5 | 10 |\n| 2022 | Kirkwal")]
+    out = found(spark, rows)
+    assert out == {"cut": "longer copy", "long": None, "whole": None, "marked": "mark", "odd": None, "sentence": None, "word": "word"}
+
+
 def test_windows_that_go_on_are_no_cases(spark):
     words = (SENTENCE * 6).split()
     rows = [("w0", "d", 0, " ".join(words[:50])), ("w1", "d", 1, " ".join(words[26:76])), ("last", "d", 2, " ".join(words[52:100]))]
