@@ -13,6 +13,21 @@ from siltstone.functions.text import word_list
 
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}  # fixed values: title, section, content
 
+#: Words that a query does not ask for: the English list of PostgreSQL's text search, from which "websearch" takes its own.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them "
+    "their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing "
+    "a an the and but if or because as until while of at by for with about against between into through during before after above below to "
+    "from up down in out on off over under again further then once here there when where why how all any both each few more most other some "
+    "such no nor not only own same so than too very s t can will just don should now"
+).split()
+
+
+def query_terms(queries: DataFrame, query_key: str, text: str) -> DataFrame:
+    """(query_key, lexeme), distinct: every word of a query, of any length, but for ``STOP_WORDS``."""
+    words = queries.select(query_key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("lexeme"))
+    return words.where(~F.col("lexeme").isin(STOP_WORDS)).distinct()
+
 
 def postings(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """(key, lexeme, weight, pos) for every word of the fields (column -> weight letter), in one position space."""

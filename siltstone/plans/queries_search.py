@@ -171,8 +171,7 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "queries", "query_id", "query")
-    return asked.select("query_id", F.explode(F.regexp_extract_all(F.lower("query"), F.lit("[a-z0-9]+"), F.lit(0))).alias("lexeme")).where(F.length("lexeme") > 4).distinct()
+    return L.query_terms(table(spark, d, "queries", "query_id", "query"), "query_id", "query")
 
 
 @query(f"""WITH {_ONCE}, {_TERMS_SQL}

@@ -80,6 +80,17 @@ def test_lexical(spark):
     assert [r["search_text"] for r in L.search_fields(fields).collect()] == ["T\nS\nc", "c"] and L.search_fields(fields, False).first()["title"] == "M"
 
 
+def test_queries_ask_for_years_numbers_and_short_words(spark, tmp_path):
+    from siltstone.plans.queries_search import _terms
+
+    asked = [(1, "Events of 1441 in Shuwick"), (2, "What is RAID or HNSW?"), (3, "of the and"), (4, None)]
+    spark.createDataFrame(asked, "query_id bigint, query string").write.parquet(f"{tmp_path}/queries.parquet")
+    terms = _terms(spark, str(tmp_path))
+    assert {tuple(r) for r in terms.collect()} == {(1, "events"), (1, "1441"), (1, "shuwick"), (2, "raid"), (2, "hnsw")}
+    docs = spark.createDataFrame([("a", "Events in Shuwick"), ("b", "Events of 1441 in Shuwick")], "id string, content string")
+    assert [r["id"] for r in L.match(L.postings(docs, "id", {"content": "C"}), "id", terms, "query_id").collect()] == ["b"]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 8))
