@@ -110,8 +110,7 @@ def run_batches(spark: SparkSession, d: str) -> DataFrame:
     from siltstone.plans.ranks import row_numbers
 
     ev = table(spark, d, "events", "event_id", "event_type", "value")
-    one = ev.join(F.broadcast(ev.agg(F.min("event_type").alias("event_type"))), "event_type", "left_semi")
-    g = row_numbers(one, ["event_type"], "event_id", "value", "rn").groupBy(F.floor((F.col("rn") - 1) / 100).alias("batch"))
+    g = row_numbers(ev, ["event_type"], "event_id", "value", "rn").groupBy("event_type", F.floor((F.col("rn") - 1) / 100).alias("batch"))
     return g.agg((F.min("rn") - 1).alias("start_index"), F.max("rn").alias("end_index"), F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("seconds"), F.round(F.try_divide(F.count(F.lit(1)), F.sum("value")), 6).alias("per_second"))
 
 

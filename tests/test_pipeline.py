@@ -129,3 +129,12 @@ def test_batches_are_bounded_in_bytes(spark, tmp_path):
     assert most <= 1.2 * BATCH_BYTES
     bound_batches(spark, 1 << 40)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES
+
+
+def test_run_batches_cover_every_event_type(spark, tmp_path):
+    from siltstone.plans.queries_reports import run_batches
+
+    rows = [(i, "ab"[i % 2], 1.0) for i in range(300)]
+    spark.createDataFrame(rows, "event_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["event_type"], r["batch"]): (r["start_index"], r["end_index"], r["rows"]) for r in run_batches(spark, str(tmp_path)).collect()}
+    assert got == {(t, k): (100 * k, 100 + 50 * k, 100 - 50 * k) for t in "ab" for k in (0, 1)}
