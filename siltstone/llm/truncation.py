@@ -21,7 +21,7 @@ from siltstone.llm import structure
 from siltstone.llm.text import TOKEN, words
 from siltstone.plans.cut import written
 
-#: Shorter texts are labels: being the beginning of another text says nothing about them.
+#: Of shorter texts only a cut inside a word counts: being the beginning of another text says nothing else about labels.
 LEAST_PREFIX = 32
 OVERLAP = 24
 #: A last word is cut if words that continue it are so many times as frequent as the word itself.
@@ -220,7 +220,7 @@ def continuations(chunks: DataFrame) -> DataFrame:
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [c for t in batch.column(0).to_pylist() if t and len(c := stripped(t)[0]) >= LEAST_PREFIX]
+            own = [c for t in batch.column(0).to_pylist() if t and (c := stripped(t)[0])]
             yield pa.RecordBatch.from_arrays([pa.array([_hash(c) for c in own], pa.int64()), pa.array(own, pa.string())], names=["core", "text"])
 
     def successors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def continuations(chunks: DataFrame) -> DataFrame:
             for core, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if held is None:
                     rows.append((core, None, task, "first", text))
-                elif text.startswith(held[1]):
+                elif text.startswith(held[1]) and (len(held[1]) >= LEAST_PREFIX or (held[1][-1] + text[len(held[1])]).isalnum()):
                     rows.append((held[0], text[len(held[1]) : len(held[1]) + 24], task, None, None))
                 held = core, text
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], names=names)
@@ -252,8 +252,9 @@ def continuations(chunks: DataFrame) -> DataFrame:
     first = found.where("edge = 'first'").select(before.alias("at"), F.col("text").alias("first"))
     last = found.where("edge = 'last'").select("core", F.col("task").alias("at"), F.col("text").alias("held"))
     across = last.join(first, "at").where(F.startswith(F.col("first"), F.col("held")))
-    across = across.select("core", F.substring(F.col("first"), F.length("held") + 1, F.lit(24)).alias("next"))
-    return inside.unionByName(across)
+    across = across.select("core", "held", F.substring(F.col("first"), F.length("held") + 1, F.lit(24)).alias("next"))
+    whole = (F.length("held") >= LEAST_PREFIX) | (F.col("held").rlike(r"[\p{L}\p{N}]$") & F.col("next").rlike(r"^[\p{L}\p{N}]"))
+    return inside.unionByName(across.where(whole).drop("held"))
 
 
 def word_counts(chunks: DataFrame) -> DataFrame:

@@ -34,6 +34,11 @@ def test_unsorted_text_is_read_by_its_longer_copy_mark_and_word(spark):
     assert out == {"cut": "longer copy", "long": None, "whole": None, "marked": "mark", "odd": None, "sentence": None, "word": "word"}
 
 
+def test_a_short_text_cut_inside_a_word(spark):
+    rows = [("short", "a", 0, "Northgate Works fell sharpl"), ("long", "b", 0, "Northgate Works fell sharply at the end."), ("label", "c", 0, "Early life"), ("heading", "d", 0, "Early life and work")]
+    assert {k: v for k, v in found(spark, rows).items() if v and k != "long"} == {"short": "longer copy"}
+
+
 def test_windows_that_go_on_are_no_cases(spark):
     words = (SENTENCE * 6).split()
     rows = [("w0", "d", 0, " ".join(words[:50])), ("w1", "d", 1, " ".join(words[26:76])), ("last", "d", 2, " ".join(words[52:100]))]
