@@ -125,6 +125,24 @@ def rerank_text(title: Column, section: Column, content: Column) -> Column:
     return F.concat_ws("\n", line("Title", title), line("Section", section), line("Content", content))
 
 
+def embedding_text(title: Column, section: Column, content: Column, before: Column) -> Column:
+    """The text that is embedded: title, section, the context before (if any) and the content, parted by empty lines."""
+    context = F.when(before != "", F.concat(F.lit("Previous context: "), before))
+    return strip(F.concat_ws("\n\n", F.concat(F.lit("Title: "), title), F.concat(F.lit("Section: "), section), context, content))
+
+
+def iso_now() -> Column:
+    """The time of the query in UTC as an ISO text with microseconds and offset."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def hybrid_rerank_text(title: Column, section: Column, metadata: Column, content: Column) -> Column:
+    """The same for hybrid candidates: a missing title or section comes from metadata; the content always stands."""
+    found = lambda c, *names: F.coalesce(F.nullif(c, F.lit("")), *[F.get_json_object(metadata, f"$.{n}") for n in names], F.lit(""))
+    line = lambda name, c: F.when(c != "", F.concat(F.lit(f"{name}: "), c))
+    return F.concat_ws("\n\n", line("Title", found(title, "article_title", "title")), line("Section", found(section, "section_path", "section_title")), F.concat(F.lit("Content:\n"), F.coalesce(content, F.lit(""))))
+
+
 def scored_passage(rank: Column, title: Column, content: Column, score: Column) -> Column:
     """A numbered passage; the score with four decimals, without its line where it is missing."""
     head = F.concat(F.lit("["), rank.cast("string"), F.lit("] "), F.coalesce(title, F.lit("")))

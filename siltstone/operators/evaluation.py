@@ -51,6 +51,20 @@ def two_level(df: DataFrame, value: str, inner: str, by: str) -> DataFrame:
     return latency_summary(per, "_p", [by])
 
 
+def short_latency(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """The variant without count and 99th percentile; no row where there are no values."""
+    out = latency_summary(df.where(F.col(value).isNotNull()), value, by).where(F.col("count") > 0)
+    return out.drop("count", "p99_ms")
+
+
+def latency_parts(df: DataFrame, parts: dict[str, str], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Per part the 50th and 95th percentile; the totals are sums of the parts' percentiles, as the reports define them."""
+    p = lambda c, q: N.interpolated(F.col(c), q)
+    each = [F.round(p(c, q), 6).alias(f"{name}_p{int(100 * q)}") for name, c in parts.items() for q in (0.5, 0.95)]
+    total = [F.round(sum((p(c, q) for c in list(parts.values())[1:]), p(next(iter(parts.values())), q)), 6).alias(f"total_p{int(100 * q)}") for q in (0.5, 0.95)]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"), *each, *total)
+
+
 # Topics of a query and the terms one expects in an answer to it; thresholds.
 EXPECTED = {
     "hadoop": ["hadoop", "mapreduce", "hdfs"],
@@ -112,11 +126,10 @@ def answerability(c: Column) -> Column:
 
 def histogram(df: DataFrame, value: str, domain: list[str], name: str = "value") -> DataFrame:
     """Counts over a fixed domain with zeros, and their share in percent."""
-    spark = df.sparkSession
-    counts = df.groupBy(F.col(value).alias(name)).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1))).first()[0]
-    rows = spark.createDataFrame([(d,) for d in domain], f"{name} string").join(counts, name, "left")
-    return rows.select(name, F.coalesce("_n", F.lit(0)).alias("count"), N.percent(F.coalesce("_n", F.lit(0)), F.lit(total)).alias("pct"))
+    # One pass: a count for each value of the domain beside the total, then one row each.
+    counts = df.agg(*[F.count_if(F.col(value) == d).alias(f"_{k}") for k, d in enumerate(domain)], F.count(F.lit(1)).alias("_all"))
+    rows = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"_{k}").alias("n")) for k, d in enumerate(domain)])).alias("r")
+    return counts.select(rows, "_all").select(F.col("r.d").alias(name), F.col("r.n").alias("count"), N.percent(F.col("r.n"), F.col("_all")).alias("pct"))
 
 
 def transitions(df: DataFrame, a: str, b: str, domain: list[str]) -> DataFrame:
@@ -126,6 +139,36 @@ def transitions(df: DataFrame, a: str, b: str, domain: list[str]) -> DataFrame:
     return rows.select("from_label", *[F.coalesce(F.col(d), F.lit(0)).alias(f"to_{d}") for d in domain])
 
 
+def compact_cases(context: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """The 15 fields that compare a query's context judgment with its answer judgment, one row per query of either.
+
+    ``context`` and ``answers`` have key and judgment; ``answers`` also source_titles, source_chunk_ids
+    (arrays) and answer. What is missing is ``missing`` for labels, the empty text for texts, an empty
+    list for lists and null for scores.
+    """
+    a = context.select(F.col(key), F.col("judgment").alias("_c"), F.lit(True).alias("_in_c"))
+    b = answers.select(F.col(key), F.col("judgment").alias("_a"), "source_titles", "source_chunk_ids", "answer")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    lists = [F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c) for c in ("source_titles", "source_chunk_ids")]
+    return a.join(b, key, "full_outer").select(
+        key, answerability(F.col("_c.answerability")).alias("context_answerability"), answerability(F.col("_a.answerability")).alias("answer_answerability"),
+        text("_c.failure_type").alias("context_failure_type"), text("_a.failure_type").alias("answer_failure_type"),
+        *[F.col(f"_c.{c}").alias(c) for c in ("context_relevance_score", "context_completeness_score")], F.col("_a.answerability_score").alias("answer_answerability_score"),
+        F.col("_a.groundedness_score").alias("answer_groundedness_score"), F.col("_a.completeness_score").alias("answer_completeness_score"),
+        *lists, text("answer").alias("answer"), text("_c.reason").alias("context_reason"), text("_a.reason").alias("answer_reason"),
+    )
+
+
+#: Cases that a comparison lists: name -> (answerability of the context, of the answer); None: any but yes.
+CASES = {"A_context_partial_to_answer_yes": ("partial", "yes"), "B_context_no_to_answer_yes": ("no", "yes"), "C_context_yes_to_answer_no": ("yes", "no"), "questionable_context_not_yes_answer_yes": (None, "yes")}
+
+
+def case_lists(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``df`` with ``case``: a row once for each of ``CASES`` that it belongs to."""
+    fits = lambda x, y: ((F.col(a) == x) if x else (F.col(a) != "yes")) & (F.col(b) == y)
+    return df.withColumn("case", F.explode(F.array_compact(F.array(*[F.when(fits(x, y), n) for n, (x, y) in CASES.items()]))))
+
+
 def last_per(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The last row per key by ``order``; empty keys are dropped."""
     w = Window.partitionBy(key).orderBy(*[c.desc() for c in order])

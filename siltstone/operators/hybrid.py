@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import word_list
 
 
-def merge(semantic: DataFrame, lexical: DataFrame, query_key: str, key: str) -> DataFrame:
+def merge(semantic: DataFrame, lexical: DataFrame, query_key: str, key: str, fields: list[str] | None = None) -> DataFrame:
     """All semantic rows in semantic order, then those only lexical in lexical order.
 
-    Inputs: (query_key, key, rank, score). Columns: query_key, key, semantic_rank, lexical_rank,
-    semantic_score, lexical_score, provenance (semantic, lexical, both), candidate_rank. Repeated
-    keys in one list are merged first, at their best rank.
+    Inputs: (query_key, key, rank, score) and the columns ``fields``. Columns: query_key, key,
+    semantic_rank, lexical_rank, semantic_score, lexical_score, fields, provenance (semantic, lexical,
+    both), candidate_rank. Each field is the semantic row's, or the lexical row's where that is null.
+    Repeated keys in one list are merged first, at their best rank.
     """
+    fields = fields or []
 
     def once(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(query_key, key).agg(F.min("rank").alias(f"{name}_rank"), F.max("score").alias(f"{name}_score"))
+        first = [F.min_by(F.struct(*fields), "rank").alias(f"_{name}")] if fields else []
+        return df.groupBy(query_key, key).agg(F.min("rank").alias(f"{name}_rank"), F.max("score").alias(f"{name}_score"), *first)
 
     both = once(semantic, "semantic").join(once(lexical, "lexical"), [query_key, key], "full_outer")
     s, x = F.col("semantic_rank"), F.col("lexical_rank")
     provenance = F.when(s.isNotNull() & x.isNotNull(), "both").when(s.isNotNull(), "semantic").otherwise("lexical")
     w = Window.partitionBy(query_key).orderBy(s.asc_nulls_last(), x.asc_nulls_last(), key)
+    filled = [F.coalesce(f"_semantic.{c}", f"_lexical.{c}").alias(c) for c in fields]
+    both = both.select(query_key, key, s, x, "semantic_score", "lexical_score", *filled)
     return both.withColumn("provenance", provenance).withColumn("candidate_rank", F.row_number().over(w))
 
 
@@ -42,21 +47,29 @@ def attribution(merged: DataFrame, query_key: str, k: int) -> DataFrame:
 def neighbours(seeds: DataFrame, chunks: DataFrame, query_key: str, window: int = 1, same_section: bool = False) -> DataFrame:
     """Each seed passage with the chunks around it in its document.
 
-    ``seeds``: (query_key, rank, document_id, chunk_index); ``chunks``: (document_id, chunk_index,
-    id, section_path, content). The band join is an equi-join on exploded offsets. A seed met
-    again keeps its first rank, a null index is left out. Columns: query_key, rank, document_id,
-    chunk_index, neighbour_indexes, neighbour_ids, passage.
+    ``seeds``: (query_key, rank, document_id, chunk_index, and maybe id and content); ``chunks``:
+    (document_id, chunk_index, id, section_path, content). The band join is an equi-join on exploded
+    offsets. A seed met again keeps its first rank, a null index is left out. A seed without any chunk
+    around it is its own passage. Columns: query_key, rank, document_id, chunk_index,
+    neighbour_indexes, neighbour_ids, passage.
     """
-    first = seeds.where(F.col("chunk_index").isNotNull()).groupBy(query_key, "document_id", "chunk_index").agg(F.min("rank").alias("rank"))
+    own = [F.col(c) if c in seeds.columns else F.lit(None).cast("string").alias(c) for c in ("id", "content")]
+    known = seeds.where(F.col("chunk_index").isNotNull() & F.col("document_id").isNotNull()).select(query_key, "document_id", "chunk_index", "rank", *own)
+    first = known.groupBy(query_key, "document_id", "chunk_index").agg(F.min("rank").alias("rank"), F.min_by(F.struct("id", "content"), "rank").alias("_seed"))
     around = first.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("chunk_index") - window), F.col("chunk_index") + window)).alias("_i"))
     side = chunks.select(F.col("document_id").alias("_d"), F.col("chunk_index").alias("_c"), "id", "section_path", "content")
-    met = around.join(side, (around["document_id"] == side["_d"]) & (around["_i"] == side["_c"]))
+    met = around.join(side, (around["document_id"] == side["_d"]) & (around["_i"] == side["_c"]), "left")
+    fits = F.col("_d").isNotNull()
     if same_section:
-        own = chunks.select(F.col("document_id").alias("_sd"), F.col("chunk_index").alias("_sc"), F.col("section_path").alias("_own"))
-        met = met.join(own, (met["document_id"] == own["_sd"]) & (met["chunk_index"] == own["_sc"])).where(F.col("section_path").eqNullSafe(F.col("_own")))
-    text = F.concat(F.lit("[chunk_index="), F.col("_i").cast("string"), F.lit(" section="), F.coalesce("section_path", F.lit("")), F.lit("]\n"), F.coalesce("content", F.lit("")))
-    group = met.groupBy(query_key, "rank", "document_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("_i", "id", text.alias("t")))).alias("n"))
-    return group.select(query_key, "rank", "document_id", "chunk_index", F.array_join(F.transform("n", lambda x: x["_i"].cast("string")), ",").alias("neighbour_indexes"), F.array_join("n.id", ",").alias("neighbour_ids"), F.array_join("n.t", "\n\n").alias("passage"))
+        home = chunks.select(F.col("document_id").alias("_sd"), F.col("chunk_index").alias("_sc"), F.col("section_path").alias("_own"))
+        met = met.join(home, (met["document_id"] == home["_sd"]) & (met["chunk_index"] == home["_sc"]), "left")
+        fits = fits & F.col("_sd").isNotNull() & F.col("section_path").eqNullSafe(F.col("_own"))
+    headed = lambda i, section, content: F.concat(F.lit("[chunk_index="), i.cast("string"), F.lit(" section="), F.coalesce(section, F.lit("")), F.lit("]\n"), F.coalesce(content, F.lit("")))
+    item = F.struct("_i", "id", headed(F.col("_i"), F.col("section_path"), F.col("content")).alias("t"))
+    group = met.groupBy(query_key, "rank", "document_id", "chunk_index").agg(F.array_sort(F.collect_list(F.when(fits, item))).alias("n"), F.first("_seed").alias("_seed"))
+    alone = F.array(F.struct(F.col("chunk_index").alias("_i"), F.col("_seed.id").alias("id"), headed(F.col("chunk_index"), F.lit(None), F.col("_seed.content")).alias("t")))
+    n = group.withColumn("n", F.when(F.size("n") > 0, F.col("n")).otherwise(alone))
+    return n.select(query_key, "rank", "document_id", "chunk_index", F.array_join(F.transform("n", lambda x: x["_i"].cast("string")), ",").alias("neighbour_indexes"), F.array_join("n.id", ",").alias("neighbour_ids"), F.array_join("n.t", "\n\n").alias("passage"))
 
 
 def strategy_or_all(hits: DataFrame, query_key: str, wanted: Column) -> DataFrame:
@@ -95,6 +108,18 @@ def routed(queries: DataFrame, branches: dict[str, Callable[[DataFrame], DataFra
     return out
 
 
+def routing_summary(routed: DataFrame) -> DataFrame:
+    """One row over routed queries (selected_route, expected_route, candidates, overlap): counts, accuracy of labelled rows, averages of hybrid rows."""
+    hit = F.col("selected_route")
+    hybrid = lambda c: F.round(F.avg(F.when(hit == "hybrid", F.col(c))), 6).alias(f"avg_hybrid_{c}")
+    return routed.agg(F.count(F.lit(1)).alias("queries"), F.count_if(hit == "hybrid").alias("hybrid"), F.count_if(hit == "semantic").alias("semantic"), F.count("expected_route").alias("labelled"), F.round(F.avg((hit == F.col("expected_route")).cast("int")), 6).alias("accuracy"), hybrid("candidates"), hybrid("overlap"))
+
+
+def first_list(*lists: Column) -> Column:
+    """The first of several arrays that is neither null nor empty; the last if none is."""
+    return F.coalesce(*[F.when(F.size(c) > 0, c) for c in lists], lists[-1])
+
+
 def overlap_score(query: Column, text: Column) -> Column:
     """Share of the query's different words that the text has: the offline reranker's score."""
     q = F.array_distinct(word_list(query))

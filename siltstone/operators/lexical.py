@@ -1,15 +1,23 @@
-"""Lexical search: weighted postings, web-style queries, term-frequency, BM25 and cover-density ranks."""
+"""Lexical search: web-style queries, weighted words, term-frequency, BM25 and cover-density ranks.
+
+The queries are a stated set and travel in blocks; the collection streams past each block once. A
+row keeps only the words that are asked for, with their places and fields, so text is never
+shuffled. Scores of all queries are made per Arrow batch in arrays, and only the best ``k`` rows of
+a query leave a task: a frequent word costs time where its rows are, not a shuffle of its postings.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import word_list
+from siltstone.plans.cut import written
 
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}  # fixed values: title, section, content
 
@@ -22,110 +30,290 @@ STOP_WORDS = (
     "such no nor not only own same so than too very s t can will just don should now"
 ).split()
 
+#: Queries of one block, and (query, document) scores that are made at once.
+BLOCK, PAIRS = 8192, 2_000_000
+_WORD = re.compile("[a-z0-9]+")
+_STOP = frozenset(STOP_WORDS)
+
+
+def stem(word: str) -> str:
+    """Plural endings removed (the S-stemmer): ponies, pony; mills, mill; glass stays."""
+    if len(word) > 3 and word.endswith("ies") and word[-4] not in "ea":
+        return word[:-3] + "y"
+    return word[:-1] if len(word) > 2 and word[-1] == "s" and word[-2] not in "us" else word
+
+
+def forms(root: str) -> list[str]:
+    """The words with this stem: a query brings them all, so texts need no stemming."""
+    every = (root, root + "s", root[:-1] + "ies" if root.endswith("y") else root)
+    return [w for w in dict.fromkeys(every) if stem(w) == root]
 
-def query_terms(queries: DataFrame, query_key: str, text: str) -> DataFrame:
-    """(query_key, lexeme), distinct: every word of a query, of any length, but for ``STOP_WORDS``."""
-    words = queries.select(query_key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("lexeme"))
-    return words.where(~F.col("lexeme").isin(STOP_WORDS)).distinct()
 
+@dataclass
+class Choice:
+    """Words that must all occur, phrases (place, stem) that must stand, and what must not."""
 
-def postings(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """(key, lexeme, weight, pos) for every word of the fields (column -> weight letter), in one position space."""
+    need: list[str] = field(default_factory=list)
+    phrases: list[list[tuple[int, str]]] = field(default_factory=list)
+    no: list[str] = field(default_factory=list)
+    no_phrases: list[list[tuple[int, str]]] = field(default_factory=list)
 
-    def marked(column: str, letter: str) -> Column:
-        return F.transform(word_list(F.col(column)), lambda w: F.struct(w.alias("lexeme"), F.lit(letter).alias("weight")))
 
-    parts = F.concat(*[marked(c, letter) for c, letter in fields.items()])
-    return docs.select(key, F.posexplode(parts).alias("pos", "_p")).select(key, F.col("_p.lexeme").alias("lexeme"), F.col("_p.weight").alias("weight"), (F.col("pos") + 1).alias("pos"))
+def plain_query(text: str | None) -> list[Choice]:
+    """All words but ``STOP_WORDS``, stemmed."""
+    need = dict.fromkeys(stem(w) for w in _WORD.findall((text or "").lower()) if w not in _STOP)
+    return [Choice(list(need))] if need else []
 
 
-def parse_query(text: str) -> dict[str, list]:
-    """Web-style query: all words required; "..." a phrase; ``or`` between words makes either enough; -word excludes."""
-    required, excluded, phrases, either = [], [], [], []
-    join = False
+def web_query(text: str | None) -> list[Choice]:
+    """Web-style query as alternatives: words are required; "..." is a phrase; -x excludes; ``or`` parts alternatives.
+
+    ``or`` binds less than the blank: ``a b or c`` is (a and b) or c. Stop words ask for nothing but keep
+    their places in a phrase. An alternative that only excludes, and an empty query, match nothing.
+    """
+    out = [Choice()]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text or ""):
-        terms = re.findall(r"[a-z0-9]+", (phrase or word).lower())
-        if not terms:
-            continue
         if word.lower() == "or" and not minus:
-            join = bool(required or either)
+            out.append(Choice())
             continue
+        terms = [(i, stem(w)) for i, w in enumerate(_WORD.findall((phrase or word).lower())) if w not in _STOP]
+        own = out[-1]
         if minus:
-            excluded += terms
-        elif join and required:
-            either.append([required.pop(), terms[0]])
-            required += terms[1:]
+            if len(terms) == 1:
+                own.no.append(terms[0][1])
+            elif terms:
+                own.no_phrases.append(terms)
         else:
-            required += terms
+            own.need += [t for _, t in terms if t not in own.need]
             if len(terms) > 1:
-                phrases.append(terms)
-        join = False
-    return {"required": list(dict.fromkeys(required)), "either": either, "excluded": excluded, "phrases": phrases}
+                own.phrases.append(terms)
+    return [c for c in out if c.need]
+
+
+class Block:
+    """Queries of a block: their alternatives, and the words they ask for as numbers."""
+
+    def __init__(self, rows: list[tuple], parse):
+        self.ids: list = []
+        self.owner: list[int] = []
+        self.choices: list[Choice] = []
+        for key, text in rows:
+            own = parse(text)
+            self.owner += [len(self.ids)] * len(own)
+            self.choices += own
+            self.ids.append(key)
+        stems = dict.fromkeys(w for c in self.choices for w in (*c.need, *c.no, *(t for p in c.phrases + c.no_phrases for _, t in p)))
+        self.number = {w: i for i, w in enumerate(stems)}
+        self.form = {f: i for w, i in self.number.items() for f in forms(w)}
+        pairs = sorted((self.number[w], a) for a, c in enumerate(self.choices) for w in c.need)
+        self.by_word = np.array([a for _, a in pairs], np.int64)
+        self.start = np.searchsorted(np.array([w for w, _ in pairs], np.int64), np.arange(len(stems) + 1))
+        self.need = np.array([len(c.need) for c in self.choices], np.int64)
+
+
+def blocks(queries: DataFrame, query_key: str, text: str, parse) -> Iterator[Block]:
+    rows: list[tuple] = []
+    for r in queries.select(query_key, text).dropDuplicates([query_key]).orderBy(query_key).toLocalIterator():
+        rows.append((r[0], r[1]))
+        if len(rows) == BLOCK:
+            yield Block(rows, parse)
+            rows = []
+    if rows:
+        yield Block(rows, parse)
 
 
-def match(posts: DataFrame, key: str, terms: DataFrame, query_key: str) -> DataFrame:
-    """(query_key, key, score): documents that hold all words of a query.
+def asked_words(docs: DataFrame, key: str, fields: dict[str, str], block: Block) -> DataFrame:
+    """(key, size, lex, pos, weight): the number of words of each row, and of the words asked for their numbers, places and fields.
 
-    ``terms`` has (query_key, lexeme), distinct. Score: the sum over occurrences of the weight of
-    their field. Postings are counted per document before they are joined.
+    All fields (column -> weight letter) share one position space. Repeated keys give one row.
     """
-    letter = F.col("weight")
-    value = F.when(letter == "A", WEIGHTS["A"]).when(letter == "B", WEIGHTS["B"]).otherwise(WEIGHTS["C"])
-    need = terms.groupBy(query_key).agg(F.count(F.lit(1)).alias("_need"))
-    counted = posts.join(terms.select("lexeme").distinct(), "lexeme", "left_semi").groupBy(key, "lexeme").agg(F.sum(value).alias("_s"))
-    met = counted.join(terms, "lexeme").groupBy(query_key, key).agg(F.count(F.lit(1)).alias("_met"), F.sum("_s").alias("score"))
-    return met.join(need, query_key).where(F.col("_met") == F.col("_need")).select(query_key, key, F.round("score", 6).alias("score"))
-
-
-def phrase_match(posts: DataFrame, key: str, phrases: DataFrame, query_key: str) -> DataFrame:
-    """(query_key, key) with the words of a phrase (query_key, i, lexeme) at consecutive positions."""
-    size = phrases.groupBy(query_key).agg(F.count(F.lit(1)).alias("_n"))
-    starts = posts.join(phrases, "lexeme").select(query_key, key, (F.col("pos") - F.col("i")).alias("_at"), "i").distinct()
-    return starts.groupBy(query_key, key, "_at").agg(F.count(F.lit(1)).alias("_c")).join(size, query_key).where("_c = _n").select(query_key, key).distinct()
-
-
-def bm25(posts: DataFrame, key: str, terms: DataFrame, query_key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_key, key, score): Okapi BM25 over all fields, any word may match."""
-    lengths = posts.groupBy(key).agg(F.count(F.lit(1)).alias("_len"))
-    docs, average = lengths.agg(F.count(F.lit(1)), F.coalesce(F.avg("_len"), F.lit(1.0))).first()
-    tf = posts.join(terms.select("lexeme").distinct(), "lexeme", "left_semi").groupBy(key, "lexeme").agg(F.count(F.lit(1)).alias("_tf"))
-    df = tf.groupBy("lexeme").agg(F.count(F.lit(1)).alias("_df"))
-    joined = tf.join(df, "lexeme").join(lengths, key)
-    idf = F.log(1 + (F.lit(docs) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.lit(average)))
-    return joined.withColumn("_p", part).join(terms, "lexeme").groupBy(query_key, key).agg(F.round(F.sum("_p"), 6).alias("score"))
-
-
-def cover_density(posts: DataFrame, key: str, terms: DataFrame, query_key: str) -> DataFrame:
-    """(query_key, key, score): ranks by how closely all words of the query stand together.
-
-    Each shortest stretch of positions that holds all words adds the harmonic mean of the weights
-    divided by the number of other words in it. Documents without all words get no row. The groups
-    are the positions of a query's words in one document.
-    """
-    need = terms.groupBy(query_key).agg(F.count(F.lit(1)).alias("need"))
-    hits = posts.join(terms, "lexeme").join(need, query_key)
-    own = hits.groupBy(query_key, key).agg(F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct("pos", "lexeme", "weight"))).alias("hits"))
+    shared = docs.sparkSession.sparkContext.broadcast(block.form)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
         for batch in batches:
-            out = []
-            for need, hits in zip(batch["need"], batch["hits"], strict=True):
-                last: dict[str, tuple[int, str]] = {}
-                total, seen = 0.0, -1
-                for h in hits:
-                    last[h["lexeme"]] = (h["pos"], h["weight"])
-                    if len(last) == need:
-                        start = min(p for p, _ in last.values())
-                        if start > seen:
-                            seen = start
-                            mean = need / sum(1 / WEIGHTS[w] for _, w in last.values())
-                            total += mean / (1 + max(0, h["pos"] - start + 1 - need))
-                out.append(round(total, 6))
-            yield batch[[query_key, key]].assign(score=out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    return own.mapInPandas(run, f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, score double").where("score > 0")
+            sizes, counts, lex, pos, weight = [], [], [], [], []
+            for texts in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                done = before = 0
+                for letter, text in enumerate(texts):
+                    if text:
+                        own = [get(w) for w in _WORD.findall(text.lower())]
+                        at = [i for i, n in enumerate(own, done + 1) if n is not None]
+                        pos += at
+                        lex += [n for n in own if n is not None]
+                        weight += [letter] * len(at)
+                        before += len(at)
+                        done += len(own)
+                sizes.append(done)
+                counts.append(before)
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (lex, pos, weight)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), *lists], names=[key, "size", "lex", "pos", "weight"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.where(F.col(key).isNotNull()).select(key, *fields).mapInArrow(run, f"{key} {kind}, size int, lex array<int>, pos array<int>, weight array<int>").dropDuplicates([key])
+
+
+def _stands(phrase: list[tuple[int, int]], at: dict[int, set[int]]) -> bool:
+    first, word = phrase[0]
+    return any(all(p - first + i in at.get(w, ()) for i, w in phrase) for p in at.get(word, ()))
+
+
+def _density(hits: list[tuple[int, int, float]], need: int) -> float:
+    """Each shortest stretch that holds all words adds the harmonic mean of the weights over 1 + the other words in it."""
+    last: dict[int, tuple[int, float]] = {}
+    total, seen = 0.0, -1
+    for pos, word, weight in hits:
+        last[word] = pos, weight
+        if len(last) == need:
+            start = min(p for p, _ in last.values())
+            if start > seen:
+                seen = start
+                total += need / sum(1 / w for _, w in last.values()) / (1 + max(0, pos - start + 1 - need))
+    return total
+
+
+class Best:
+    """The best ``k`` (score, then key) of each query so far."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.rows = k, [], 0
+
+    def add(self, query: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
+        self.held.append((query, score, key))
+        self.rows += len(query)
+        if self.rows > 2_000_000:
+            self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        query, score, key = (np.concatenate([h[c] for h in self.held]) for c in range(3))
+        order = np.lexsort((key, -score, query))
+        query, score, key = query[order], score[order], key[order]
+        new = np.concatenate([[True], np.diff(query) != 0]) if len(query) else np.zeros(0, bool)
+        first = np.nonzero(new)[0]
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.concatenate([first, [len(query)]])))
+        keep = place < self.k
+        self.held = [(query[keep], score[keep], key[keep])]
+        self.rows = int(keep.sum())
+        return self.held[0]
+
+
+def _scored(asked: DataFrame, key: str, query_key: str, query_kind: str, block: Block, k: int, cover: bool, weights: np.ndarray, bm25: tuple | None) -> DataFrame:
+    """(query_key, key, score): per task the best ``k`` of each query of the block."""
+    shared = asked.sparkSession.sparkContext.broadcast((block, bm25))
+    kind = asked.schema[key].dataType.simpleString()
+    arrow = pa.schema([(query_key, _arrow(query_kind)), (key, _arrow(kind)), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, stats = shared.value
+        owner, words = np.array(b.owner, np.int64), len(b.number)
+        best = Best(k)
+        ready = [(c.need, [[(i, b.number[w]) for i, w in p] for p in c.phrases], [b.number[w] for w in c.no], [[(i, b.number[w]) for i, w in p] for p in c.no_phrases]) for c in b.choices]
+        strict = [bool(p or n or q) for _, p, n, q in ready]
+
+        def satisfied(a: int, hits: list[tuple[int, int, float]]) -> bool:
+            at: dict[int, set[int]] = {}
+            for p, w, _ in hits:
+                at.setdefault(w, set()).add(p)
+            _, phrases, no, no_phrases = ready[a]
+            return all(_stands(p, at) for p in phrases) and not any(w in at for w in no) and not any(_stands(p, at) for p in no_phrases)
+
+        for batch in batches:
+            if not batch.num_rows or not words:
+                continue
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = keys if keys.dtype.kind in "iu" else np.array(keys, dtype=str)
+            size = batch.column(1).to_numpy().astype(np.float64)
+            count = np.diff(batch.column(2).offsets.to_numpy())
+            lex, pos, field_ = (batch.column(c).flatten().to_numpy() for c in (2, 3, 4))
+            end = np.cumsum(count)
+            doc = np.repeat(np.arange(len(keys)), count)
+            value, at = np.unique(doc * words + lex, return_inverse=True)
+            d, w = value // words, value % words
+            tf = np.bincount(at, minlength=len(value))
+            if stats is None:
+                v = np.bincount(at, weights[field_], minlength=len(value))
+            else:
+                idf, average, k1, part = stats
+                v = idf[w] * tf * (k1 + 1) / (tf + k1 * (1 - part + part * size[d] / average))
+            spread = b.start[w + 1] - b.start[w]
+            total = np.cumsum(spread)
+            edges = [0]
+            while edges[-1] < len(d):
+                x = edges[-1]
+                y = max(x + 1, int(np.searchsorted(total, (total[x - 1] if x else 0) + PAIRS, "right")))
+                while y < len(d) and d[y] == d[y - 1]:
+                    y += 1  # a row's words stay together
+                edges.append(y)
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                own = spread[x:y]
+                row = np.repeat(np.arange(x, y), own)
+                if not len(row):
+                    continue
+                choice = b.by_word[np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own) + b.start[w[row]]]
+                pair, to = np.unique(choice * len(keys) + d[row], return_inverse=True)
+                a, n = pair // len(keys), pair % len(keys)
+                score = np.bincount(to, v[row], minlength=len(pair))
+                if stats is None:
+                    full = np.bincount(to, minlength=len(pair)) == b.need[a]
+                    a, n, score = a[full], n[full], score[full]
+                    checked = range(len(a)) if cover else np.nonzero(np.array(strict)[a])[0].tolist() if len(a) else []
+                    keep = np.ones(len(a), bool)
+                    for i in checked:
+                        s = slice(end[n[i]] - count[n[i]], end[n[i]])
+                        hits = list(zip(pos[s].tolist(), lex[s].tolist(), weights[field_[s]].tolist(), strict=True))
+                        if strict[a[i]]:
+                            keep[i] = satisfied(int(a[i]), hits)
+                        if cover and keep[i]:
+                            wanted = {b.number[q] for q in ready[a[i]][0]}
+                            score[i] = _density([h for h in hits if h[1] in wanted], len(wanted))
+                    a, n, score = a[keep], n[keep], score[keep]
+                # A row that meets several alternatives of a query counts with its best.
+                pair, to = np.unique(owner[a] * len(keys) + n, return_inverse=True)
+                top = np.full(len(pair), -np.inf)
+                np.maximum.at(top, to, score)
+                best.add(pair // len(keys), np.floor(top * 1e6 + 0.5) / 1e6, keys[pair % len(keys)])
+        query, score, key_ = best.shrink()
+        yield pa.RecordBatch.from_pydict({query_key: [b.ids[q] for q in query.tolist()], key: key_.tolist(), "score": score}, schema=arrow)
+
+    return asked.mapInArrow(run, f"{query_key} {query_kind}, {key} {kind}, score double")
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def search(docs: DataFrame, key: str, fields: dict[str, str], queries: DataFrame, query_key: str, how: str = "match", web: bool = False, text: str = "query", k: int = 20, strategy: str | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_key, key, score, rank): the best ``k`` rows of ``docs`` for each query.
+
+    ``how``: ``match`` (all words; the weights of their occurrences summed), ``cover`` (all words; cover
+    density) or ``bm25`` (any word). ``web`` reads web-style queries (see ``web_query``); phrases and
+    exclusions count for ``match`` and ``cover``. ``strategy`` keeps rows whose metadata names it, and
+    only then reads metadata. Ties go by key. Rows without a key are left out, rows delivered again under one key are one row; null and
+    empty texts have no words; queries without words give no row; an empty table gives no rows.
+    """
+    if strategy is not None:
+        docs = docs.where(F.get_json_object("metadata", "$.chunk_strategy") == strategy)
+    spark, kind = docs.sparkSession, queries.schema[query_key].dataType.simpleString()
+    weights = np.array([WEIGHTS[c] for c in fields.values()])
+    parts = None
+    for block in blocks(queries, query_key, text, web_query if web else plain_query):
+        asked = asked_words(docs, key, fields, block)
+        stats = None
+        if how == "bm25":
+            asked = written(asked, "asked")
+            rows, average = asked.agg(F.count(F.lit(1)), F.coalesce(F.nullif(F.avg("size"), F.lit(0.0)), F.lit(1.0))).first()
+            df = np.zeros(len(block.number))
+            for w, n in asked.select(F.explode(F.array_distinct("lex")).alias("w")).groupBy("w").count().toLocalIterator():
+                df[w] = n  # one row per word that the block asks for
+            stats = (np.log(1 + (rows - df + 0.5) / (df + 0.5)), average, k1, b)
+        part = _scored(asked, key, query_key, kind, block, k, how == "cover", weights, stats)
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        parts = spark.createDataFrame([], f"{query_key} {kind}, {key} {docs.schema[key].dataType.simpleString()}, score double")
+    return top(parts.where("score > 0"), query_key, key, k)
 
 
 def top(hits: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
@@ -146,36 +334,3 @@ def search_fields(chunks: DataFrame, stored_first: bool = True) -> DataFrame:
     out = chunks.withColumns({"title": pick(F.col("title"), title), "section_path": pick(F.col("section_path"), path)})
     return out.withColumn("search_text", F.concat_ws("\n", "title", "section_path", "content"))
 
-
-def web_search(posts: DataFrame, key: str, queries: DataFrame, query_key: str, text: str = "query") -> DataFrame:
-    """(query_key, key, score): documents that satisfy web-style queries (see ``parse_query``).
-
-    The queries are a stated set, parsed in batches; postings are joined on words. Words joined by
-    ``or`` count as one requirement; documents with an excluded word or without a phrase are left out.
-    """
-    kind = queries.schema[query_key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, q in zip(b[query_key], b[text], strict=True):
-                p = parse_query(q)
-                groups = [[w] for w in p["required"]] + p["either"]
-                rows += [(k, "need", g, w, len(groups)) for g, own in enumerate(groups) for w in own]
-                rows += [(k, "not", 0, w, 0) for w in p["excluded"]]
-                rows += [(k, "phrase", 100 * n + i, w, len(own)) for n, own in enumerate(p["phrases"]) for i, w in enumerate(own)]
-            yield pd.DataFrame(rows, columns=[query_key, "role", "slot", "lexeme", "size"])
-
-    parsed = queries.select(query_key, text).mapInPandas(run, f"{query_key} {kind}, role string, slot int, lexeme string, size int")
-    letter = F.col("weight")
-    value = F.when(letter == "A", WEIGHTS["A"]).when(letter == "B", WEIGHTS["B"]).otherwise(WEIGHTS["C"])
-    counted = posts.groupBy(key, "lexeme").agg(F.sum(value).alias("_s"))
-    need = parsed.where("role = 'need'")
-    met = counted.join(need, "lexeme").groupBy(query_key, key).agg(F.countDistinct("slot").alias("_met"), F.max("size").alias("_size"), F.round(F.sum("_s"), 6).alias("score")).where("_met = _size")
-    out = counted.join(parsed.where("role = 'not'"), "lexeme").select(query_key, key).distinct()
-    words = parsed.where("role = 'phrase'").select(query_key, F.floor(F.col("slot") / 100).alias("_p"), (F.col("slot") % 100).alias("i"), "lexeme", "size")
-    at = posts.join(words, "lexeme").groupBy(query_key, "_p", key, (F.col("pos") - F.col("i")).alias("_at")).agg(F.countDistinct("i").alias("_c"), F.max("size").alias("_n")).where("_c = _n")
-    have = at.select(query_key, "_p", key).distinct().groupBy(query_key, key).agg(F.count(F.lit(1)).alias("_have"))
-    want = words.select(query_key, "_p").distinct().groupBy(query_key).agg(F.count(F.lit(1)).alias("_want"))
-    kept = met.join(out, [query_key, key], "left_anti").join(want, query_key, "left").join(have, [query_key, key], "left")
-    return kept.where(F.coalesce("_want", F.lit(0)) == F.coalesce("_have", F.lit(0))).select(query_key, key, "score")

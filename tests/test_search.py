@@ -65,30 +65,68 @@ def test_failure_ladder(spark):
     assert [r["got"] for r in out] == [r["want"] for r in out]
 
 
+DOCS = [(1, "Red mill", "the red mill by the river"), (2, "Farm", "a mill and a red barn"), (3, None, None), (4, "x", "red"), (4, "x", "red"), (None, "red", "mill")]
+FIELDS = {"title": "A", "content": "C"}
+
+
+def found(spark, docs, queries, how="match", fields=FIELDS, **options):
+    df = spark.createDataFrame(docs, "id bigint, title string, content string") if isinstance(docs, list) else docs
+    q = spark.createDataFrame(queries, "q bigint, query string")
+    return {(r["q"], r["id"]): r["score"] for r in L.search(df, "id", fields, q, "q", how, **options).collect()}
+
+
 def test_lexical(spark):
-    docs = spark.createDataFrame([(1, "Red mill", "the red mill by the river"), (2, "Farm", "a mill and a red barn"), (3, None, None), (4, "x", "red")], "id int, title string, content string")
-    posts = L.postings(docs, "id", {"title": "A", "content": "C"})
-    terms = spark.createDataFrame([(9, "red"), (9, "mill")], "q int, lexeme string")
-    assert {r["id"]: r["score"] for r in L.match(posts, "id", terms, "q").collect()} == {1: 2.4, 2: 0.4}
-    assert {r["id"] for r in L.bm25(posts, "id", terms, "q").collect()} == {1, 2, 4}
-    cd = {r["id"]: r["score"] for r in L.cover_density(posts, "id", terms, "q").collect()}
-    assert set(cd) == {1, 2} and cd[1] > cd[2]
-    phrase = spark.createDataFrame([(9, 0, "red"), (9, 1, "mill")], "q int, i int, lexeme string")
-    assert {r["id"] for r in L.phrase_match(posts, "id", phrase, "q").collect()} == {1}
-    assert L.parse_query('red "old mill" -barn salt or corn') == {"required": ["red", "old", "mill"], "either": [["salt", "corn"]], "excluded": ["barn"], "phrases": [["old", "mill"]]}
+    assert found(spark, DOCS, [(9, "red mills"), (8, "the of"), (7, None)]) == {(9, 1): 2.4, (9, 2): 0.4}
+    assert {k for k in found(spark, DOCS, [(9, "red mill")], "bm25")} == {(9, 1), (9, 2), (9, 4)}
+    cd = found(spark, DOCS, [(9, "red mill")], "cover")
+    assert set(cd) == {(9, 1), (9, 2)} and cd[9, 1] > cd[9, 2]
+    assert found(spark, DOCS[:0], [(9, "red")]) == {} and found(spark, DOCS, []) == {} and found(spark, DOCS, [(1, "of")], "bm25") == {}
     fields = spark.createDataFrame([("T", None, '{"article_title": "M", "section_title": "S"}', "c"), (None, None, None, "c")], "title string, section_path string, metadata string, content string")
     assert [r["search_text"] for r in L.search_fields(fields).collect()] == ["T\nS\nc", "c"] and L.search_fields(fields, False).first()["title"] == "M"
 
 
-def test_queries_ask_for_years_numbers_and_short_words(spark, tmp_path):
-    from siltstone.plans.queries_search import _terms
+def test_stems_and_forms():
+    assert [L.stem(w) for w in ("ponies", "mills", "glass", "bus", "trees", "is", "1990s", "ties")] == ["pony", "mill", "glass", "bus", "tree", "is", "1990", "ty"]
+    assert L.forms("pony") == ["pony", "ponys", "ponies"] and all(L.stem(f) == "mill" for f in L.forms("mill"))
+
+
+def test_lexical_equals_brute_force_in_small_blocks(spark, monkeypatch):
+    import math
+    import random
+
+    monkeypatch.setattr(L, "BLOCK", 7)
+    monkeypatch.setattr(L, "PAIRS", 50)
+    rnd = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(30)] + ["mills", "mill"]
+    docs = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randrange(4))), " ".join(rnd.choices(vocabulary, k=rnd.randrange(40)))) for i in range(80)]
+    queries = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randrange(4)))) for i in range(20)]
+    bags = {i: [(L.stem(w), x) for t, x in ((t, 1.0), (c, 0.2)) for w in t.split()] for i, t, c in docs}
+    n, average = len(bags), sum(map(len, bags.values())) / len(bags)
+    df = {w: sum(any(a == w for a, _ in b) for b in bags.values()) for w in {L.stem(v) for v in vocabulary}}
+    match, bm25 = {}, {}
+    for q, text in queries:
+        need = {L.stem(w) for w in text.split()}
+        for i, bag in bags.items():
+            own = [w for w, _ in bag]
+            if need and need <= set(own):
+                match[q, i] = round(sum(x for w, x in bag if w in need), 6)
+            if need & set(own):
+                bm25[q, i] = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / average)) for w in need & set(own))
+    assert found(spark, docs, queries, k=1000) == pytest.approx(match, abs=2e-6)
+    assert found(spark, docs, queries, "bm25", k=1000) == pytest.approx(bm25, abs=2e-6)
+    few = found(spark, docs, queries, "bm25", k=3)
+    assert set(few) <= set(bm25) and len(few) == sum(min(3, sum(a == q for a, _ in bm25)) for q, _ in queries)
+
+
+def test_strategy_is_optional(spark):
+    docs = spark.createDataFrame([(1, "t", "mill", '{"chunk_strategy": "a"}'), (2, "t", "mill", '{"chunk_strategy": "b"}'), (3, "t", "mill", None)], "id bigint, title string, content string, metadata string")
+    assert set(found(spark, docs, [(1, "mill")])) == {(1, 1), (1, 2), (1, 3)} and set(found(spark, docs, [(1, "mill")], strategy="a")) == {(1, 1)}
+
 
-    asked = [(1, "Events of 1441 in Shuwick"), (2, "What is RAID or HNSW?"), (3, "of the and"), (4, None)]
-    spark.createDataFrame(asked, "query_id bigint, query string").write.parquet(f"{tmp_path}/queries.parquet")
-    terms = _terms(spark, str(tmp_path))
-    assert {tuple(r) for r in terms.collect()} == {(1, "events"), (1, "1441"), (1, "shuwick"), (2, "raid"), (2, "hnsw")}
-    docs = spark.createDataFrame([("a", "Events in Shuwick"), ("b", "Events of 1441 in Shuwick")], "id string, content string")
-    assert [r["id"] for r in L.match(L.postings(docs, "id", {"content": "C"}), "id", terms, "query_id").collect()] == ["b"]
+def test_queries_ask_for_years_numbers_and_short_words(spark):
+    assert [c.need for c in L.plain_query("Events of 1441 in Shuwick")] == [["event", "1441", "shuwick"]] and [c.need for c in L.plain_query("What is RAID or HNSW?")] == [["raid", "hnsw"]]
+    assert L.plain_query("of the and") == [] and L.plain_query(None) == []
+    assert set(found(spark, [(1, None, "Events in Shuwick"), (2, None, "Events of 1441 in Shuwick")], [(1, "Events of 1441 in Shuwick")])) == {(1, 2)}
 
 
 def test_vectors(spark):
@@ -107,12 +145,47 @@ def test_vectors(spark):
     assert V.within(base, "id", asked, "q", 0.999, 5, dims=8).count() == 6 and V.topk(base.limit(0), "id", asked.limit(0), "q", 5, dims=8).count() == 0
 
 
-def test_web_search(spark):
-    docs = spark.createDataFrame([(1, "the old mill sells red salt"), (2, "mill old red corn"), (3, "old mill red salt barn"), (4, "old mill red")], "id int, content string")
-    posts = L.postings(docs, "id", {"content": "C"})
-    q = spark.createDataFrame([(1, 'red "old mill" -barn salt or corn'), (2, "red or barn"), (3, ""), (4, None)], "q int, query string")
-    got = {(r["q"], r["id"]) for r in L.web_search(posts, "id", q, "q").collect()}
-    assert got == {(1, 1), (2, 1), (2, 2), (2, 3), (2, 4)}
+def test_web_queries(spark):
+    assert [(c.need, c.phrases, c.no, c.no_phrases) for c in L.web_query('red "old mill" -barn or corn -"wet hay"')] == [(["red", "old", "mill"], [[(0, "old"), (1, "mill")]], ["barn"], []), (["corn"], [], [], [[(0, "wet"), (1, "hay")]])]
+    assert [c.need for c in L.web_query("a or b or c d")] == [["b"], ["c", "d"]] and L.web_query("-red") == [] and L.web_query("") == []
+    docs = [(1, None, "the old mill sells red salt"), (2, None, "mill old red corn"), (3, None, "old mill red salt barn"), (4, None, "old mill red"), (5, None, "corn and wet hay"), (6, None, "wet corn hay"), (7, None, "city of light"), (8, None, "city light")]
+    asked = [(1, 'red "old mill" -barn'), (2, "salt or barn or corn"), (3, 'corn -"wet hay"'), (4, '"city of light"'), (5, ""), (6, None)]
+    want = {(1, 1), (1, 4), (2, 1), (2, 2), (2, 3), (2, 5), (2, 6), (3, 2), (3, 6), (4, 7)}
+    for how in ("match", "cover"):
+        assert set(found(spark, docs, asked, how, web=True)) == want
+
+
+def test_hybrid_fields_are_filled_from_the_lexical_row(spark):
+    sem = spark.createDataFrame([(1, "a", 1, 0.5, None, "s"), (1, "b", 2, 0.4, "B", "s")], "q int, id string, rank int, score double, title string, section string")
+    lex = spark.createDataFrame([(1, "a", 1, 2.0, "A", "x"), (1, "c", 2, 1.0, "C", None)], "q int, id string, rank int, score double, title string, section string")
+    rows = [(r["id"], r["title"], r["section"], r["provenance"], r["candidate_rank"]) for r in H.merge(sem, lex, "q", "id", ["title", "section"]).orderBy("candidate_rank").collect()]
+    assert rows == [("a", "A", "s", "both", 1), ("b", "B", "s", "semantic", 2), ("c", "C", None, "lexical", 3)]
+
+
+def test_a_seed_without_neighbours_is_its_own_passage(spark):
+    chunks = spark.createDataFrame([("D", 0, "i0", "s", "zero"), ("D", 1, "i1", None, "one")], "document_id string, chunk_index int, id string, section_path string, content string")
+    seeds = spark.createDataFrame([(1, 1, "D", 0, "i0", "zero"), (1, 2, "gone", 7, "x", "text"), (1, 3, None, 1, "y", "text")], "q int, rank int, document_id string, chunk_index int, id string, content string")
+    got = {r["rank"]: (r["neighbour_ids"], r["passage"]) for r in H.neighbours(seeds, chunks, "q").collect()}
+    assert got == {1: ("i0,i1", "[chunk_index=0 section=s]\nzero\n\n[chunk_index=1 section=]\none"), 2: ("x", "[chunk_index=7 section=]\ntext")}
+
+
+def test_lists_and_latency_parts(spark):
+    df = spark.createDataFrame([([], ["b"], ["c"]), (None, None, []), (["a"], ["b"], None)], "a array<string>, b array<string>, c array<string>")
+    assert [r[0] for r in df.select(H.first_list(F.col("a"), F.col("b"), F.col("c"))).collect()] == [["b"], [], ["a"]]
+    times = spark.createDataFrame([(1.0, 10.0), (3.0, 30.0)], "a double, b double")
+    assert E.latency_parts(times, {"a": "a", "b": "b"}).first().asDict() == {"queries": 2, "a_p50": 2.0, "a_p95": 2.9, "b_p50": 20.0, "b_p95": 29.0, "total_p50": 22.0, "total_p95": 31.9}
+    assert E.short_latency(times.limit(0), "a").count() == 0
+
+
+def test_approximate_search_reaches_its_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((20, 16))
+    x = centres[rng.integers(0, 20, 3000)] + 0.7 * rng.standard_normal((3000, 16))
+    base = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, embedding array<float>")
+    asked = base.where("id % 50 = 0").withColumnRenamed("id", "q")
+    pairs = lambda df: {(r["q"], r["id"]) for r in df.collect()}
+    true, near = pairs(V.topk(base, "id", asked, "q", 10, dims=16)), pairs(V.topk_cells(base, "id", asked, "q", 10, dims=16))
+    assert len(true & near) >= 0.9 * len(true)
 
 
 def test_curves_and_summaries(spark):
