@@ -51,6 +51,13 @@ def summary_fault(obj: Column) -> Column:
     )
 
 
+def target(c: Column) -> Column:
+    """A structured summary as JSON in the fixed key order summary, key_points, sentiment, entities, why_it_matters."""
+    kinds = {"summary": "string", "key_points": "array<string>", "sentiment": "string", "entities": "array<string>", "why_it_matters": "string"}
+    body = F.from_json(c, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    return F.to_json(F.struct(*[body[n].alias(n) for n in kinds]))
+
+
 def string_list(c: Column) -> Column:
     """A list from the text of one, with single or double quotes; null and blank give an empty list."""
     text = strip(F.coalesce(c, F.lit("")))

@@ -7,10 +7,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.plans.cut import written
+from siltstone.plans.ranks import running_total
 
 
 def fixed_windows(docs: DataFrame, key: str, text: str, size: int = T.MAX_TOKENS, overlap: int = T.OVERLAP, strip: bool = True) -> DataFrame:
@@ -242,6 +244,11 @@ class Packer:
         return final
 
 
+def overlap_text(text: Column, count: int = T.OVERLAP) -> Column:
+    """The last ``count`` tokens of a text, with the white space between them."""
+    return F.array_join(F.slice(T.tokens(text), -F.least(F.lit(count), F.greatest(F.lit(1), F.size(T.tokens(text)))), F.lit(count)), "")
+
+
 def section_chunks(docs: DataFrame, key: str, title: str, text: str, budget: int = T.MAX_TOKENS) -> DataFrame:
     """The whole section-aware chunking of (key, title, text), one row per chunk.
 
@@ -251,7 +258,7 @@ def section_chunks(docs: DataFrame, key: str, title: str, text: str, budget: int
     next_chunk_id, token_count. Null and blank texts give no row.
     """
     kind = docs.schema[key].dataType.simpleString()
-    fields = {"document_type": pa.string(), "section_index": pa.int32(), "section_title": pa.string(), "section_path": pa.string(), "chunk_index": pa.int32(), "chunk_strategy": pa.string(), "content": pa.string(), "is_orphan_repaired": pa.bool_(), "chunk_id": pa.string(), "prev_chunk_id": pa.string(), "next_chunk_id": pa.string()}
+    fields = {"document_type": pa.string(), "section_index": pa.int32(), "section_title": pa.string(), "section_path": pa.string(), "chunk_index": pa.int32(), "chunk_strategy": pa.string(), "content": pa.string(), "is_orphan_repaired": pa.bool_(), "chunk_id": pa.string(), "prev_chunk_id": pa.string(), "next_chunk_id": pa.string(), "prev_context": pa.string(), "_title": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(budget)
@@ -265,24 +272,37 @@ def section_chunks(docs: DataFrame, key: str, title: str, text: str, budget: int
                     secs = [{"section_index": j, "section_title": n, "section_path": p, "section_text": s} for j, (n, p, s) in enumerate(sections_of(t or "", body))]
                     own = [c | {"document_type": type_, "chunk_index": k} for k, c in enumerate(packer.document(type_, secs))]
                     ids = [hashlib.sha256(f"{k_}|{c['section_path']}|{c['chunk_index']}|{c['content']}".encode("utf-8", "surrogatepass")).hexdigest()[:16] for c in own]
-                    for c, before, id_, after in zip(own, [None, *ids[:-1]], ids, [*ids[1:], None], strict=True):
-                        c |= {"chunk_id": id_, "prev_chunk_id": before, "next_chunk_id": after}
+                    for c, last, before, id_, after in zip(own, [None, *own[:-1]], [None, *ids[:-1]], ids, [*ids[1:], None], strict=True):
+                        context = packer.tidy(" ".join(packer.sentences(last["content"])[-2:])) if last and last["section_path"] == c["section_path"] else ""
+                        c |= {"chunk_id": id_, "prev_chunk_id": before, "next_chunk_id": after, "prev_context": context, "_title": t or ""}
                     rows += own
                     at += [i] * len(own)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array([r[n] for r in rows], k) for n, k in fields.items()]], names=[key, *fields])
 
-    schema = f"{key} {kind}, document_type string, section_index int, section_title string, section_path string, chunk_index int, chunk_strategy string, content string, is_orphan_repaired boolean, chunk_id string, prev_chunk_id string, next_chunk_id string"
-    return docs.select(key, title, text).mapInArrow(run, schema).withColumn("token_count", T.token_count(F.col("content")))
+    schema = f"{key} {kind}, document_type string, section_index int, section_title string, section_path string, chunk_index int, chunk_strategy string, content string, is_orphan_repaired boolean, chunk_id string, prev_chunk_id string, next_chunk_id string, prev_context string, _title string"
+    made = docs.select(key, title, text).mapInArrow(run, schema)
+    made = made.withColumn("embedding_text", T.embedding_text(F.col("_title"), F.col("section_path"), F.col("content"), F.col("prev_context"))).drop("_title")
+    counts = {"token_count": "content", "source_token_count": "content", "embedding_token_count": "embedding_text"}
+    return made.withColumns({n: T.token_count(F.col(c)) for n, c in counts.items()})
+
+
+def in_order(chunks: DataFrame, key: str, tie: str) -> DataFrame:
+    """``chunks`` with ``place``: from 0 in the order of chunk_index (null as 0, ties by ``tie``) within ``key``, without gaps.
+
+    Counted over buckets of indexes, so a document with a third of all rows is no single task.
+    """
+    return running_total(chunks, key, "chunk_index", tie, F.lit(1), "place")
 
 
-def linked(chunks: DataFrame, key: str) -> DataFrame:
-    """``chunks`` with prev_chunk_id and next_chunk_id, by equi-joins on the neighbouring index.
+def linked(chunks: DataFrame, key: str, *more: str) -> DataFrame:
+    """``chunks`` (key, chunk_id, chunk_index, more) with prev_chunk_id and next_chunk_id, the chunks before and after in order.
 
-    A window would sort a hot document in one task; a join on (key, chunk_index) does not.
+    ``more`` columns of the chunk before come along as ``prev_`` columns. A missing index between two
+    chunks parts no links. A window would sort a hot document in one task; joins on (key, place) do not.
     """
-    side = lambda by, name: chunks.select(F.col(key).alias("_k"), (F.col("chunk_index") + by).alias("_i"), F.col("chunk_id").alias(name))
-    out = chunks
-    for by, name in ((1, "prev_chunk_id"), (-1, "next_chunk_id")):
-        other = side(by, name)
-        out = out.join(other, (out[key] == other["_k"]) & (out["chunk_index"] == other["_i"]), "left").drop("_k", "_i")
-    return out
+    placed = written(in_order(chunks, key, "chunk_id"), "placed")
+    out = placed
+    for by, name, own in ((1, "prev", more), (-1, "next", ())):
+        side = placed.select(F.col(key).alias("_k"), (F.col("place") + by).alias("_p"), F.col("chunk_id").alias(f"{name}_chunk_id"), *[F.col(c).alias(f"{name}_{c}") for c in own])
+        out = out.join(side, out[key].eqNullSafe(side["_k"]) & (out["place"] == side["_p"]), "left").drop("_k", "_p")
+    return out.drop("place")

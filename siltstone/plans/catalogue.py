@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.plans import queries_reports, queries_search, queries_text  # noqa: F401
+from siltstone.plans import queries_models, queries_reports, queries_search, queries_text  # noqa: F401
 from siltstone.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

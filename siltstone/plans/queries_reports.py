@@ -10,7 +10,7 @@ from siltstone.functions import numbers as N
 from siltstone.functions import text as T
 from siltstone.operators import evaluation as E
 from siltstone.operators import models as M
-from siltstone.plans.cut import shared_dir, written
+from siltstone.plans.cut import scratch, written
 from siltstone.plans.registry import query
 from siltstone.sources import reports as R
 from siltstone.sources.tables import delivered_once, table
@@ -90,9 +90,25 @@ def judge_cases(spark: SparkSession, d: str) -> DataFrame:
     return _judges(spark, d).agg(F.count_if(m).alias("matched"), F.count_if(~m).alias("one_sided"), case("partial", "yes").alias("partial_to_yes"), case("no", "yes").alias("no_to_yes"), case("yes", "no").alias("yes_to_no"), N.percent(F.count_if(m & (x != "yes") & (y == "yes")), F.count_if(m)).alias("gained_pct"))
 
 
-@query(f"WITH {_JOINED} SELECT q FROM j WHERE NOT matched AND x = 'missing' AND y = 'yes'")
-def judge_case_list(spark: SparkSession, d: str) -> DataFrame:
-    return _judges(spark, d).where("not matched and x = 'missing' and y = 'yes'").select("q")
+_CASE_SQL = " UNION ALL ".join(f"SELECT q, '{n}' AS \"case\" FROM j WHERE matched AND " + (f"x = '{x}'" if x else "x <> 'yes'") + f" AND y = '{y}'" for n, (x, y) in E.CASES.items())
+
+
+@query(f"WITH {_JOINED} {_CASE_SQL}")
+def judge_case_lists(spark: SparkSession, d: str) -> DataFrame:
+    return E.case_lists(_judges(spark, d).where("matched"), "x", "y").select("q", "case")
+
+
+@query(f"WITH {_JOINED}, c AS ({_CASE_SQL}) SELECT \"case\", count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM j WHERE matched), 2) AS pct_of_matched FROM c GROUP BY 1")
+def judge_case_shares(spark: SparkSession, d: str) -> DataFrame:
+    j = _judges(spark, d).where("matched")
+    total = j.agg(F.count(F.lit(1)).alias("_t"), F.lit(1).alias("_one"))
+    n = E.case_lists(j, "x", "y").groupBy("case").agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
+    return n.join(total, "_one").select("case", "n", N.percent(F.col("n"), F.col("_t")).alias("pct_of_matched"))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS avg_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(min(value), 6) AS min_ms, round(max(value), 6) AS max_ms FROM events WHERE value IS NOT NULL GROUP BY 1")
+def latency_short(spark: SparkSession, d: str) -> DataFrame:
+    return E.short_latency(table(spark, d, "events", "event_type", "value"), "value", ["event_type"])
 
 
 @query("""WITH c AS (SELECT l_orderkey, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity * 1000 END AS p, l_extendedprice AS k FROM lineitem)
@@ -104,8 +120,8 @@ def llm_cost(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("p"), 4).alias("prompt_tokens"), F.round(F.sum(N.cost(F.col("p"), F.col("k"))), 6).alias("cost_usd"))
 
 
-@query("""SELECT b AS batch, min(rn) - 1 AS start_index, max(rn) AS end_index, count(*) AS rows, round(sum(value), 4) AS seconds, round(count(*) / nullif(sum(value), 0), 6) AS per_second FROM
- (SELECT value, rn, (rn - 1) // 100 AS b FROM (SELECT value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events WHERE event_type = (SELECT min(event_type) FROM events))) GROUP BY 1""")
+@query("""SELECT event_type, b AS batch, min(rn) - 1 AS start_index, max(rn) AS end_index, count(*) AS rows, round(sum(value), 4) AS seconds, round(count(*) / nullif(sum(value), 0), 6) AS per_second FROM
+ (SELECT event_type, value, rn, (rn - 1) // 100 AS b FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events)) GROUP BY 1, 2""")
 def run_batches(spark: SparkSession, d: str) -> DataFrame:
     from siltstone.plans.ranks import row_numbers
 
@@ -125,11 +141,11 @@ _FAIL_SQL = f"""WITH {_ONCE}, h AS (SELECT DISTINCT r.run, r.query_id, r.rank, r
  rc AS (SELECT x.query_id, count(y.chunk_id) / 5 AS recall FROM (SELECT DISTINCT query_id, chunk_id FROM h WHERE run = 'flat' AND rank <= 5) x LEFT JOIN (SELECT DISTINCT query_id, chunk_id FROM h WHERE run = 'ann' AND rank <= 5) y ON x.query_id = y.query_id AND x.chunk_id = y.chunk_id GROUP BY 1),
  k AS (SELECT q.query_id, q.query, round(recall, 6) AS recall, coalesce(f.sim, 0) AS fs, coalesce(a.sim, 0) AS hs, coalesce(f.ft, '') AS ft, {_any(_keys('query'), "lower(coalesce(f.title, ''))")} AS fm, {_any(_keys('query'), "lower(coalesce(a.title, ''))")} AS hm, {_any(_keys('query'), "lower(coalesce(f.ft, ''))")} AS cm
    FROM queries q LEFT JOIN f ON f.query_id = q.query_id LEFT JOIN a ON a.query_id = q.query_id LEFT JOIN rc ON rc.query_id = q.query_id),
- cl AS (SELECT query_id, recall, CASE WHEN coalesce(recall, 0) >= 1 THEN 'healthy' WHEN ({_asked}) AND NOT ({_shown}) THEN 'corpus_gap' WHEN fs >= 0.3 AND hs >= 0.3 AND NOT fm AND NOT hm THEN 'semantic_ambiguity'
+ cl AS (SELECT query_id, query, recall, fs, hs, ft, CASE WHEN coalesce(recall, 0) >= 1 THEN 'healthy' WHEN ({_asked}) AND NOT ({_shown}) THEN 'corpus_gap' WHEN fs >= 0.3 AND hs >= 0.3 AND NOT fm AND NOT hm THEN 'semantic_ambiguity'
   WHEN (fs >= 0.4 OR fm OR cm) AND NOT hm AND hs < fs THEN 'ann_miss' WHEN coalesce(recall, 0) >= 0.5 THEN 'minor_ranking_difference' ELSE 'uncertain' END AS label FROM k)"""
 
 
-def _failures(spark: SparkSession, d: str) -> DataFrame:
+def _failures(spark: SparkSession, d: str, more: bool = False) -> DataFrame:
     h = table(spark, d, "reranked_results", "run", "query_id", "rank", "chunk_id", "title", "similarity").distinct()
     text = delivered_once(table(spark, d, "document_chunks", "id", "content", "created_at")).select(F.col("id").alias("chunk_id"), "content")
     head = h.where("rank <= 3")
@@ -141,7 +157,9 @@ def _failures(spark: SparkSession, d: str) -> DataFrame:
     recall = top("flat").join(top("ann").withColumn("in", F.lit(1)), ["query_id", "chunk_id"], "left").groupBy("query_id").agg((F.count("in") / 5).alias("recall"))
     q = table(spark, d, "queries", "query_id", "query").join(flat, "query_id", "left").join(ann, "query_id", "left").join(recall, "query_id", "left")
     label = E.failure_class(F.col("query"), F.col("recall"), (F.col("ftitle"), F.col("fsim"), F.col("ftext")), (F.col("atitle"), F.col("asim")))
-    return q.select("query_id", F.round("recall", 6).alias("recall"), label.alias("label"))
+    zero = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)), 6)
+    extra = ["query", zero("fsim").alias("flat_similarity"), zero("asim").alias("ann_similarity"), F.coalesce("ftext", F.lit("")).alias("text")] if more else []
+    return q.select("query_id", F.round("recall", 6).alias("recall"), label.alias("label"), *extra)
 
 
 @query(_FAIL_SQL + " SELECT query_id, recall, label FROM cl")
@@ -155,9 +173,19 @@ def failure_shares(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", "n", N.percent(F.col("n"), F.lit(f.count())).alias("pct"))
 
 
-@query(_FAIL_SQL + " SELECT query_id, recall, label FROM cl ORDER BY coalesce(recall, 0), query_id LIMIT 10")
+_SHOWN = "trim(replace(ft, chr(10), ' '), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(_FAIL_SQL + f""", five AS (SELECT DISTINCT run, query_id, chunk_id FROM h WHERE rank <= 5), o AS (SELECT query_id, list_sort(list(DISTINCT chunk_id) FILTER (WHERE run = 'flat')) AS f, list_sort(list(DISTINCT chunk_id) FILTER (WHERE run = 'ann')) AS n FROM five GROUP BY 1)
+ SELECT query_id, query, recall, label, round(fs, 6) AS flat_similarity, round(hs, 6) AS ann_similarity, coalesce(len(list_intersect(f, n)), 0) AS overlap, array_to_string(list_sort(list_filter(f, lambda c: NOT list_contains(coalesce(n, []), c))), ',') AS missed,
+  CASE WHEN length({_SHOWN}) > 200 THEN substr({_SHOWN}, 1, 200) || '...' ELSE {_SHOWN} END AS preview FROM cl LEFT JOIN o USING (query_id) ORDER BY coalesce(recall, 0), query_id LIMIT 10""")
 def worst_failures(spark: SparkSession, d: str) -> DataFrame:
-    return _failures(spark, d).orderBy(F.coalesce("recall", F.lit(0.0)), "query_id").limit(10)
+    """The ten queries of least recall, with what both runs share, what the approximate one missed and how the exact hits begin."""
+    five = table(spark, d, "reranked_results", "run", "query_id", "chunk_id", "rank").where("rank <= 5")
+    own = lambda run: F.array_sort(F.collect_set(F.when(F.col("run") == run, F.col("chunk_id"))))
+    lists = five.groupBy("query_id").agg(own("flat").alias("f"), own("ann").alias("n"))
+    worst = _failures(spark, d, True).orderBy(F.coalesce("recall", F.lit(0.0)), "query_id").limit(10)
+    return worst.join(lists, "query_id", "left").select("query_id", "query", "recall", "label", "flat_similarity", "ann_similarity", F.coalesce(F.size(F.array_intersect("f", "n")), F.lit(0)).alias("overlap"), F.coalesce(F.array_join(F.array_sort(F.array_except("f", "n")), ","), F.lit("")).alias("missed"), T.preview(F.col("text"), 200).alias("preview"))
 
 
 # Structured replies: each tenth event carries another fault.
@@ -209,31 +237,6 @@ def repair_merge(spark: SparkSession, d: str) -> DataFrame:
     return good.unionByName(again)
 
 
-@query()
-def summarize_validate_repair(spark: SparkSession, d: str) -> DataFrame:
-    return M.summarized(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
-
-
-@query()
-def teacher_labels(spark: SparkSession, d: str) -> DataFrame:
-    ok = M.summarized(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").where("success")
-    body = F.struct(*[J.field(F.col("reply"), k).alias(k) for k in ("summary", "key_points", "sentiment", "entities", "why_it_matters")])
-    return ok.select("doc_id", F.to_json(body).alias("target"))
-
-
-@query()
-def embed_texts(spark: SparkSession, d: str) -> DataFrame:
-    return M.embedded(table(spark, d, "documents", "doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("dims"))
-
-
-@query()
-def context_judgments(spark: SparkSession, d: str) -> DataFrame:
-    chunks = delivered_once(table(spark, d, "document_chunks", "id", "content", "created_at")).select(F.col("id").alias("chunk_id"), "content")
-    hits = table(spark, d, "reranked_results", "run", "query_id", "rank", "chunk_id").where("run = 'flat' and rank <= 3").distinct().join(chunks, "chunk_id", "left")
-    context = hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.coalesce("content", F.lit("")).alias("t")))), lambda x: x["t"]), "\n\n").alias("context"))
-    return M.judged(table(spark, d, "queries", "query_id", "query").join(context, "query_id", "left"), "query", "context").select("query_id", "judgment.*")
-
-
 _FRAME = "SELECT o_orderkey, o_custkey, o_totalprice AS price, o_orderstatus AS status FROM orders"
 
 
@@ -298,13 +301,15 @@ def last_wins(spark: SparkSession, d: str) -> DataFrame:
     return ev.groupBy("user_id").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("r")).select("user_id", "r.event_id", "r.value")
 
 
-_SPLIT = "CASE WHEN h < 60 THEN 'train' WHEN h < 80 THEN 'validation' ELSE 'test' END"
+_SCHEMES = {"60/20/20": (60, 20, 20), "64/16/20": (64, 16, 20), "70/10/20": (70, 10, 20)}
+_NAMES = ("train", "validation", "test")
 
 
-@query(f"SELECT {_SPLIT} AS split, count(*) AS rows, min(doc_id) AS first_id FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 100 AS h FROM documents) GROUP BY 1")
+@query("SELECT scheme, split, count(*) AS rows, min(doc_id) AS first_id FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS scheme, CASE WHEN h < {a} THEN 'train' WHEN h < {a + b} THEN 'validation' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 100 AS h FROM documents)" for n, (a, b, _) in _SCHEMES.items()) + ") GROUP BY 1, 2")
 def deterministic_split(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents", "doc_id").withColumn("split", M.split_of(F.col("doc_id"), {"train": 60, "validation": 20, "test": 20}))
-    return docs.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id"))
+    docs = table(spark, d, "documents", "doc_id")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("scheme"), M.split_of(F.col("doc_id"), dict(zip(_NAMES, p, strict=True))).alias("split")) for n, p in _SCHEMES.items()])).alias("s")
+    return docs.select("doc_id", each).groupBy("s.scheme", "s.split").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id"))
 
 
 @query("SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS o_totalprice FROM orders, (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders WHERE o_orderkey % 5 <> 0)")
@@ -363,22 +368,6 @@ def response_only_labels(spark: SparkSession, d: str) -> DataFrame:
     return q.select("query_id", F.size("p").alias("prompt_tokens"), F.array_join(F.transform(labels, lambda x: x.cast("string")), ",").alias("labels"))
 
 
-def _learned(spark: SparkSession, d: str, hidden: list[int] | None) -> DataFrame:
-    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount", "l_tax")
-    data = rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), (F.col("l_returnflag") == "R").cast("double").alias("label"), "l_quantity", "l_discount", "l_tax")
-    return M.logistic_scores(M.standardized(data, ["l_quantity", "l_discount", "l_tax"]), "row_id", ["l_quantity", "l_discount", "l_tax"], "label", hidden)
-
-
-@query()
-def logreg_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _learned(spark, d, None)
-
-
-@query()
-def mlp_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _learned(spark, d, [32, 16])
-
-
 _W = "strftime({s}, '%Y-%m-%d %H:%M:%S') AS window_start, strftime({e}, '%Y-%m-%d %H:%M:%S') AS window_end"
 _AGG = "count(*) AS events, round(sum(value), 4) AS total, round(max(value), 6) AS most"
 
@@ -403,15 +392,13 @@ def events_session(spark: SparkSession, d: str) -> DataFrame:
     return S.sessions(_events(spark, d), "3 hours", ["user_id"])
 
 
-@query("SELECT query_id, count(*) AS hits, min(chunk_id) AS first_chunk FROM (SELECT DISTINCT query_id, chunk_id FROM reranked_results WHERE run = 'flat') GROUP BY 1")
+@query("SELECT run, query_id, count(*) AS hits, min(chunk_id) AS first_chunk FROM (SELECT DISTINCT run, query_id, chunk_id FROM reranked_results) GROUP BY 1, 2")
 def report_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Rankings written as JSON report rows, one per hit, into the shared folder and read again."""
-    import uuid
-
-    hits = table(spark, d, "reranked_results", "run", "query_id", "chunk_id").where("run = 'flat'").drop("run").distinct()
-    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    """Rankings of every run written as JSON report rows, one per hit, into the shared folder and read again."""
+    hits = table(spark, d, "reranked_results", "run", "query_id", "chunk_id").distinct()
+    path = scratch(spark, "report")
     R.write_report(hits, path)
-    return spark.read.schema("query_id bigint, chunk_id string").json(path).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("chunk_id").alias("first_chunk"))
+    return spark.read.schema("run string, query_id bigint, chunk_id string").json(path).groupBy("run", "query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("chunk_id").alias("first_chunk"))
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem GROUP BY 1, 2")
@@ -443,12 +430,12 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_ONCE}, docs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at) AS rn FROM rag_documents) WHERE rn = 1)
- SELECT c.id, c.document_id, trim(d.title) AS document_title, json_extract_string(d.metadata, '$.source') AS source FROM once c JOIN docs d ON d.id = c.document_id""")
+ SELECT c.id, c.document_id, trim(d.title) AS document_title, json_extract_string(d.metadata, '$.source') AS source FROM once c LEFT JOIN docs d ON d.id = c.document_id""")
 def chunks_with_documents(spark: SparkSession, d: str) -> DataFrame:
     chunks = delivered_once(table(spark, d, "document_chunks", "id", "document_id", "created_at")).select("id", "document_id")
     docs = delivered_once(table(spark, d, "rag_documents", "id", "title", "metadata", "created_at"))
     named = docs.select(F.col("id").alias("document_id"), F.trim("title").alias("document_title"), J.field(F.col("metadata"), "source").alias("source"))
-    return chunks.join(named, "document_id").select("id", "document_id", "document_title", "source")
+    return chunks.join(named, "document_id", "left").select("id", "document_id", "document_title", "source")
 
 
 @query(f"""WITH {_ONCE}, h AS (SELECT DISTINCT query_id, rank, chunk_id, title, similarity FROM reranked_results WHERE run = 'flat' AND rank <= 3),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import numbers as N
 from siltstone.functions import text as T
 from siltstone.operators import chunking as C
+from siltstone.plans.cut import written
 from siltstone.plans.ranks import running_total
 from siltstone.plans.registry import query
 from siltstone.sources.tables import delivered_once, table
@@ -75,20 +76,39 @@ _frag = lambda x: f"""({_low(x)} OR {_punct(x)} OR regexp_replace(regexp_extract
 _label = lambda x: f"({_strip(x)} <> '' AND ({_count(x)} <= 8 OR ({_count(x)} <= 15 AND NOT regexp_matches({_strip(x)}, '[.?!]$'))))"
 
 
-@query(f"""WITH {_ONCE}, q AS (SELECT {_count('content')} AS n, {_low('content')} AS lo, {_punct('content')} AS pu, {_mid('content')} AS mid, {_frag('content')} AS fr, {_label('content')} AS la FROM once)
- SELECT count(*) AS chunk_count, round(avg(n), 6) AS avg_tokens, round(median(n), 6) AS median_tokens, min(n) AS min_tokens, max(n) AS max_tokens, quantile_disc(n, 0.1) AS p10_tokens, quantile_disc(n, 0.9) AS p90_tokens,
- count(*) FILTER (WHERE n < 40) AS under_40, count(*) FILTER (WHERE n < 80) AS under_80, count(*) FILTER (WHERE lo) AS lowercase_starts, count(*) FILTER (WHERE pu) AS punctuation_starts,
- count(*) FILTER (WHERE mid) AS mid_sentence_ends, count(*) FILTER (WHERE fr) AS fragment_starts, count(*) FILTER (WHERE la) AS short_labels, round(100 * count(*) FILTER (WHERE fr) / count(*), 2) AS fragment_pct FROM q""")
+_set = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '{_S}+'))"
+_LAG = f"""lagged AS (SELECT content, lag(content) OVER w AS before, row_number() OVER w AS r FROM once WINDOW w AS (PARTITION BY document_id ORDER BY coalesce(chunk_index, 0), id)),
+ j AS (SELECT coalesce(len(list_intersect({_set('before')}, {_set('content')})) / nullif(len(list_distinct(list_concat({_set('before')}, {_set('content')}))), 0), 0) AS j FROM lagged WHERE r > 1)"""
+_FLAGS = {"chunks_starting_with_lowercase": "lo", "chunks_starting_with_punctuation": "pu", "chunks_ending_mid_sentence": "mid", "fragment_like_starts": "fr", "short_label_like_chunks": "la"}
+_named = lambda n: f"pct_{n}"
+
+
+@query(f"""WITH {_ONCE}, q AS (SELECT coalesce(token_count, {_count('content')}) AS n, {_low('content')} AS lo, {_punct('content')} AS pu, {_mid('content')} AS mid, {_frag('content')} AS fr, {_label('content')} AS la FROM once), {_LAG},
+ g AS (SELECT {_fold('content')} AS x, count(*) AS c FROM once GROUP BY 1), dup AS (SELECT round(coalesce(sum(c - 1) / sum(c), 0), 6) AS exact_duplicate_ratio FROM g WHERE x <> ''),
+ adj AS (SELECT round(coalesce(avg(j), 0), 6) AS avg_adjacent_token_jaccard, round(coalesce(median(j), 0), 6) AS median_adjacent_token_jaccard, round(coalesce(quantile_disc(j, 0.9), 0), 6) AS p90_adjacent_token_jaccard, round(coalesce(max(j), 0), 6) AS max_adjacent_token_jaccard FROM j)
+ SELECT r.*, dup.*, adj.* FROM (SELECT count(*) AS total_chunks, round(avg(n), 6) AS avg_tokens_per_chunk, round(median(n), 6) AS median_tokens_per_chunk, min(n) AS min_tokens_per_chunk, max(n) AS max_tokens_per_chunk, quantile_disc(n, 0.1) AS p10_tokens_per_chunk, quantile_disc(n, 0.9) AS p90_tokens_per_chunk,
+ {', '.join(f"count(*) FILTER (WHERE n < {k}) AS chunks_lt_{k}_tokens, round(count(*) FILTER (WHERE n < {k}) / count(*), 6) AS pct_chunks_lt_{k}_tokens" for k in (40, 80))},
+ {', '.join(f"count(*) FILTER (WHERE {c}) AS {n}, round(count(*) FILTER (WHERE {c}) / count(*), 6) AS {_named(n)}" for n, c in _FLAGS.items())} FROM q) r, dup, adj""")
 def chunk_quality_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of 26 metrics: stored token counts where there are any, starts and ends, exact copies, overlap of neighbours."""
     c = F.col("content")
-    q = _each(spark, d, T.token_count(c).alias("n"), T.starts_lower(c).alias("lo"), T.starts_punctuated(c).alias("pu"), T.ends_mid_sentence(c).alias("mid"), T.starts_like_fragment(c).alias("fr"), T.short_label(c).alias("la"))
-    n = F.col("n")
-    count = F.count(F.lit(1))
-    return q.agg(
-        count.alias("chunk_count"), F.round(F.avg(n), 6).alias("avg_tokens"), F.round(F.median(n), 6).alias("median_tokens"), F.min(n).alias("min_tokens"), F.max(n).alias("max_tokens"), N.nearest_rank("n", 0.1).cast("int").alias("p10_tokens"), N.nearest_rank("n", 0.9).cast("int").alias("p90_tokens"),
-        F.count_if(n < 40).alias("under_40"), F.count_if(n < 80).alias("under_80"), F.count_if("lo").alias("lowercase_starts"), F.count_if("pu").alias("punctuation_starts"), F.count_if("mid").alias("mid_sentence_ends"), F.count_if("fr").alias("fragment_starts"), F.count_if("la").alias("short_labels"),
-        N.percent(F.count_if("fr"), count).alias("fragment_pct"),
+    x = T.folded(c)
+    flags = [T.starts_lower(c).alias("lo"), T.starts_punctuated(c).alias("pu"), T.ends_mid_sentence(c).alias("mid"), T.starts_like_fragment(c).alias("fr"), T.short_label(c).alias("la")]
+    # One pass over the texts; what leaves it are numbers, flags and hashes.
+    each = written(_each(spark, d, "document_id", "chunk_index", F.coalesce("token_count", T.token_count(c)).alias("n"), *flags, F.when(x != "", F.md5(x)).alias("x"), _word_hashes(c).alias("w")), "report")
+    n, count = F.col("n"), F.count(F.lit(1))
+    share = lambda own: F.round(N.safe_ratio(F.count_if(own), count), 6)
+    whole = each.agg(
+        count.alias("total_chunks"), F.round(F.avg(n), 6).alias("avg_tokens_per_chunk"), F.round(F.median(n), 6).alias("median_tokens_per_chunk"), F.min(n).alias("min_tokens_per_chunk"), F.max(n).alias("max_tokens_per_chunk"),
+        N.nearest_rank("n", 0.1).cast("int").alias("p10_tokens_per_chunk"), N.nearest_rank("n", 0.9).cast("int").alias("p90_tokens_per_chunk"),
+        *[m for k in (40, 80) for m in (F.count_if(n < k).alias(f"chunks_lt_{k}_tokens"), share(n < k).alias(f"pct_chunks_lt_{k}_tokens"))],
+        *[m for name, f in _FLAGS.items() for m in (F.count_if(f).alias(name), share(F.col(f)).alias(_named(name)))],
     )
+    copies = each.where("x is not null").groupBy("x").agg(count.alias("c")).agg(F.round(N.safe_ratio(F.sum(F.col("c") - 1), F.sum("c")), 6).alias("exact_duplicate_ratio"))
+    near = _jaccards(each)
+    overlap = near.agg(*[F.coalesce(F.round(m, 6), F.lit(0.0)).alias(f"{name}_adjacent_token_jaccard") for name, m in (("avg", F.avg("j")), ("median", F.median("j")), ("p90", N.nearest_rank("j", 0.9)), ("max", F.max("j")))])
+    one = F.lit(1).alias("_one")
+    return whole.select("*", one).join(copies.select("*", one), "_one").join(overlap.select("*", one), "_one").drop("_one")
 
 
 @query(f"WITH {_ONCE}, g AS (SELECT {_fold('content')} AS x, count(*) AS c FROM once GROUP BY 1) SELECT sum(c)::BIGINT AS texts, sum(c - 1)::BIGINT AS repeats, round(sum(c - 1) / sum(c), 6) AS duplicate_ratio FROM g WHERE x <> ''")
@@ -99,19 +119,23 @@ def duplicate_ratio(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.sum("c").alias("texts"), F.sum(F.col("c") - 1).alias("repeats"), F.round(N.safe_ratio(F.sum(F.col("c") - 1), F.sum("c")), 6).alias("duplicate_ratio"))
 
 
-_set = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '{_S}+'))"
+@query(f"WITH {_ONCE}, {_LAG} SELECT count(*) AS pairs, round(avg(j), 6) AS avg_jaccard, round(median(j), 6) AS median_jaccard, round(quantile_disc(j, 0.9), 6) AS p90_jaccard, round(max(j), 6) AS max_jaccard FROM j")
+def adjacent_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    base = written(_each(spark, d, "document_id", "chunk_index", _word_hashes(F.col("content")).alias("w")), "words")
+    return _jaccards(base).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("j"), 6).alias("avg_jaccard"), F.round(F.median("j"), 6).alias("median_jaccard"), F.round(N.nearest_rank("j", 0.9), 6).alias("p90_jaccard"), F.round(F.max("j"), 6).alias("max_jaccard"))
 
 
-@query(f"""WITH {_ONCE}, j AS (SELECT coalesce(len(list_intersect({_set('a.content')}, {_set('b.content')})) / nullif(len(list_distinct(list_concat({_set('a.content')}, {_set('b.content')}))), 0), 0) AS j
-   FROM once a JOIN once b ON a.document_id = b.document_id AND b.chunk_index = a.chunk_index + 1)
- SELECT count(*) AS pairs, round(avg(j), 6) AS avg_jaccard, round(median(j), 6) AS median_jaccard, round(quantile_disc(j, 0.9), 6) AS p90_jaccard, round(max(j), 6) AS max_jaccard FROM j""")
-def adjacent_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(f"{T.NOT_WS}+"), F.lit(0)))
-    # Only the distinct words' hashes travel; the neighbour is met by an equi-join, so a hot document is no single task.
-    base = _each(spark, d, "document_id", "chunk_index", F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
-    after = base.select("document_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("w").alias("v"))
-    j = base.join(after, ["document_id", "chunk_index"]).select(N.safe_ratio(F.size(F.array_intersect("w", "v")), F.size(F.array_union("w", "v"))).alias("j"))
-    return j.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("j"), 6).alias("avg_jaccard"), F.round(F.median("j"), 6).alias("median_jaccard"), F.round(N.nearest_rank("j", 0.9), 6).alias("p90_jaccard"), F.round(F.max("j"), 6).alias("max_jaccard"))
+def _word_hashes(c: Column) -> Column:
+    """Hashes of the different lower-cased tokens of a text: only they travel."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"{T.NOT_WS}+"), F.lit(0))), lambda w: F.xxhash64(w))
+
+
+def _jaccards(base: DataFrame) -> DataFrame:
+    """(j): similarity of each chunk (id, document_id, chunk_index, w) to the one before it in its document, gaps or not."""
+    placed = C.in_order(base.select("id", "document_id", "chunk_index"), "document_id", "id").select("id", "document_id", "place")
+    own = placed.join(base.select("id", "w"), "id").select("document_id", "place", "w")
+    before = own.select("document_id", (F.col("place") + 1).alias("place"), F.col("w").alias("v"))
+    return own.join(before, ["document_id", "place"]).select(N.safe_ratio(F.size(F.array_intersect("w", "v")), F.size(F.array_union("w", "v"))).alias("j"))
 
 
 _flat = "regexp_replace(coalesce(content, ''), '\\n', ' ', 'g')"

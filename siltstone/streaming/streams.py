@@ -38,14 +38,25 @@ def first_deliveries(chunks: DataFrame, late: str = "45 days", key: str = "id",
 
 
 def keep_search_fields(chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends each new chunk with its derived search fields; restarts continue at the checkpoint."""
+    """Appends each inserted or updated chunk with its derived search fields; restarts continue at the checkpoint.
+
+    A batch that is run again after a failure writes the same folder again, so nothing is kept twice.
+    ``current_fields`` reads the last version of every chunk.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        search_fields(df).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        search_fields(df).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return chunks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_fields(kept: DataFrame, key: str = "id", time: str = "created_at") -> DataFrame:
+    """One row per key: that of the last batch, in a batch that of the latest ``time``. Aggregated partially before the shuffle."""
+    others = [c for c in kept.columns if c not in (key, "batch")]
+    last = F.max_by(F.struct(*others), F.struct("version", time)).alias("_r")
+    return kept.groupBy(key).agg(last).select(key, *[F.col(f"_r.{c}").alias(c) for c in others if c != "version"])
+
+
 def running_best(events: DataFrame, key: str = "user_id", value: str = "value") -> DataFrame:
     """(key, best, seen) after each batch, with state per key that keeps two numbers."""
 

@@ -36,6 +36,117 @@ def test_providers(spark):
     assert (out[1]["success"], out[1]["repair_used"]) == (True, False) and (out[2]["success"], out[2]["repair_used"]) == (True, True) and not out[3]["success"] and out[3]["error"]
 
 
+def test_failed_calls_are_rows(spark):
+    class Broken:
+        model = "broken"
+
+        def judge(self, *texts):
+            raise OSError("no service")
+
+    df = spark.createDataFrame([(1, "a", "b", "c")], "k int, q string, a string, c string")
+    row = M.judged(df, "q", "c", Broken(), tries=1).first()["judgment"]
+    assert row["answerability"] == row["failure_type"] == "error" and "no service" in row["reason"] and row["noise_score"] is None
+    row = M.answers_judged(df, "q", "a", "c", Broken(), tries=1).first()
+    assert row["judgment"]["answerability"] == "error" and row["cost_usd"] is None and row["total_tokens"] is None and row["model"] == "broken"
+
+
+def test_answers_and_canned_replies(spark):
+    rows = [(1, "where is the mill", "The mill is old. It stands.", ["c"], True), (2, "x", "", [], True), (3, "x", "y", ["c"], False), (4, "x", None, None, None), (5, "x", "no such word", ["c"], True)]
+    df = spark.createDataFrame(rows, "k int, q string, c string, s array<string>, f boolean")
+    got = {r["k"]: r["answer"] for r in M.answered(df, "q", "c", "s", "f").collect()}
+    assert got == {1: "The mill is old [Source 1]", 2: M.NO_CONTEXT, 3: M.NOT_ASKED, 4: M.NOT_ASKED, 5: M.NOT_IN_CONTEXT}
+    vector, ms = M.embed_query("red mill")
+    assert len(vector) == 64 and ms >= 0
+
+
+def test_candidates_and_metrics(spark):
+    df = spark.createDataFrame([(1, 2.0, 1.0), (2, 1.0, 1.0), (3, None, None), (4, None, 3.0)], "k int, a double, b double")
+    got = {r["k"]: (r["judge_success"], r["winner"], r["margin"], r["judge_error"] is None) for r in M.candidates_judged(df, {"a": "a", "b": "b"}).collect()}
+    assert got == {1: (True, "a", 1.0, True), 2: (True, "tie", 0.0, True), 3: (False, None, None, False), 4: (True, "b", 0.0, True)}
+    metrics = lambda rows: spark.createDataFrame(rows, "k int, batch_time_sec double, input_tokens int, output_tokens int")
+    merged = {r["k"]: (r["total_tokens"], r["tokens_per_sec"], r["repair_used"]) for r in M.merged_metrics(metrics([(1, 2.0, 3, 1), (2, 0.0, 1, 1), (3, None, None, 4)]), metrics([(1, 2.0, 4, None)]), "k").collect()}
+    assert merged == {1: (8, 2.0, True), 2: (2, None, False), 3: (4, None, False)}
+
+
+def test_compact_cases_and_lists(spark):
+    context = spark.createDataFrame([(1, ("partial", "none", 3, 2, "r"))], "q int, judgment struct<answerability:string,failure_type:string,context_relevance_score:int,context_completeness_score:int,reason:string>")
+    answers = spark.createDataFrame([(1, ("yes", "none", 5, 4, 3, ""), ["t"], ["c"], "x"), (2, ("no", None, None, None, None, None), None, None, None)], "q int, judgment struct<answerability:string,failure_type:string,answerability_score:int,groundedness_score:int,completeness_score:int,reason:string>, source_titles array<string>, source_chunk_ids array<string>, answer string")
+    rows = {r["q"]: r for r in E.compact_cases(context, answers, "q").collect()}
+    assert len(rows[1]) == 15 and rows[1]["context_reason"] == "r" and rows[1]["answer_groundedness_score"] == 4
+    assert rows[2]["context_answerability"] == "missing" and rows[2]["source_titles"] == [] and rows[2]["answer"] == "" and rows[2]["context_relevance_score"] is None
+    df = spark.createDataFrame([("partial", "yes"), ("yes", "no"), ("missing", "yes"), ("no", "no")], "a string, b string")
+    assert sorted((r["a"], r["case"][0]) for r in E.case_lists(df, "a", "b").collect()) == [("missing", "q"), ("partial", "A"), ("partial", "q"), ("yes", "C")]
+
+
+def test_resumed_and_staged_runs(spark, tmp_path):
+    seen: list = []
+    q = spark.createDataFrame([(i,) for i in range(6)], "q bigint")
+
+    def run(left):
+        seen.append(sorted(r[0] for r in left.collect()))
+        return left.withColumn("answer", F.col("q") * 2)
+
+    path = str(tmp_path / "run")
+    R.resumed(spark, path, q.where("q < 2"), "q", {"k": 1}, run)
+    assert sorted(r[0] for r in R.resumed(spark, path, q, "q", {"k": 1}, run).select("answer").collect()) == [0, 2, 4, 6, 8, 10] and seen == [[0, 1], [2, 3, 4, 5]]
+    with pytest.raises(ValueError, match="k"):
+        R.resumed(spark, path, q, "q", {"k": 2}, run)
+    calls: list = []
+    stages = [("one", lambda t: (calls.append(1), q)[1]), ("two", lambda t: (calls.append(2), t["one"].where("q > 3"))[1])]
+    R.staged(spark, str(tmp_path / "s"), {"a": 1}, stages[:1])
+    assert R.staged(spark, str(tmp_path / "s"), {"a": 1}, stages)["two"].count() == 2 and calls == [1, 2]
+    with pytest.raises(ValueError, match="a"):
+        R.staged(spark, str(tmp_path / "s"), {"a": 2}, stages)
+    assert R.read_json(spark, str(tmp_path / "none")) is None
+    with pytest.raises(ValueError, match="rows"):
+        R.write_report(spark.range(R.SINGLE_ROWS + 1), str(tmp_path / "big.json"), single=True)
+
+
+def test_spreadsheets(spark, tmp_path):
+    import zipfile
+
+    cell = lambda at, v, kind="": f'<c r="{at}"{kind}>{v}</c>'
+    rows = [[cell("A1", "<v>0</v>", ' t="s"')], [cell("A2", "<v>1</v>", ' t="s"'), cell("B2", "<is><t>LIMIT</t></is>", ' t="inlineStr"'), cell("C2", "<is><t>EXTRA</t></is>", ' t="inlineStr"')], [cell("A3", "<v>7</v>"), cell("C3", "<v>1</v>")], [cell("A4", "<v>x</v>"), cell("B4", "<v>2.5</v>")]]
+    with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as book:
+        book.writestr("xl/sharedStrings.xml", '<sst xmlns="m"><si><t>banner</t></si><si><t>ID</t></si></sst>')
+        book.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="m"><sheetData>' + "".join(f"<row>{''.join(r)}</row>" for r in rows) + "</sheetData></worksheet>")
+    df = R.read_sheet(spark, str(tmp_path / "s.xlsx"), "ID int, LIMIT double, EXTRA int", drop=["EXTRA"])
+    assert sorted(map(tuple, df.collect()), key=str) == [(7, None), (None, 2.5)] and df.columns == ["ID", "LIMIT"]
+
+
+def test_ids_membership_and_keys(spark):
+    df = spark.createDataFrame([("a", "b"), (None, "b"), (None, None)], "x string, y string")
+    assert [r[0] for r in df.select(R.normalized_id(F.col("x"), F.col("y"), "")).collect()] == ["a", "b", ""]
+    with pytest.raises(Exception, match="neither"):
+        df.select(R.normalized_id(F.col("x"), F.col("y"))).collect()
+    assert R.membership(df, df.where("x = 'a'"), "x").first()[:] == (1, 2)
+    assert R.by_keys(spark.range(9), spark.range(5), "id", ["id"], 2).count() == 2
+
+
+def test_ingestion_writes_both_tables(spark, tmp_path):
+    from siltstone.operators import ingest as I
+
+    long = "The harbour was built in 1820 after a long dispute between two towns. " * 60
+    docs = spark.createDataFrame([(1, " T ", long, "u"), (2, "", long, None), (3, "S", "short", None), (4, None, None, None)], "doc_id bigint, title string, text string, url string")
+    for strategy in I.STRATEGIES:
+        documents, chunks = I.ingest(docs, str(tmp_path / "store"), strategy=strategy)
+        d = documents.first()
+        meta = json.loads(d["metadata"])
+        own = chunks.orderBy("chunk_index").collect()
+        assert documents.count() == 1 and d["title"] == "T" and meta["chunk_count"] == len(own) and meta["chunking_strategy"] == strategy
+        assert all(r["document_id"] == d["id"] and len(r["embedding"]) == 64 and r["token_count"] <= 256 for r in own) and [r["chunk_index"] for r in own] == list(range(len(own)))
+    assert I.preview(docs, "doc_id", "title", "text", chunks=2).count() == 2
+    with pytest.raises(ValueError, match="strategy"):
+        I.chunked(docs, "doc_id", "title", "text", "x")
+
+
+def test_stored_model_gives_the_same_scores(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3), float(i % 7 > 3)) for i in range(200)], "k int, x double, z double, y double")
+    scores = lambda store: {r["k"]: r["prob"] for r in M.logistic_scores(df, "k", ["x", "z"], "y", store=store).collect()}
+    assert scores(None) == scores(str(tmp_path / "model"))
+    assert M.sweep(df, "k", ["x", "z"], "y", [[4]], [0.0, 10.0], F.col("k") % 5 != 0).count() == 3
+
+
 def test_learning_helpers(spark):
     df = spark.createDataFrame([(i, float(i), 1.0, i % 4 == 0) for i in range(8)], "k int, x double, c double, y boolean")
     z = M.standardized(df, ["x", "c"]).agg(F.avg("x"), F.stddev_pop("x"), F.max("c")).first()
@@ -104,7 +215,9 @@ def test_streams_equal_batches(spark, tmp_path):
     chunks = spark.createDataFrame([("a", None, None, '{"title": "T"}', "c", t)], "id string, title string, section_path string, metadata string, content string, created_at timestamp")
     chunks.write.parquet(str(tmp_path / "chunks"))
     S.keep_search_fields(spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "chunks")), str(tmp_path / "fields"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "fields")).first()["search_text"] == "T\nc"
+    spark.createDataFrame([("a", "New", None, None, "d", t), ("b", None, None, None, "e", t)], chunks.schema).write.mode("append").parquet(str(tmp_path / "chunks"))
+    S.keep_search_fields(spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "chunks")), str(tmp_path / "fields"), str(tmp_path / "cp")).awaitTermination()
+    assert {r["id"]: r["search_text"] for r in S.current_fields(spark.read.parquet(str(tmp_path / "fields"))).collect()} == {"a": "New\nd", "b": "e"}
 
 
 def test_entry_works_without_the_subpackage(monkeypatch):

@@ -69,16 +69,26 @@ def test_section_chunks(spark):
     own = sorted((r for r in out if r["k"] == 1), key=lambda r: r["chunk_index"])
     assert {r["k"] for r in out} == {1, 2} and all(r["token_count"] <= 256 for r in out) and own[-1]["is_orphan_repaired"]
     assert [r["prev_chunk_id"] for r in own] == [None] + [r["chunk_id"] for r in own[:-1]]
+    assert own[0]["prev_context"] == "" and own[1]["prev_context"] == " ".join(own[0]["content"].split()[-18:]) and own[1]["embedding_text"].startswith("Title: T\n\nSection: T > Introduction\n\nPrevious context: Every")
+    assert own[1]["embedding_token_count"] == len(own[1]["embedding_text"].split()) and own[1]["source_token_count"] == own[1]["token_count"]
     words = " ".join(r["content"] for r in own).split()
     assert words == (long + "Short orphan").split()
 
 
+def test_text_builders(spark):
+    assert one(spark, lambda c: C.overlap_text(c, 2), "a b  c\nd ") == "  c\nd" and one(spark, C.overlap_text, "") == "" and one(spark, C.overlap_text, None) is None
+    build = lambda t, s, m, c: spark.createDataFrame([(t, s, m, c)], "t string, s string, m string, c string").select(T.hybrid_rerank_text(*map(F.col, "tsmc"))).first()[0]
+    assert build("", None, '{"article_title": "A", "section_title": "S"}', "x") == "Title: A\n\nSection: S\n\nContent:\nx" and build(None, None, None, None) == "Content:\n"
+    now = spark.range(1).select(T.iso_now()).first()[0]
+    assert len(now) == 32 and now.endswith("+00:00") and now[10] == "T"
+
+
 def test_links_and_distributed_ranks(spark):
     from siltstone.plans import ranks as K
 
     df = spark.createDataFrame([("d", i, f"c{i}") for i in (0, 1, 2, 5)], "document_id string, chunk_index int, chunk_id string")
     got = {r["chunk_id"]: (r["prev_chunk_id"], r["next_chunk_id"]) for r in C.linked(df, "document_id").collect()}
-    assert got == {"c0": (None, "c1"), "c1": ("c0", "c2"), "c2": ("c1", None), "c5": (None, None)}
+    assert got == {"c0": (None, "c1"), "c1": ("c0", "c2"), "c2": ("c1", "c5"), "c5": ("c2", None)}
     v = spark.createDataFrame([("k", i, float((i * 7) % 11)) for i in range(1, 41)], "k string, i int, v double")
     run = {r["i"]: (r["low"], r["high"], r["sum"]) for r in K.running(v, "k", "i", {"low": ("min", F.col("v"), False), "high": ("max", F.col("v"), True), "sum": ("sum", F.col("v"), True)}, 7).collect()}
     values = [float((i * 7) % 11) for i in range(1, 41)]
