@@ -2,9 +2,11 @@
 
 Of every text a few phrases are picked by content (the least hash in each run of windows), so that
 two texts with a common span of ``least`` characters pick a phrase in common. Phrases that recur in
-different texts are confirmed and compiled into automata, one for each shard of texts, with only the
-phrases met in that shard; each text with a recurring phrase streams once through its shard's
-automaton, which locates every occurrence. Occurrences of one phrase are then extended exactly.
+different texts are confirmed. All texts, spread over shards, then stream through the automaton of
+their shard, which locates every occurrence of every confirmed phrase. That automaton has all
+confirmed phrases that can occur in the shard, wherever they were picked: each window of a text
+names its least ``gram`` as an anchor, and a phrase goes to the shards that have its anchor.
+Occurrences of one phrase are then extended exactly.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from siltstone.llm.neardup import pairs_of
 from siltstone.plans.cut import written
 
 SHARD_TEXTS = 500
+#: Texts whose numbers (8 bytes each) are broadcast to find the confirmed phrases' wording; more are joined by a shuffle.
+HOLDERS = 1_000_000
 #: Occurrences of one phrase that are compared directly; more are paired by their equal windows.
 DIRECT = 256
 #: Texts with an equal window that are paired in one task; more are cut into parts, two of which make a task.
@@ -82,57 +86,88 @@ def picked(texts: list[str], width: int, run: int) -> tuple[np.ndarray, np.ndarr
     return text, at - (ends - sizes)[text], h[at]
 
 
-def phrases(docs: DataFrame, width: int, run: int) -> DataFrame:
-    """(t, h, pos) of the picked phrases of (t, text)."""
+def phrases(docs: DataFrame, width: int, run: int, shards: int) -> DataFrame:
+    """Of (t, text): (t, h, pos, anchor) for each picked phrase, and (shard, anchor) with a null ``h`` for the anchors of every text.
+
+    The anchor of a window of ``width`` characters is its least hash of ``width`` // 3 characters, of which 32 bits are kept:
+    phrases of equal anchor go the same way, which never loses any.
+    """
+    gram = max(1, width // 3)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             a = 0
             while a < len(texts):
                 b, size = a, 0
                 while b < len(texts) and (b == a or size + len(texts[b]) <= 150_000):
                     size += len(texts[b])
                     b += 1
-                text, at, h = picked(texts[a:b], width, run)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(text + a)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32))], names=["t", "h", "pos"])
+                own = texts[a:b]
+                text, at, h = picked(own, width, run)
+                sizes = np.array([len(x) for x in own])
+                ends = np.cumsum(sizes)
+                chars = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
+                if len(chars) >= width:
+                    least = _sliding(phrase_hashes(chars, gram), width - gram + 1, True)
+                    anchor = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    owner = np.searchsorted(ends, np.arange(len(anchor)), "right")
+                    whole = np.arange(len(anchor)) + width <= ends[owner]
+                    new = whole & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])])
+                    pairs = np.unique((keys[a:b] % shards)[owner[new]].astype(np.int64) << 32 | anchor[new].view(np.uint32).astype(np.int64))
+                    n = len(pairs)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs >> 32), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array((pairs & 0xFFFFFFFF).astype(np.uint32).view(np.int32))], names=["t", "h", "pos", "anchor"])
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][text]), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(anchor[(ends - sizes)[text] + at])], names=["t", "h", "pos", "anchor"])
                 a = b
 
-    return docs.select("t", "text").mapInArrow(make, "t bigint, h bigint, pos int")
+    return docs.select("t", "text").mapInArrow(make, "t bigint, h bigint, pos int, anchor int")
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (t, ..) without those whose t the task has had: copies of one text don't travel to one shard."""
+    seen: set[int] = set()
+    for batch in batches:
+        keep = []
+        for i, t in enumerate(batch.column(0).to_pylist()):
+            if t not in seen:
+                seen.add(t)
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int64()))
 
 
-def occurrences(texts: DataFrame, located: DataFrame, width: int, reach: int, shards: int) -> DataFrame:
-    """(p, t, pos, before, after): every occurrence of the recurring phrases in (t, text).
+def occurrences(texts: DataFrame, routed: DataFrame, width: int, reach: int) -> DataFrame:
+    """(p, t, pos, before, after): every occurrence in (shard, t, text) of the phrases (shard, phrase) sent to its shard.
 
-    ``located`` (t, h, pos) says where a recurring phrase was picked. before and after are up to
-    ``reach`` characters around the occurrence.
+    before and after are up to ``reach`` characters around the occurrence, which is left out where the
+    text has no span of width + ``reach`` characters around it.
     """
 
     def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         import ahocorasick
 
-        texts = dict(zip(left["t"].to_pylist(), left["text"].to_pylist(), strict=True))
         machine = ahocorasick.Automaton()
-        for t, pos in zip(right["t"].to_pylist(), right["pos"].to_pylist(), strict=True):
-            if t in texts:
-                phrase = texts[t][pos : pos + width]
-                machine.add_word(phrase, xxhash.xxh3_64_intdigest(phrase.encode("utf-8", "surrogatepass")))
+        for phrase in right["phrase"].to_pylist():
+            h = xxhash.xxh3_64_intdigest(phrase.encode("utf-8", "surrogatepass"))
+            machine.add_word(phrase, h - (1 << 64) if h >> 63 else h)
         rows: list[tuple] = []
-        if len(machine):
+        if len(machine) and left.num_rows:
             machine.make_automaton()
-            for t, text in texts.items():
+            done: set[int] = set()
+            for t, text in zip(left["t"].to_pylist(), left["text"].to_pylist(), strict=True):
+                if t in done:
+                    continue
+                done.add(t)
                 for end, p in machine.iter(text):
                     a = end - width + 1
-                    rows.append((p - (1 << 64) if p >> 63 else p, t, a, text[max(0, a - reach) : a], text[end + 1 : end + 1 + reach]))
+                    before, after = text[max(0, a - reach) : a], text[end + 1 : end + 1 + reach]
+                    if len(before) + len(after) >= reach:
+                        rows.append((p, t, a, before, after))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("p", "t", "pos", "before", "after"), cols, kinds, strict=True)})
 
-    shard = F.pmod(F.xxhash64("t"), F.lit(shards)).alias("shard")
-    left = texts.select(shard, "t", "text").groupBy("shard")
-    right = located.select(shard, "t", "h", "pos").groupBy("shard")
-    return left.cogroup(right).applyInArrow(locate, "p bigint, t bigint, pos int, before string, after string")
+    return texts.groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(locate, "p bigint, t bigint, pos int, before string, after string")
 
 
 def _common(a: str, b: str) -> int:
@@ -243,14 +278,18 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     if least < 3:
         raise ValueError("least must be 3 or more")
     width = least // 3
+    shards = max(1, math.ceil(docs.count() / SHARD_TEXTS))
     base = docs.where(F.length(text) >= least).select(F.col(key).alias("id"), F.xxhash64(text).alias("t"), F.length(text).alias("chars"), F.col(text).alias("text"))
-    found = written(phrases(base, width, least - width + 1), "phrases")
-    recurring = found.groupBy("h").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x != y").select("h")
-    located = written(found.join(recurring, "h").distinct(), "located")
-    holders = located.select("t").distinct()
-    count = holders.count()
-    texts = base.join(F.broadcast(holders) if count <= 200_000 else holders, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    occ = written(occurrences(texts, located, width, least - width, max(1, math.ceil(count / SHARD_TEXTS))), "occurrences")
+    found = written(phrases(base, width, least - width + 1, shards), "phrases")
+    met = found.where("h is not null").groupBy("h").agg(F.min("t").alias("x"), F.max("t").alias("y"), F.min(F.struct("t", "pos")).alias("at"), F.first("anchor").alias("anchor"))
+    confirmed = written(met.where("x != y").select("at.t", "at.pos", "anchor"), "confirmed")
+    holders = confirmed.select("t").distinct()
+    named = base.join(F.broadcast(holders) if holders.count() <= HOLDERS else holders, "t", "left_semi").select("t", "text").mapInArrow(_once, "t bigint, text string")
+    strings = named.join(confirmed, "t").select("anchor", F.substring("text", F.col("pos") + 1, F.lit(width)).alias("phrase"))
+    anchors = found.where("h is null").select(F.col("t").alias("shard"), "anchor")
+    routed = anchors.join(strings, "anchor").select("shard", "phrase").distinct()
+    texts = base.select("t", "text").mapInArrow(_once, "t bigint, text string").select(F.pmod("t", F.lit(shards)).alias("shard"), "t", "text")
+    occ = written(occurrences(texts, routed, width, least - width), "occurrences")
     return base.select("id", F.col("t").alias("s"), "chars"), extended(occ, width, least)
 
 

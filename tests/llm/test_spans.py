@@ -35,10 +35,7 @@ def test_pairs_and_shares_equal_brute_force(spark, monkeypatch, seed, direct):
     members, spans = S.shared_spans(df)
     true, where = brute(rows)
     got = {tuple(r) for r in S.span_pairs(members, spans).collect()}
-    if direct == 64:
-        assert got == true
-    else:  # stars: the same documents, connected the same way
-        assert got <= true and {x for p in got for x in p} == {x for p in true for x in p}
+    assert got == true
     texts = {i: t for i, t, _ in rows}
     expect = {}
     for window, own in where.items():
@@ -71,6 +68,31 @@ def test_a_frequent_span_gives_every_pair(spark, monkeypatch):
     assert {r["texts"] for r in S.shares(members, spans).collect()} == {len(docs) - 1}
 
 
+def test_every_occurrence_of_a_confirmed_phrase_is_located(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_TEXTS", 3)
+    rnd = random.Random(8)
+    make = lambda n: "".join(rnd.choice("abcde é\n") for _ in range(n))
+    shared = make(400)
+    docs = [make(300) + shared + make(300) for _ in range(4)]
+    # These texts have only a part of the span: too little to pick its phrases, enough to hold some.
+    docs += [make(290) + shared[i : i + 150] + make(290) for i in range(0, 250, 25)] + [make(700) for _ in range(10)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "t bigint, text string")
+    located = []
+    original = S.occurrences
+
+    def spy(texts, routed, width, reach):
+        located.append((original(texts, routed, width, reach), routed.select("phrase").distinct(), texts))
+        return located[0][0]
+
+    monkeypatch.setattr(S, "occurrences", spy)
+    S.shared_spans(df, "t", "text")
+    occ, strings, texts = located[0]
+    text = {r["t"]: r["text"] for r in texts.collect()}
+    phrases = [r[0] for r in strings.collect()]
+    want = {(t, p) for t, x in text.items() for ph in phrases for p in range(len(x)) if x.startswith(ph, p)}
+    assert len(text) == len(docs) and {(r["t"], r["pos"]) for r in occ.collect()} == want and len({t for t, _ in want}) > 6
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert S.span_pairs(*S.shared_spans(df)).count() == 0
