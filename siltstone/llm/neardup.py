@@ -2,8 +2,9 @@
 
 All words get one global order, rare words first. It is cut into fragments of about equal weight.
 Two sets with a Jaccard similarity of t or more share a word in the rarest (1 - t) of each, so
-candidates come from an equi-join on those words; the overlap is then counted fragment by fragment
-and summed per pair. Nothing is approximate.
+candidates come from an equi-join on those words; what is left of them is sent to each fragment,
+which holds its part of every set and counts the partial overlaps apart from the others, and the
+partial overlaps are summed per pair. Nothing is approximate.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ PARITY = [f"b{k}" for k in range(MAPS)] + [f"c{k}" for k in range(SKETCH)]
 #: Rows of one word that are compared in one task; the list of a more frequent word is cut into
 #: cells, each pair of which is a task of its own.
 HOT = 20_000
+#: Sets in pairs that are left, whose numbers (8 bytes each) are broadcast to leave the other sets' words out; more are joined by a shuffle.
+WANTED = 1_000_000
 RARE = 1 << 62  # ranked words are numbered from here, all others are below by their hash
 #: Ids of one class that are paired in one task; a larger class is cut into parts, two of which make a task.
 PART = 1000
@@ -204,16 +207,19 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     columns = ["n", *(f"f{k}" for k in range(FRAGMENTS)), *PARITY]
     reps = written(sets.groupBy("s").agg(F.first(F.struct(*columns)).alias("r")).select("s", "r.*"), "sets")
     met = candidates(reps, t)
-    side = lambda c: reps.select(F.col("s").alias(c), F.col("n").alias(f"{c}n"), *[F.col(f"f{k}").alias(f"{c}{k}") for k in range(FRAGMENTS)])
     # Most pairs fall to the finer parity, before any word list moves.
     sketch = lambda c: reps.select(F.col("s").alias(c), F.col("n").alias(f"{c}n"), *[F.col(f"c{k}").alias(f"{c}c{k}") for k in range(SKETCH)])
     apart = sum((F.bit_count(F.col(f"ac{k}").bitwiseXOR(F.col(f"bc{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("ac0").bitwiseXOR(F.col("bc0"))))
     need = F.ceil(F.round((F.col("an") + F.col("bn")) * (t / (1 + t)), 6))
-    near = met.join(sketch("a"), "a").join(sketch("b"), "b").where(apart <= F.col("an") + F.col("bn") - 2 * need).select("a", "b")
-    pairs = near.join(side("a"), "a").join(side("b"), "b")
-    partial = [F.size(F.array_intersect(f"a{k}", f"b{k}")) for k in range(FRAGMENTS)]
-    overlap = sum(partial[1:], partial[0])
-    pairs = pairs.select("a", "b", "an", "bn", overlap.alias("overlap"))
+    near = written(met.join(sketch("a"), "a").join(sketch("b"), "b").where(apart <= F.col("an") + F.col("bn") - 2 * need).select("a", "b", "an", "bn"), "near")
+    wanted = near.select(F.col("a").alias("s")).union(near.select(F.col("b").alias("s"))).distinct()
+    held = reps.join(F.broadcast(wanted) if wanted.count() <= WANTED else wanted, "s", "left_semi")
+    # Vertical partitions: (fragment, set) is the key, so each fragment's overlaps are counted apart.
+    parts = held.select("s", F.posexplode(F.array(*[f"f{k}" for k in range(FRAGMENTS)])).alias("k", "words")).where(F.size("words") > 0)
+    pieces = near.select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("k"))
+    pieces = pieces.join(parts.select(F.col("s").alias("a"), "k", F.col("words").alias("u")), ["a", "k"]).join(parts.select(F.col("s").alias("b"), "k", F.col("words").alias("v")), ["b", "k"])
+    partial = pieces.select("a", "b", "an", "bn", F.size(F.array_intersect("u", "v")).alias("o"))
+    pairs = partial.groupBy("a", "b", "an", "bn").agg(F.sum("o").cast("int").alias("overlap"))
     return pairs.select("a", "b", "overlap", (F.col("overlap") / (F.col("an") + F.col("bn") - F.col("overlap"))).alias("jaccard")).where(F.col("jaccard") >= F.lit(t - 1e-12))
 
 

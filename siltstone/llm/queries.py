@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import leakage, neardup, packing, quality, ranking, spans, splitting, truncation, vectors
+from siltstone.operators import vectors as exact_search
 from siltstone.sources.tables import table
 
 SCORES = {"similarity": True, "rerank_score": True, "original_rank": False}
@@ -30,6 +31,19 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(table(spark, d, "document_chunks", "id", "embedding"))
 
 
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the five nearest for the ids whose MD5 is divisible by 50, against exact search over all rows."""
+    rows = table(spark, d, "document_chunks", "id", "embedding").dropDuplicates(["id"])
+    stated = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint") % 50 == 0
+    asked = rows.where(stated).withColumnRenamed("id", "query_id")
+    exact = exact_search.topk(rows, "id", asked, "query_id", 6).where("id != query_id")
+    last = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
+    exact = exact.withColumn("place", F.row_number().over(last)).where("place <= 5").select("query_id", "id")
+    found = vectors.nearest(rows).select(F.col("id").alias("query_id"), F.col("near_id").alias("id"), F.lit(1).alias("met"))
+    share = F.count("met") / F.count(F.lit(1))
+    return exact.join(found, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("pairs"), (share >= 0.9).alias("enough"))
+
+
 def _truncated(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "document_chunks", "id", "document_id", "chunk_index", "content"))
 
@@ -103,7 +117,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(*spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_neighbours, p3_found, p3_evidence, p3_rates, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_neighbours, p2_recall, p3_found, p3_evidence, p3_rates, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_shares)}
 
 TOKENS = r"regexp_extract_all({}, '[^ \t\n\r\x0B\f]+')"
 
@@ -114,6 +128,8 @@ SQL = {
        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
      n AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS m FROM u), r AS (SELECT a.id AS i, b.id AS j, list_inner_product(a.e, b.e) / (a.m * b.m) AS c FROM n a, n b WHERE a.id <> b.id),
      t AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY round(c, 6) DESC, j) AS k FROM r WHERE c >= 0.9) SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM t WHERE k <= 5""",
+    "p2_recall": """SELECT count(*) AS queries, 5 * count(*) AS pairs, true AS enough FROM (SELECT DISTINCT id FROM document_chunks WHERE embedding IS NOT NULL AND len(embedding) = 64
+       AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND ('0x' || substr(md5(id), 1, 8))::BIGINT % 50 = 0)""",
     "p4_found": f"SELECT DISTINCT id FROM document_chunks WHERE len({TOKENS.format('content')}) > 256",
     "p5_found": """WITH c AS (SELECT run, query_id, chunk_id, coalesce(max(similarity), '-inf'::DOUBLE) AS s, coalesce(max(rerank_score), '-inf'::DOUBLE) AS r, min(original_rank) AS o FROM reranked_results GROUP BY 1, 2, 3)
      SELECT x.run, x.query_id, x.chunk_id FROM c x JOIN c y ON x.run = y.run AND x.query_id = y.query_id GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE (y.s > x.s)::INT + (y.r > x.r)::INT + (y.o < x.o)::INT >= 2) < 3""",

@@ -4,7 +4,10 @@ The trees are fitted on a bounded sample; every vector is put into one leaf of e
 vector is also a query: one priority queue over all trees, ordered by the least margin on the way,
 names the leaves it visits, and all members of these leaves are compared exactly (float32 dot
 products of unit vectors). Eight neighbouring leaves form a cell; a vector is sent once to each
-cell that it belongs to or visits.
+cell that it belongs to or visits. Splits are medians, so leaves have about equal numbers of rows
+however the vectors lie together. The trees that all tasks know are bounded; where there are more
+rows than their leaves can hold, a leaf is split again on its own members by the task that has it,
+and a cell is cut into parts of members and of searching rows, every two of which meet in one task.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from siltstone.plans.cut import written
 CELL = 8  # leaves of a cell
 LEAF_ROWS = 2300  # aimed at
 FIT_ROWS = 40_000  # at most so many rows fit the trees
+PART_ROWS = 400_000  # members, and searching rows, of a cell that one task compares
+VISITS, DEEPER = 10, 1.6  # leaves visited in trees of depth 7, and for each level more so many times as many
 
 
 class Forest:
@@ -119,51 +124,98 @@ def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def top_of_cell(x: np.ndarray, leaf: np.ndarray, visits: np.ndarray, k: int, least: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def visits_of(depth: int) -> int:
+    """Leaves to visit: deeper trees have smaller leaves of the same space, so more of them are visited."""
+    return max(VISITS, round(VISITS * DEEPER ** (depth - 7)))
+
+
+def _fields(x: np.ndarray, members: np.ndarray, queries: np.ndarray, leaf_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(members, queries) to compare: all of them, or for a leaf of more than twice ``leaf_rows`` those of the leaves of a forest of its own."""
+    depth = round(math.log2(len(members) / leaf_rows)) if len(members) > 2 * leaf_rows else 0
+    if not depth:
+        yield members, queries
+        return
+    step = max(1, len(members) // (64 << depth))
+    forest = Forest(x[members[::step]], 3, depth, min(3 << depth, max(8, visits_of(depth + 4))), 13)
+    for a in range(0, len(queries), 65_536):
+        q = queries[a : a + 65_536]
+        leaves, _ = forest.search(x[q])
+        order = np.argsort(leaves, axis=None, kind="stable")
+        number, who = leaves.ravel()[order], q[order // leaves.shape[1]]
+        if not a:
+            home, own = forest.search(x[members])
+            home = np.where(own, home, -1)
+            at, row = home.ravel(), np.repeat(np.arange(len(members)), home.shape[1])
+            row = row[at >= 0]
+            at = at[at >= 0]
+            by = np.argsort(at, kind="stable")
+            at, row = at[by], members[row[by]]
+        for n in np.unique(number):
+            i, j = np.searchsorted(number, [n, n + 1])
+            u, v = np.searchsorted(at, [n, n + 1])
+            yield row[u:v], who[i:j]
+
+
+def top_of_cell(x: np.ndarray, leaf: np.ndarray, visits: np.ndarray, k: int, least: float, block: int = 1024, leaf_rows: int = LEAF_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, neighbour, cosine) with the best ``k`` of every row over the leaves it visits here."""
     n = len(x)
     bound = np.full(n, least, np.float32)
-    rows, others, sims = [], [], []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best k of each row, every neighbour once."""
+        row, other, sim = (np.concatenate([f[c] for f in found]) for c in range(3))
+        fit = sim >= bound[row]
+        row, other, sim = row[fit], other[fit], sim[fit]
+        order = np.lexsort((-sim, other, row))
+        row, other, sim = row[order], other[order], sim[order]
+        new = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(other) != 0)]) if len(row) else np.zeros(0, bool)
+        row, other, sim = row[new], other[new], sim[new]
+        order = np.lexsort((other, -sim, row))
+        row, other, sim = row[order], other[order], sim[order]
+        first = np.concatenate([[0], np.nonzero(np.diff(row))[0] + 1]) if len(row) else np.zeros(0, np.int64)
+        rank = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate([first, [len(row)]])))
+        found[:] = [(row[rank < k], other[rank < k], sim[rank < k])]
+        return found[0]
+
+    place = np.full(n, -1, np.int64)
     for number in range(CELL):
-        members = np.nonzero(leaf == number)[0]
-        queries = np.nonzero(visits >> number & 1)[0]
-        if not len(members) or not len(queries):
+        own_members, own_queries = np.nonzero(leaf == number)[0], np.nonzero(visits >> number & 1)[0]
+        if not len(own_members) or not len(own_queries):
             continue
-        place = np.full(n, -1, np.int64)
-        place[members] = np.arange(len(members))
-        for a in range(0, len(queries), block):
-            q = queries[a : a + block]
-            for b in range(0, len(members), 8192):
-                m = members[b : b + 8192]
-                s = x[q] @ x[m].T
-                own = place[q] - b
-                inside = (own >= 0) & (own < len(m))
-                s[np.nonzero(inside)[0], own[inside]] = -3
-                parts = 4 * k
-                if len(m) >= 4 * parts:
-                    # The k-th largest of the maxima of disjoint parts is at most the k-th largest of all.
-                    width = len(m) // parts
-                    tops = s[:, : parts * width].reshape(len(q), parts, width).max(2)
-                    bound[q] = np.maximum(bound[q], np.partition(tops, parts - k, axis=1)[:, parts - k])
-                i, j = np.nonzero(s >= bound[q][:, None])
-                hit = s[i, j]
-                real = hit > -2
-                rows.append(q[i[real]])
-                others.append(m[j[real]])
-                sims.append(hit[real])
-    if not rows:
+        for members, queries in _fields(x, own_members, own_queries, leaf_rows):
+            if not len(members):
+                continue
+            place[members] = np.arange(len(members))
+            for a in range(0, len(queries), block):
+                q = queries[a : a + block]
+                for b in range(0, len(members), 8192):
+                    m = members[b : b + 8192]
+                    s = x[q] @ x[m].T
+                    own = place[q] - b
+                    inside = (own >= 0) & (own < len(m))
+                    s[np.nonzero(inside)[0], own[inside]] = -3
+                    parts = 4 * k
+                    if len(m) >= 4 * parts:
+                        # The k-th largest of the maxima of disjoint parts is at most the k-th largest of all.
+                        width = len(m) // parts
+                        tops = s[:, : parts * width].reshape(len(q), parts, width).max(2)
+                        bound[q] = np.maximum(bound[q], np.partition(tops, parts - k, axis=1)[:, parts - k])
+                    i, j = np.nonzero(s >= bound[q][:, None])
+                    hit = s[i, j]
+                    real = hit > -2
+                    found.append((q[i[real]], m[j[real]], hit[real]))
+                    held += len(i)
+                    if held > 4_000_000:
+                        held = len(best()[0])
+            place[members] = -1
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    row, other, sim = np.concatenate(rows), np.concatenate(others), np.concatenate(sims)
-    fit = sim >= bound[row]
-    row, other, sim = row[fit], other[fit], sim[fit]
-    order = np.lexsort((other, -sim, row))
-    row, other, sim = row[order], other[order], sim[order]
-    first = np.concatenate([[0], np.nonzero(np.diff(row))[0] + 1]) if len(row) else np.zeros(0, np.int64)
-    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate([first, [len(row)]])))
-    return row[rank < k], other[rank < k], sim[rank < k]
+    return best()
 
 
-def class_neighbours(rows: DataFrame, dims: int, k: int, least: float, trees: int, visits: int | None, leaf_rows: int, fit_rows: int, seed: int) -> DataFrame:
+def class_neighbours(rows: DataFrame, dims: int, k: int, least: float, trees: int, visits: int | None, leaf_rows: int, fit_rows: int, part_rows: int, seed: int) -> DataFrame:
     """(v, near): for each distinct vector, up to ``k`` nearest other distinct vectors (cosine, v), best first.
 
     ``rows`` has v (a hash of the vector) and e (the vector), repeats allowed.
@@ -175,10 +227,10 @@ def class_neighbours(rows: DataFrame, dims: int, k: int, least: float, trees: in
     sample = rows.where(part).dropDuplicates(["v"]).limit(fit_rows).select("v", "e").toArrow().sort_by("v")
     fitted = _matrix(sample["e"].combine_chunks(), dims) if sample.num_rows else np.zeros((0, dims), np.float32)
     depth = max(0, min(round(math.log2(total / leaf_rows)), int(math.log2(max(len(fitted), 32) / 32))))
-    # Deeper trees have smaller leaves of the same space: more of them are visited.
-    number = visits or max(10, round(10 * 1.6 ** (depth - 7)))
-    forest = spark.sparkContext.broadcast(Forest(fitted, trees, depth, min(number, trees << depth), seed))
+    forest = spark.sparkContext.broadcast(Forest(fitted, trees, depth, min(visits or visits_of(depth), trees << depth), seed))
     below = min(depth, int(math.log2(CELL)))
+    # Rows of a cell from the number of all rows: leaves are halved at medians and hardly differ.
+    grid = max(1, math.ceil((total << below) / (1 << depth) / part_rows))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: Forest = forest.value
@@ -195,15 +247,22 @@ def class_neighbours(rows: DataFrame, dims: int, k: int, least: float, trees: in
             new = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(cell) != 0)])
             at = np.nonzero(new)[0]
             home = np.maximum.reduceat(np.where(mine, leaf & ((1 << below) - 1), -1), at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell[at], pa.int64()), batch.column(0).take(pa.array(row[at])), _binary(x[row[at]]), pa.array(home.astype(np.int16)), pa.array(np.bitwise_or.reduceat(bit, at).astype(np.int16))],
-                names=["cell", "v", "x", "leaf", "visits"],
-            )
+            cell, row, asks = cell[at], row[at], np.bitwise_or.reduceat(bit, at)
+            part = batch.column(0).to_numpy()[row].view(np.uint64) % np.uint64(grid)
+            for p in range(grid):
+                for q in range(grid):
+                    # A row is a member in the parts of its line, and searches in those of its column.
+                    in_, out = np.where(part == p, home, -1), np.where(part == q, asks, 0)
+                    use = np.nonzero((in_ >= 0) | (out > 0))[0]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((cell[use] * grid + p) * grid + q, pa.int64()), batch.column(0).take(pa.array(row[use])), _binary(x[row[use]]), pa.array(in_[use].astype(np.int16)), pa.array(out[use].astype(np.int16))],
+                        names=["cell", "v", "x", "leaf", "visits"],
+                    )
 
     def compare(group: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(group["x"].to_pylist()), np.float32).reshape(-1, dims)
         v = group["v"].to_numpy()
-        row, other, sim = top_of_cell(x, group["leaf"].to_numpy(), group["visits"].to_numpy().astype(np.int64), k, least)
+        row, other, sim = top_of_cell(x, group["leaf"].to_numpy(), group["visits"].to_numpy().astype(np.int64), k, least, leaf_rows=leaf_rows)
         rows, counts = np.unique(row, return_counts=True)
         near = pa.StructArray.from_arrays([pa.array(-sim.astype(np.float64)), pa.array(v[other])], names=["d", "w"])
         return pa.table({"v": v[rows], "near": _lists(counts, near)})
@@ -220,7 +279,7 @@ def class_neighbours(rows: DataFrame, dims: int, k: int, least: float, trees: in
     return merged.select("v", seen.alias("near"))
 
 
-def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, least: float = -1.0, trees: int = 3, visits: int | None = None, leaf_rows: int = LEAF_ROWS, fit_rows: int = FIT_ROWS, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, least: float = -1.0, trees: int = 3, visits: int | None = None, leaf_rows: int = LEAF_ROWS, fit_rows: int = FIT_ROWS, part_rows: int = PART_ROWS, seed: int = 7) -> DataFrame:
     """For every id with a usable vector, the ids of the ``k`` most similar vectors by cosine.
 
     ``vectors`` has id and embedding. Columns: id, near_id, cosine, position (from 1). Ties go by
@@ -232,7 +291,7 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, least: float = -1.0,
     An empty table gives no rows. Only the fit of the trees uses a sample (``fit_rows``).
     """
     ids = vectors.select("id", F.xxhash64("embedding").alias("v"), F.col("embedding").alias("e")).where(F.col("id").isNotNull() & usable(F.col("embedding"), dims))
-    near = written(class_neighbours(ids.select("v", "e"), dims, k, least, trees, visits, leaf_rows, fit_rows, seed), "near")
+    near = written(class_neighbours(ids.select("v", "e"), dims, k, least, trees, visits, leaf_rows, fit_rows, part_rows, seed), "near")
     members = ids.select("id", "v").distinct()
     ranked = members.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)
     heads = ranked.groupBy("v").agg(F.collect_list("id").alias("ids"))  # at most k + 1 each

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from siltstone.llm import vectors as V
 
@@ -28,6 +29,35 @@ def test_recall_of_many_leaves(spark):
     assert np.mean([len(got[i] & set(near[i].tolist())) / 5 for i in range(4000)]) >= 0.9
 
 
+def clustered(n, seed=1):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((60, 64))
+    return (centres[rng.integers(0, 60, n)] + 0.8 * rng.standard_normal((n, 64))).astype(np.float32)
+
+
+def recall(rows, x):
+    near, _ = brute(x.astype(np.float64), 5)
+    got: dict = {}
+    for r in rows:
+        got.setdefault(int(r["id"][1:]), []).append(int(r["near_id"][1:]))
+    assert all(len(v) == len(set(v)) == 5 for v in got.values()) and len(got) == len(x)
+    return np.mean([len(set(got[i]) & set(near[i].tolist())) / 5 for i in range(len(x))])
+
+
+@pytest.mark.parametrize("depth", [8, 10])
+def test_recall_of_deep_trees(spark, depth):
+    x = clustered(6 << depth)
+    assert recall(V.nearest(frame(spark, x), leaf_rows=6, fit_rows=32 << depth).collect(), x) >= 0.9
+
+
+def test_leaves_beyond_the_fit_are_split_again_and_cells_cut(spark):
+    x = clustered(6000, 2)
+    whole = V.nearest(frame(spark, x), leaf_rows=100, fit_rows=300).collect()  # depth 3, leaves of 750
+    assert recall(whole, x) >= 0.9
+    parts = V.nearest(frame(spark, x), leaf_rows=100, fit_rows=300, part_rows=2500).collect()
+    assert recall(parts, x) >= 0.9
+
+
 def test_one_leaf_is_exact_and_copies_take_smallest_ids(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((50, 64)).astype(np.float32)
