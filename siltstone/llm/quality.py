@@ -77,6 +77,8 @@ class Mixture:
 
     def __init__(self, centre: np.ndarray, scale: np.ndarray, means: np.ndarray, variances: np.ndarray, weights: np.ndarray):
         self.centre, self.scale, self.means, self.variances, self.weights = centre, scale, means, variances, weights
+        self.likelihoods: list[float] = []  # of each round, per row
+        self.converged = False
 
     def densities(self, x: np.ndarray) -> np.ndarray:
         """Log of weight times density, rows by components, of raw statistics."""
@@ -102,7 +104,8 @@ def fit(stats: DataFrame, rounds: int = 15, tolerance: float = 1e-3, least_token
 
     Each round is one pass that sums sufficient statistics per component in every task and then in
     one small aggregation; only components x statistics numbers reach the driver. It starts from one
-    component per kind of the inspected examples and is deterministic.
+    component per kind of the inspected examples and is deterministic. The model tells the likelihood of
+    each round and whether the gain fell below ``tolerance`` before the last.
     """
     rows = stats.where(F.col("tokens") >= least_tokens)
     first = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in STATS], *[F.stddev_pop(c).alias(f"s_{c}") for c in STATS]).first()
@@ -113,7 +116,7 @@ def fit(stats: DataFrame, rounds: int = 15, tolerance: float = 1e-3, least_token
     start = Mixture(centre, scale, np.zeros((0, len(STATS))), np.zeros(0), np.zeros(0)).standard(known)
     means = np.array([start[[k == kind for _, k, _ in EXAMPLES]].mean(0) for kind in kinds])
     model = Mixture(centre, scale, means, np.full(means.shape, 0.3), np.full(len(kinds), 1 / len(kinds)))
-    anchor, spark, last = model, stats.sparkSession, None
+    anchor, spark, likelihoods, converged = model, stats.sparkSession, [], False
     names = ["w", *(f"a{j}" for j in range(len(STATS))), *(f"q{j}" for j in range(len(STATS)))]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -146,9 +149,11 @@ def fit(stats: DataFrame, rounds: int = 15, tolerance: float = 1e-3, least_token
         squares = (q + tau * (anchor.variances + anchor.means**2)) / own
         model = Mixture(centre, scale, means, np.clip(squares - means**2, _FLOOR, _CEILING), (w + tau) / (w.sum() + tau * len(w)))
         like = sum(r["like"] for r in sums) / w.sum()
-        if last is not None and like - last < tolerance:
+        likelihoods.append(float(like))
+        if len(likelihoods) > 1 and like - likelihoods[-2] < tolerance:
+            converged = True
             break
-        last = like
+    model.likelihoods, model.converged = likelihoods, converged
     return model
 
 

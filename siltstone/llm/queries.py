@@ -96,6 +96,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def p7_bpe_containers(spark: SparkSession, d: str, vocabulary: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """The same in tokens of a public byte-level vocabulary, a file that every executor can read."""
+    return packing.pack(packing.sizes_of(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", vocabulary), "doc_id")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     items = [(r[0], r[1]) for r in table(spark, d, "eval_items", "item_id", "passage").collect()]  # a fixed table of 150 rows
     return leakage.find_leaks(table(spark, d, "documents", "doc_id", "text"), items)
@@ -117,7 +122,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(*spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_neighbours, p2_recall, p3_found, p3_evidence, p3_rates, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_neighbours, p2_recall, p3_found, p3_evidence, p3_rates, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p7_bpe_containers, p8_found, p8_items, p9_found, p9_shares)}
 
 TOKENS = r"regexp_extract_all({}, '[^ \t\n\r\x0B\f]+')"
 
@@ -133,12 +138,24 @@ SQL = {
     "p4_found": f"SELECT DISTINCT id FROM document_chunks WHERE len({TOKENS.format('content')}) > 256",
     "p5_found": """WITH c AS (SELECT run, query_id, chunk_id, coalesce(max(similarity), '-inf'::DOUBLE) AS s, coalesce(max(rerank_score), '-inf'::DOUBLE) AS r, min(original_rank) AS o FROM reranked_results GROUP BY 1, 2, 3)
      SELECT x.run, x.query_id, x.chunk_id FROM c x JOIN c y ON x.run = y.run AND x.query_id = y.query_id GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE (y.s > x.s)::INT + (y.r > x.r)::INT + (y.o < x.o)::INT >= 2) < 3""",
+    "p5_ranking": """WITH c AS (SELECT run, query_id, chunk_id, max(similarity) AS s, max(rerank_score) AS r, min(original_rank) AS o, count(*) OVER (PARTITION BY run, query_id) AS n FROM reranked_results GROUP BY 1, 2, 3),
+     k AS (SELECT *, """ + ", ".join(f"CASE WHEN {c} IS NULL THEN (n + 1) / 2 ELSE rank() OVER (PARTITION BY run, query_id ORDER BY {c} {d} NULLS LAST) + (count(*) OVER (PARTITION BY run, query_id, {c}) - 1) / 2 END AS k{c}" for c, d in (("s", "DESC"), ("r", "DESC"), ("o", "ASC"))) + """ FROM c),
+     h AS (SELECT x.run, x.query_id, x.chunk_id, count(*) FILTER (WHERE (coalesce(y.s, '-inf'::DOUBLE) > coalesce(x.s, '-inf'::DOUBLE))::INT + (coalesce(y.r, '-inf'::DOUBLE) > coalesce(x.r, '-inf'::DOUBLE))::INT + (coalesce(y.o, 1e18) < coalesce(x.o, 1e18))::INT >= 2) < 3 AS in_head FROM c x JOIN c y ON x.run = y.run AND x.query_id = y.query_id GROUP BY 1, 2, 3)
+     SELECT run, query_id, chunk_id, 3 * n - ks - kr - ko AS points, in_head, row_number() OVER (PARTITION BY run, query_id ORDER BY in_head DESC, 3 * n - ks - kr - ko DESC, chunk_id) AS position FROM k JOIN h USING (run, query_id, chunk_id)""",
+    "p6_groups": f"""WITH RECURSIVE v AS (SELECT id, list_sort(list_distinct({WORDS.format('any_value(content)')})) AS s FROM document_chunks GROUP BY id), m AS (SELECT id, md5(array_to_string(s, ' ')) AS k, s FROM v WHERE len(s) >= 40),
+     c AS (SELECT k, min(id) AS class, count(*) AS copies, any_value(s) AS s FROM m GROUP BY 1), w AS (SELECT class, len(s) AS n, unnest(s) AS t FROM c), p AS (SELECT a.class AS a, b.class AS b, count(*) AS o, any_value(a.n) AS x, any_value(b.n) AS y FROM w a JOIN w b ON a.t = b.t AND a.class <> b.class GROUP BY 1, 2),
+     e AS MATERIALIZED (SELECT a, b FROM p WHERE o >= 0.7 * (x + y - o)), r AS (SELECT class AS a, class AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), g AS (SELECT a, min(b) AS grp FROM r GROUP BY 1), d AS (SELECT a, count(*) AS links FROM e GROUP BY 1)
+     SELECT m.id, c.class, g.grp AS "group", c.copies, coalesce(d.links, 0) AS links FROM m JOIN c USING (k) JOIN g ON g.a = c.class LEFT JOIN d ON d.a = c.class""",
     "p6_found": f"""WITH w AS (SELECT id, unnest(list_distinct({WORDS.format('any_value(content)')})) AS t FROM document_chunks GROUP BY id), n AS (SELECT id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 40), k AS (SELECT w.* FROM w SEMI JOIN n USING (id)),
      p AS (SELECT a.id AS i, b.id AS j, count(*) AS o FROM k a JOIN k b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2) SELECT i AS id_a, j AS id_b FROM p JOIN n x ON x.id = i JOIN n y ON y.id = j WHERE o >= 0.7 * (x.n + y.n - o)""",
     "p7_found": f"SELECT doc_id FROM documents WHERE len({TOKENS.format('text')}) > 1024",
     "p8_found": f"""WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), e AS (SELECT item_id, {WORDS.format('passage')} AS w FROM eval_items),
      dg AS (SELECT doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 11)) AS p FROM d)), eg AS (SELECT item_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 11)) AS p FROM e))
      SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+    "p9_shares": """WITH s AS (SELECT doc_id, md5(text) AS t, length(text) AS n, p, md5(substr(text, p, 300)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 299)) AS p FROM documents WHERE length(text) >= 300)),
+     r AS (SELECT h FROM s GROUP BY 1 HAVING count(DISTINCT t) > 1), k AS (SELECT s.* FROM s SEMI JOIN r USING (h)), cov AS (SELECT t, sum(step)::BIGINT AS covered FROM (SELECT t, least(300, coalesce(lead(p) OVER (PARTITION BY t ORDER BY p) - p, 300)) AS step FROM (SELECT DISTINCT t, p FROM k)) GROUP BY 1),
+     l AS (SELECT a.t, count(DISTINCT b.t) AS texts FROM (SELECT DISTINCT t, h FROM k) a JOIN (SELECT DISTINCT t, h FROM k) b ON a.h = b.h AND a.t <> b.t GROUP BY 1), c AS (SELECT md5(text) AS t, count(*) AS copies FROM documents WHERE length(text) >= 300 GROUP BY 1)
+     SELECT doc_id, copies, coalesce(texts, 0) AS texts, length(text) AS chars, CASE WHEN copies > 1 THEN length(text) ELSE covered END AS shared_chars, round(CASE WHEN copies > 1 THEN length(text) ELSE covered END / length(text), 6) AS share FROM documents d JOIN c ON c.t = md5(d.text) LEFT JOIN cov ON cov.t = c.t LEFT JOIN l ON l.t = c.t WHERE copies > 1 OR covered IS NOT NULL""",
     "p9_found": """WITH s AS (SELECT DISTINCT doc_id, md5(substr(text, p, 300)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 299)) AS p FROM documents WHERE length(text) >= 300)),
      r AS (SELECT h FROM s GROUP BY 1 HAVING count(*) > 1), k AS (SELECT s.* FROM s SEMI JOIN r USING (h)) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id""",
 }

@@ -55,9 +55,20 @@ def char_classes(texts: list[str]) -> np.ndarray:
     return out
 
 
+_FLAGS: dict[str, bool] = {}
+
+
 def sentence_flags(parts: list[str]) -> list[bool]:
-    """For each white-space separated part, whether it is a word of running sentences."""
-    return [p.strip(STRIP).lower() in SENTENCE_WORDS for p in parts]
+    """For each white-space separated part, whether it is a word of running sentences. Parts met before are looked up."""
+    if len(_FLAGS) > 500_000:
+        _FLAGS.clear()
+    out = []
+    for p in parts:
+        flag = _FLAGS.get(p)
+        if flag is None:
+            flag = _FLAGS[p] = p.strip(STRIP).lower() in SENTENCE_WORDS
+        out.append(flag)
+    return out
 
 
 def running_share(flags: list[bool]) -> float:

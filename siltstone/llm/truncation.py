@@ -1,9 +1,11 @@
 """Texts cut off on their way into the store: prefix self-join, then the way a text ends.
 
-A text that is a strict prefix of a longer text shows where it was cut. Sorting all texts by value
-finds these: the distinct value after a text in this order starts with it if any value does. Most
-cut texts have no longer copy, so the end of each text is read as well: an unfinished sentence,
-item or row, a mark of shortening, or a last word that is only the beginning of known words.
+A text that is a strict prefix of a longer text shows where it was cut. Hashes of the first ``LEAD``
+characters leave only texts that begin like another one, and sorting these by value finds the longer
+copies: the distinct value after a text in this order starts with it if any value does. Shorter texts
+are met by the hashes of their beginnings. Most cut texts have no longer copy, so the end of each text
+is read as well: an unfinished sentence, item or row, a mark of shortening, or a last word that is
+only the beginning of known words.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +26,11 @@ from siltstone.plans.cut import written
 
 #: Of shorter texts only a cut inside a word counts: being the beginning of another text says nothing else about labels.
 LEAST_PREFIX = 32
+LEAD = 12
+#: Beginnings that recur (8 bytes each) are broadcast up to this number; more are joined by a shuffle.
+LEADS = 1_000_000
+#: Characters by which texts are spread over tasks in their order.
+ORDERED = 512
 OVERLAP = 24
 #: A last word is cut if words that continue it are so many times as frequent as the word itself.
 CONTINUED = 10
@@ -188,10 +196,23 @@ def _hash(value: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def endings(chunks: DataFrame) -> DataFrame:
-    """One row per id: kind, marked, closed, open, word, and hashes of the core and of the outer tokens."""
+def readings(chunks: DataFrame) -> DataFrame:
+    """One pass over all texts: a row per text as its end is read, and rows (w, n) that count words.
+
+    Of a text: kind, marked, closed, open, word, and hashes of the core, of its first ``LEAD`` characters
+    (null where it has fewer) and of the outer tokens. Words are counted per task, without each text's last.
+    """
+    names = ["id", "document_id", "chunk_index", "kind", "marked", "closed", "open", "word", "core", "lead", "tail", "head", "w", "n"]
+    kinds_ = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            cols = [pa.nulls(len(counts), k) for k in kinds_[:-2]] + [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
         for batch in batches:
             texts = [t or "" for t in batch.column(3).to_pylist()]
             kinds = structure.char_classes(texts)
@@ -202,26 +223,68 @@ def endings(chunks: DataFrame) -> DataFrame:
                 tokens = TOKEN.findall(text)
                 tail = _hash(" ".join(tokens[-OVERLAP:])) if len(tokens) >= OVERLAP else None
                 head = _hash(" ".join(tokens[:OVERLAP])) if len(tokens) >= OVERLAP else None
-                rows.append((*own, _hash(stripped(text)[0]), tail, head))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds_ = (pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(j) for j in range(3)], *[pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)]], names=["id", "document_id", "chunk_index", "kind", "marked", "closed", "open", "word", "core", "tail", "head"])
+                core = stripped(text)[0]
+                rows.append((*own, _hash(core), _hash(core[:LEAD]) if len(core) >= LEAD else None, tail, head))
+                if text:
+                    counts.update(words(text)[:-1])
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays([*[batch.column(j) for j in range(3)], *[pa.array(c, t) for c, t in zip(cols, kinds_[3:-2], strict=True)], pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names)
+            if len(counts) > 300_000:
+                yield counted()
+        yield counted()
+
+    schema = "id string, document_id string, chunk_index int, kind string, marked boolean, closed boolean, open boolean, word string, core bigint, lead bigint, tail bigint, head bigint, w string, n bigint"
+    return chunks.select("id", "document_id", "chunk_index", "content").mapInArrow(run, schema)
+
+
+def _listed(hashes: DataFrame) -> np.ndarray | None:
+    """The hashes in order, if they are few enough to go to every task."""
+    if hashes.count() > LEADS:
+        return None
+    return np.sort(hashes.toArrow().column(0).to_numpy())
+
 
-    schema = "id string, document_id string, chunk_index int, kind string, marked boolean, closed boolean, open boolean, word string, core bigint, tail bigint, head bigint"
-    return chunks.select("id", "document_id", "chunk_index", "content").mapInArrow(run, schema).dropDuplicates(["id"])
+def _among(value: int, listed: np.ndarray | None) -> bool:
+    if listed is None:
+        return True
+    at = int(np.searchsorted(listed, value))
+    return at < len(listed) and listed[at] == value
 
 
-def continuations(chunks: DataFrame) -> DataFrame:
+def continuations(chunks: DataFrame, ends: DataFrame) -> DataFrame:
     """(core, next): for each core text that is a strict prefix of another, what follows in that one.
 
-    Equal texts are merged first, then all are sorted by value over all tasks, and each is compared
-    with its successor. The last text of a task is compared with the first of the next task.
+    ``ends`` are the text rows of ``readings``. Only texts whose first ``LEAD`` characters another text
+    has too leave the scan. Equal ones are merged, all are sorted by value over all tasks, and each is
+    compared with its successor. The last text of a task is compared with the first of the next task.
+    A core of fewer than ``LEAD`` characters counts where a longer one goes on within its last word.
     """
-
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = chunks.sparkSession
+    cores = ends.where("kind <> 'empty'").select("core", "lead").distinct()
+    common = cores.where("lead is not null").groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("lead")
+    small = cores.where("lead is null").select("core").distinct()
+    shared = spark.sparkContext.broadcast((_listed(common), _listed(small)))
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leads, shorts = shared.value
         for batch in batches:
-            own = [c for t in batch.column(0).to_pylist() if t and (c := stripped(t)[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([_hash(c) for c in own], pa.int64()), pa.array(own, pa.string())], names=["core", "text"])
+            rows = []
+            for text in batch.column(0).to_pylist():
+                if not text:
+                    continue
+                lead = _hash(text[:LEAD])
+                if len(text) >= LEAD and _among(lead, leads):
+                    core = stripped(text)[0]
+                    if len(core) >= LEAD:
+                        rows.append((_hash(core), lead, core, None))
+                for k in range(1, min(LEAD, len(text))):
+                    if text[k - 1].isalnum() and text[k].isalnum():
+                        h = _hash(text[:k])
+                        if _among(h, shorts) and k < len(stripped(text)[0]):
+                            rows.append((h, None, None, text[k : k + 24]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["core", "lead", "text", "next"])
 
     def successors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -242,9 +305,16 @@ def continuations(chunks: DataFrame) -> DataFrame:
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((held[0], None, task, "last", held[1]), kinds, strict=True)], names=names)
 
-    distinct = chunks.select("content").mapInArrow(cores, "core bigint, text string").groupBy("core").agg(F.first("text").alias("text"))
-    # Byte order, in which every extension of a text follows it before any other text.
-    ordered = distinct.repartitionByRange("text").sortWithinPartitions("text")
+    started = written(chunks.select("content").mapInArrow(begun, "core bigint, lead bigint, text string, next string"), "begun")
+    long = started.where("text is not null")
+    if shared.value[0] is None:
+        long = long.join(common, "lead", "left_semi")
+    short = started.where("text is null").select("core", "next")
+    if shared.value[1] is None:
+        short = short.join(small, "core", "left_semi")
+    distinct = long.groupBy("core").agg(F.first("text").alias("text"))
+    # Byte order, in which every extension of a text follows it before any other text. The spread looks at the first characters only.
+    ordered = distinct.repartitionByRange(F.substring("text", 1, ORDERED)).sortWithinPartitions("text")
     found = written(ordered.mapInArrow(successors, "core bigint, next string, task int, edge string, text string"), "successors")
     inside = found.where(F.col("edge").isNull()).select("core", "next")
     # Tasks without rows lie between: the one before is the last that had any. One row per task.
@@ -254,37 +324,17 @@ def continuations(chunks: DataFrame) -> DataFrame:
     across = last.join(first, "at").where(F.startswith(F.col("first"), F.col("held")))
     across = across.select("core", "held", F.substring(F.col("first"), F.length("held") + 1, F.lit(24)).alias("next"))
     whole = (F.length("held") >= LEAST_PREFIX) | (F.col("held").rlike(r"[\p{L}\p{N}]$") & F.col("next").rlike(r"^[\p{L}\p{N}]"))
-    return inside.unionByName(across.where(whole).drop("held"))
-
-
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """(w, n): occurrences of each word that is not the last of its text, counted per task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
-            counts.clear()
-            return batch
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(words(text)[:-1])
-            if len(counts) > 300_000:
-                yield out()
-        yield out()
-
-    return chunks.select("content").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    return inside.unionByName(across.where(whole).drop("held")).unionByName(short)
 
 
 def cut_words(last: DataFrame, counts: DataFrame) -> DataFrame:
     """(word): the words of ``last`` that are only the beginning of known words."""
     asked = last.select("word").distinct()
-    begun = counts.select("n", F.col("w"), F.explode(F.sequence(F.lit(1), F.length("w"))).alias("k")).where(F.col("k") <= 40)
+    begun = counts.select("n", F.col("w"), F.explode(F.sequence(F.lit(1), F.length("w"))).alias("k"))
+    # Of the beginnings of all words only those that are asked for leave the scan of the counts, if these are few.
+    few = asked.count() <= LEADS
     begun = begun.select(F.substring(F.col("w"), F.lit(1), F.col("k")).alias("word"), F.when(F.col("k") == F.length("w"), F.col("n")).otherwise(0).alias("whole"), F.when(F.col("k") < F.length("w"), F.col("n")).otherwise(0).alias("more"))
-    known = begun.join(asked, "word", "left_semi").groupBy("word").agg(F.sum("whole").alias("whole"), F.sum("more").alias("more"))
+    known = begun.join(F.broadcast(asked) if few else asked, "word", "left_semi").groupBy("word").agg(F.sum("whole").alias("whole"), F.sum("more").alias("more"))
     return known.where((F.col("more") > 0) & (F.col("more") >= CONTINUED * F.col("whole"))).select("word")
 
 
@@ -306,13 +356,15 @@ def truncated(chunks: DataFrame) -> DataFrame:
     complete text that happens to have the length of a field limit is not either. Rows delivered
     again give one row. A document of any size is joined by (document_id, chunk_index).
     """
-    ends = written(endings(chunks), "endings")
+    read = written(readings(chunks), "readings")
+    ends = written(read.where("w is null").drop("w", "n").dropDuplicates(["id"]), "endings")
+    counts = read.where("w is not null").groupBy("w").agg(F.sum("n").alias("n"))
     after = ends.select(F.col("document_id").alias("_d"), (F.col("chunk_index") - 1).alias("_i"), F.col("head").alias("_head")).where("_head is not null").groupBy("_d", "_i", "_head").agg(F.lit(True).alias("goes_on"))
     on = (ends["document_id"] == after["_d"]) & (ends["chunk_index"] == after["_i"]) & (ends["tail"] == after["_head"])
     joined = ends.join(after, on, "left").drop("_d", "_i", "_head")
-    joined = joined.join(continuations(chunks).groupBy("core").agg(F.min("next").alias("next")), "core", "left")
+    joined = joined.join(continuations(chunks, ends).groupBy("core").agg(F.min("next").alias("next")), "core", "left")
     asked = ends.where("kind in ('item', 'row', 'unsorted') and not open and not closed and word != ''").select("word")
-    cut = cut_words(asked, word_counts(chunks)).withColumn("cut", F.lit(True))
+    cut = cut_words(asked, counts).withColumn("cut", F.lit(True))
     joined = joined.join(cut, "word", "left")
     longer = F.col("next").isNotNull()
     inside = _inside(F.col("next"), F.col("word"), F.col("kind"), F.col("closed"))

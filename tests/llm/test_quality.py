@@ -19,6 +19,14 @@ def test_classes_of_held_out_texts(spark):
     assert out["e"]["tokens"] == out["n"]["tokens"] == out["b"]["tokens"] == 0 and out["e"]["token_count_trusted"] and not out["b"]["token_count_trusted"] and out["n"]["token_count_trusted"] is None
 
 
+def test_likelihood_rises_until_it_converges(spark):
+    rows = [(f"x{i}", t, None) for i, (_, _, t) in enumerate(EXAMPLES * 5)]
+    stats = Q.text_statistics(spark.createDataFrame(rows, "id string, content string, token_count int"))
+    model = Q.fit(stats, rounds=40)
+    assert model.converged and len(model.likelihoods) < 40 and model.likelihoods[-1] > model.likelihoods[0]
+    assert not Q.fit(stats, rounds=1).converged
+
+
 def test_empty_table(spark):
     assert Q.assessed(spark.createDataFrame([], "id string, content string, token_count int")).count() == 0
 

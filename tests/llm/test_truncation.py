@@ -1,3 +1,5 @@
+import pytest
+
 from siltstone.llm import truncation as T
 
 SENTENCE = "The wide market of Norhaven was opened by a society in 1820, although most of the trade has moved to the coast. "
@@ -45,14 +47,19 @@ def test_windows_that_go_on_are_no_cases(spark):
     assert {k for k, v in found(spark, rows).items() if v} == {"last"}
 
 
-def test_successor_beyond_the_task(spark):
+@pytest.mark.parametrize("leads", [1_000_000, 3])
+def test_longer_copies_equal_brute_force(spark, monkeypatch, leads):
+    monkeypatch.setattr(T, "LEADS", leads)
+    monkeypatch.setattr(T, "ORDERED", 20)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         base = "".join(chr(97 + i % 26) for i in range(40))
-        texts = [base + "x" * k for k in range(60)]
-        df = spark.createDataFrame([(t,) for t in texts], "content string")
-        got = {r["core"] for r in T.continuations(df).collect()}
-        assert got == {T._hash(t) for t in texts[:-1]}
+        texts = [base + "x" * k for k in range(60)] + ["Northgate Works fell sharply", "Northgate Wor", "Northgate", "North", "Nor th", "Nor", "other words here", "Northgate Works"]
+        df = spark.createDataFrame([(str(i), "d", i, t) for i, t in enumerate(texts)], "id string, document_id string, chunk_index int, content string")
+        ends = T.readings(df).where("w is null").drop("w", "n")
+        got = {r["core"] for r in T.continuations(df, ends).collect()}
+        goes_on = lambda t, x: x.startswith(t) and x != t and (len(t) >= T.LEAST_PREFIX or (t[-1] + x[len(t)]).isalnum())
+        assert got == {T._hash(t) for t in texts if any(goes_on(t, x) for x in texts)} and T._hash("North") in got and T._hash("Northgate Works") not in got
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
