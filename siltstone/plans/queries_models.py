@@ -13,6 +13,7 @@ from siltstone.operators import hybrid as H
 from siltstone.operators import ingest as I
 from siltstone.operators import models as M
 from siltstone.plans.cut import scratch, written
+from siltstone.plans.queries_search import _around
 from siltstone.plans.ranks import row_numbers
 from siltstone.plans.registry import query
 from siltstone.sources import reports as R
@@ -257,7 +258,7 @@ _NEIGHBOUR_SQL = f"""WITH {_ONCE}, seeds AS (SELECT query_id, document_id, chunk
 def neighbor_benchmark(spark: SparkSession, d: str) -> DataFrame:
     """Neighbour expansion of every query, stopped after a part of them and resumed under the same settings."""
     seeds = table(spark, d, "reranked_results", "run", "query_id", "rank", "document_id", "chunk_index").where("run = 'flat' and rank <= 3").drop("run")
-    chunks = delivered_once(table(spark, d, "document_chunks", "id", "document_id", "chunk_index", "section_path", "content", "created_at")).drop("created_at")
+    chunks = _around(spark, d, seeds)
 
     def run(left: DataFrame) -> DataFrame:
         found = H.neighbours(seeds.join(left, "query_id", "left_semi"), chunks, "query_id")

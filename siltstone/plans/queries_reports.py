@@ -145,10 +145,17 @@ _FAIL_SQL = f"""WITH {_ONCE}, h AS (SELECT DISTINCT r.run, r.query_id, r.rank, r
   WHEN (fs >= 0.4 OR fm OR cm) AND NOT hm AND hs < fs THEN 'ann_miss' WHEN coalesce(recall, 0) >= 0.5 THEN 'minor_ranking_difference' ELSE 'uncertain' END AS label FROM k)"""
 
 
+def _texts(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    """(chunk_id, content) of the chunks in ``hits``: only these move."""
+    wanted = hits.select(F.col("chunk_id").alias("id")).distinct()
+    rows = table(spark, d, "document_chunks", "id", "content", "created_at").join(wanted, "id", "left_semi")
+    return delivered_once(rows).select(F.col("id").alias("chunk_id"), "content")
+
+
 def _failures(spark: SparkSession, d: str, more: bool = False) -> DataFrame:
     h = table(spark, d, "reranked_results", "run", "query_id", "rank", "chunk_id", "title", "similarity").distinct()
-    text = delivered_once(table(spark, d, "document_chunks", "id", "content", "created_at")).select(F.col("id").alias("chunk_id"), "content")
     head = h.where("rank <= 3")
+    text = _texts(spark, d, head.where("run = 'flat'"))
     first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
     joined = head.where("run = 'flat'").join(text, "chunk_id", "left").withColumn("t", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit(""))))
     flat = joined.groupBy("query_id").agg(first("title").alias("ftitle"), first("similarity").alias("fsim"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "t"))), lambda x: x["t"]), " ").alias("ftext"))
@@ -401,6 +408,23 @@ def report_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("run string, query_id bigint, chunk_id string").json(path).groupBy("run", "query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("chunk_id").alias("first_chunk"))
 
 
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_orderkey) AS first_key FROM orders GROUP BY 1")
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A table written as CSV into the shared folder and read again by its schema."""
+    path = scratch(spark, "csv")
+    R.write_csv(table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_totalprice"), path)
+    back = R.read_csv(spark, path, "o_orderkey bigint, o_orderstatus string, o_totalprice double")
+    return back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_orderkey").alias("first_key"))
+
+
+@query("SELECT query, count(*) AS n FROM queries WHERE query IS NOT NULL GROUP BY 1")
+def query_files(spark: SparkSession, d: str) -> DataFrame:
+    """Queries kept as a .jsonl file, read by its shape."""
+    path = scratch(spark, "queries") + ".jsonl"
+    table(spark, d, "queries", "query").write.json(path)
+    return R.read_queries(spark, path).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def grouped_totals(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount")
@@ -443,7 +467,7 @@ def chunks_with_documents(spark: SparkSession, d: str) -> DataFrame:
  SELECT query_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY rank, chunk_id)) AS context_hash, count(*) AS passages FROM p GROUP BY 1""")
 def context_strings(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "reranked_results", "run", "query_id", "rank", "chunk_id", "title", "similarity").where("run = 'flat' and rank <= 3").drop("run").distinct()
-    text = delivered_once(table(spark, d, "document_chunks", "id", "content", "created_at")).select(F.col("id").alias("chunk_id"), "content")
+    text = _texts(spark, d, hits)
     part = T.scored_passage(F.col("rank"), F.col("title"), F.col("content"), F.col("similarity"))
     parts = hits.join(text, "chunk_id", "left").select("query_id", F.struct("rank", "chunk_id", part.alias("t")).alias("p"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"]), "\n\n")

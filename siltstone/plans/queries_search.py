@@ -115,18 +115,27 @@ _SEED_SQL = f"""WITH {_ONCE}, seeds AS (SELECT query_id, document_id, chunk_inde
 _PASSAGE = "SELECT query_id, rank, document_id, chunk_index, string_agg(i::VARCHAR, ',' ORDER BY i, id) AS neighbour_indexes, string_agg(id, ',' ORDER BY i, id) AS neighbour_ids, string_agg('[chunk_index=' || i || ' section=' || coalesce(section_path, '') || ']' || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY i, id) AS passage FROM met"
 
 
+def _around(spark: SparkSession, d: str, seeds: DataFrame) -> DataFrame:
+    """The chunks that can be neighbours of a seed: only these bring their texts."""
+    spots = seeds.select("document_id", F.explode(F.sequence(F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("chunk_index")).distinct()
+    rows = table(spark, d, "document_chunks", "id", "document_id", "chunk_index", "section_path", "content", "created_at")
+    return delivered_once(rows.join(spots, ["document_id", "chunk_index"], "left_semi")).drop("created_at")
+
+
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reranked_results", "run", "query_id", "rank", "document_id", "chunk_index").where("run = 'flat' and rank <= 3").drop("run")
 
 
 @query(f"{_SEED_SQL} {_PASSAGE} GROUP BY 1, 2, 3, 4")
 def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
-    return H.neighbours(_seeds(spark, d), _chunks(spark, d, "document_id", "chunk_index", "section_path", "content"), "query_id")
+    seeds = _seeds(spark, d)
+    return H.neighbours(seeds, _around(spark, d, seeds), "query_id")
 
 
 @query(f"{_SEED_SQL} {_PASSAGE} WHERE section_path IS NOT DISTINCT FROM own GROUP BY 1, 2, 3, 4")
 def neighbor_expand_same_section(spark: SparkSession, d: str) -> DataFrame:
-    return H.neighbours(_seeds(spark, d), _chunks(spark, d, "document_id", "chunk_index", "section_path", "content"), "query_id", same_section=True)
+    seeds = _seeds(spark, d)
+    return H.neighbours(seeds, _around(spark, d, seeds), "query_id", same_section=True)
 
 
 @query("""WITH h AS (SELECT DISTINCT query_id, rank, chunk_id, source FROM reranked_results WHERE run = 'hybrid')
@@ -325,7 +334,8 @@ _RERANK_SQL = f"""WITH {_ONCE}, cand AS (SELECT DISTINCT h.query_id, h.rank AS o
 @query(_RERANK_SQL)
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "reranked_results", "run", "query_id", "rank", "chunk_id").where("run = 'flat'").drop("run").distinct()
-    texts = _chunks(spark, d, "content").withColumnRenamed("id", "chunk_id")
+    wanted = hits.where("rank <= 20").select(F.col("chunk_id").alias("id")).distinct()
+    texts = delivered_once(table(spark, d, "document_chunks", "id", "content", "created_at").join(wanted, "id", "left_semi")).select(F.col("id").alias("chunk_id"), "content")
     cands = hits.join(table(spark, d, "queries", "query_id", "query"), "query_id").join(texts, "chunk_id")
     return H.rerank(cands, "query_id", "chunk_id", H.overlap_score(F.col("query"), F.col("content"))).select("query_id", "chunk_id", "original_rank", "rerank_score", "rank")
 
