@@ -26,15 +26,16 @@ ANCHOR = 0.002
 
 
 def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, stats) of each text. An empty or blank text has 0 everywhere."""
+    """(counts, stats) of each text. An empty or blank text has 0 everywhere, but for the tokens that other than plain white space makes."""
     kinds = structure.char_classes(texts)
     counts = np.zeros((len(texts), len(COUNTS)), np.int32)
     stats = np.zeros((len(texts), len(STATS)), np.float64)
     for i, text in enumerate(texts):
         parts = text.split()
+        lines = [x for x in text.splitlines() if x and not x.isspace()]
+        counts[i] = len(TOKEN.findall(text)), len(lines)
         if not parts:
             continue
-        lines = [x for x in text.splitlines() if x and not x.isspace()]
         marked = sum(structure.MARKER.match(x) is not None for x in lines)
         if marked:
             parts = [p for x in lines for p in structure.MARKER.sub("", x, count=1).split()] or parts
@@ -42,7 +43,6 @@ def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         n = len(parts)
         solid = max(1, int(kinds[i].sum() - kinds[i, structure.SPACE]))
         delimiters = text.count("|") + text.count("\t") + text.count("{") + text.count("<") + text.count("=") + text.count("/") + text.count("  ") + (text.count(",") - text.count(", "))
-        counts[i] = len(TOKEN.findall(text)), len(lines)
         stats[i] = (
             structure.running_share(flags), sum(flags) / n, sum(structure.SENTENCE_END.search(x.rstrip()) is not None for x in lines) / len(lines),
             min(solid / n, 40.0), (kinds[i, structure.SYMBOL] + kinds[i, structure.ODD]) / solid, kinds[i, structure.DIGIT] / solid,

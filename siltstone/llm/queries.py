@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import leakage, neardup, packing, quality, ranking, spans, splitting, truncation, vectors
 from siltstone.operators import vectors as exact_search
+from siltstone.plans.cut import written
 from siltstone.sources.tables import table
 
 SCORES = {"similarity": True, "rerank_score": True, "original_rank": False}
@@ -21,6 +22,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_statistics(spark, d).where("kind != 'prose' and tokens >= 10").select("id")
 
 
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    stats = quality.text_statistics(table(spark, d, "document_chunks", "id", "content", "token_count"))
+    trusted = F.when(F.col("token_count_trusted").isNull(), "unknown").when(F.col("token_count_trusted"), "yes").otherwise("no")
+    return stats.select("id", "tokens", trusted.alias("trusted"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     near = vectors.nearest(table(spark, d, "document_chunks", "id", "embedding"), least=0.899)
     near = near.where(F.col("cosine") >= 0.9 - 1e-6)
@@ -68,6 +75,15 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.renumbered(table(spark, d, "document_chunks", "id", "document_id", "chunk_index", "content"))
 
 
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Of every split chunk the tokens that its pieces cover without their overlaps, and whether all pieces keep the limit and the overlap."""
+    pieces = splitting.split_oversized(table(spark, d, "document_chunks", "id", "content"))
+    ends = F.array_sort(F.collect_list(F.struct("piece", "first_token", "tokens")))
+    own = pieces.groupBy("id").agg(ends.alias("p"), F.sum("tokens").alias("sum"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("most"))
+    joined = F.forall(F.sequence(F.lit(1), F.col("n").cast("int") - 1), lambda i: F.get("p", i)["first_token"] + 24 == F.get("p", i - 1)["first_token"] + F.get("p", i - 1)["tokens"])
+    return own.select("id", (F.col("sum") - 24 * (F.col("n") - 1)).alias("tokens"), ((F.col("most") <= 256) & joined).alias("fits"))
+
+
 def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.fused_ranking(table(spark, d, "reranked_results", *LIST, "chunk_id", *SCORES), LIST, "chunk_id", SCORES)
 
@@ -96,6 +112,13 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def p7_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document the tokens and parts that are assigned, and whether no container of them holds more than its capacity."""
+    placed = written(_packed(spark, d), "placed")
+    full = placed.groupBy("container").agg((F.sum("tokens") <= 1024).alias("fits"))
+    return placed.join(full, "container").groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.max("parts").alias("parts"), F.min("fits").alias("fits"))
+
+
 def p7_bpe_containers(spark: SparkSession, d: str, vocabulary: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """The same in tokens of a public byte-level vocabulary, a file that every executor can read."""
     return packing.pack(packing.sizes_of(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", vocabulary), "doc_id")
@@ -114,6 +137,10 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id", "kind").agg(F.countDistinct("doc_id").alias("documents"), F.max("longest").alias("longest"))
 
 
+def p8_exact(spark: SparkSession, d: str) -> DataFrame:
+    return p8_items(spark, d).where("kind = 'exact'").drop("kind")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.span_pairs(*spans.shared_spans(table(spark, d, "documents", "doc_id", "text")))
 
@@ -122,13 +149,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(*spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_neighbours, p2_recall, p3_found, p3_evidence, p3_rates, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p7_bpe_containers, p8_found, p8_items, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p1_counts, p2_found, p2_neighbours, p2_recall, p3_found, p3_evidence, p3_rates, p4_found, p4_pieces, p4_coverage, p5_found, p5_ranking, p6_found, p6_groups, p7_found, p7_containers, p7_assigned, p7_bpe_containers, p8_found, p8_items, p8_exact, p9_found, p9_shares)}
 
 TOKENS = r"regexp_extract_all({}, '[^ \t\n\r\x0B\f]+')"
 
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 SQL = {
+    "p1_counts": f"SELECT id, len({TOKENS.format('any_value(content)')}) AS tokens, CASE WHEN any_value(token_count) IS NULL THEN 'unknown' WHEN any_value(token_count) = len({TOKENS.format('any_value(content)')}) THEN 'yes' ELSE 'no' END AS trusted FROM document_chunks GROUP BY 1",
+    "p4_coverage": f"SELECT DISTINCT id, len({TOKENS.format('content')}) AS tokens, true AS fits FROM document_chunks WHERE len({TOKENS.format('content')}) > 256",
+    "p7_assigned": f"SELECT doc_id, n AS tokens, greatest(1, ceil(n / 1024))::INT AS parts, true AS fits FROM (SELECT doc_id, coalesce(len({TOKENS.format('text')}), 0) AS n FROM documents)",
+    "p8_exact": f"""WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), e AS (SELECT item_id, {WORDS.format('passage')} AS w FROM eval_items),
+     dg AS (SELECT doc_id, p, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 11)) AS p FROM d)), eg AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 11)) AS p FROM e)),
+     h AS (SELECT DISTINCT doc_id, item_id, p FROM dg JOIN eg USING (g)), r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY p) AS island FROM h), l AS (SELECT doc_id, item_id, count(*) + 11 AS longest FROM r GROUP BY doc_id, item_id, island)
+     SELECT item_id, count(DISTINCT doc_id) AS documents, max(longest) AS longest FROM l GROUP BY 1""",
     "p2_found": """WITH u AS (SELECT DISTINCT id, embedding::DOUBLE[] AS e FROM document_chunks WHERE embedding IS NOT NULL AND len(embedding) = 64
        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
      n AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS m FROM u), r AS (SELECT a.id AS i, b.id AS j, list_inner_product(a.e, b.e) / (a.m * b.m) AS c FROM n a, n b WHERE a.id <> b.id),
