@@ -10,7 +10,7 @@ from siltstone.functions import text as T
 from siltstone.operators import chunking as C
 from siltstone.plans.cut import written
 from siltstone.plans.ranks import running_total
-from siltstone.plans.registry import query
+from siltstone.plans.registry import SQL, query
 from siltstone.sources.tables import delivered_once, table
 
 _W = r"[ \t\n\r\x0B\f]"
@@ -188,6 +188,18 @@ def section_split(spark: SparkSession, d: str) -> DataFrame:
     return C.sections(_documents(spark, d), "doc_id", "title", "text").select("doc_id", "section_index", "section_title", "section_path", F.sha2("section_text", 256).alias("text_hash"))
 
 
+#: All characters that are white space in any of the engines.
+_SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(SQL["section_split"].replace("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sid) - 1 AS section_index, section_title, section_path, sha256(body) AS text_hash FROM al", f"SELECT doc_id, md5(regexp_replace(string_agg(body, '' ORDER BY sid), '{_SPACE}+', '', 'g')) AS text_hash, true AS fits FROM al GROUP BY 1"))
+def section_chunk_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of a document in order, without white space, are its sections in order: nothing is lost, repeated or too long."""
+    made = C.section_chunks(_documents(spark, d), "doc_id", "title", "text").select("doc_id", "chunk_index", "content", "token_count")
+    own = made.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c"), (F.max("token_count") <= T.MAX_TOKENS).alias("fits"))
+    return own.select("doc_id", F.md5(F.regexp_replace(F.array_join("c.content", ""), f"{_SPACE}+", "")).alias("text_hash"), "fits")
+
+
 @query()
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     return C.section_chunks(_documents(spark, d), "doc_id", "title", "text").drop("content")

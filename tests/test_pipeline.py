@@ -199,6 +199,29 @@ def test_deliveries_and_cuts(spark):
     assert written(df, "x").count() == 4 and shared_dir(spark)
 
 
+def test_written_tables_can_be_cleared(spark):
+    import os
+
+    from siltstone.plans.cut import cleared, scratch
+
+    df = written(spark.range(3), "gone")
+    folder = os.path.dirname(scratch(spark, "x"))
+    assert df.count() == 3 and any(n.startswith("gone-") for n in os.listdir(folder))
+    cleared(spark)
+    assert not os.path.exists(folder) and written(spark.range(2)).count() == 2
+
+
+def test_a_cluster_needs_its_shared_folder(spark, monkeypatch):
+    from siltstone.plans import cut
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})()
+        sparkContext = type("S", (), {"master": "local-cluster[2,1,1024]", "getConf": staticmethod(lambda: Session.conf)})()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        cut.shared_dir(Session())
+
+
 def test_streams_equal_batches(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     rows = [(t + dt.timedelta(minutes=17 * i), "ab"[i % 2], i % 3, float(i)) for i in range(40)]
