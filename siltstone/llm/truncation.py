@@ -26,7 +26,8 @@ from siltstone.plans.cut import written
 
 #: Of shorter texts only a cut inside a word counts: being the beginning of another text says nothing else about labels.
 LEAST_PREFIX = 32
-LEAD = 12
+#: Texts are met by their first characters; shorter ones by the hashes of all beginnings of longer texts.
+LEAD = LEAST_PREFIX
 #: Beginnings that recur (8 bytes each) are broadcast up to this number; more are joined by a shuffle.
 LEADS = 1_000_000
 #: Characters by which texts are spread over tasks in their order.
@@ -40,6 +41,9 @@ _MARK = re.compile(r"[  ]*(?:\[(?:\.{3,}|…)\]|\((?:\.{3,}|…)\)|\.{3,}|…|\
 _CLOSED = re.compile(r"(?:[.!?][\"'”’»“)\]*_]*(?:\s*\([^()\n]*\))?|\[\d+\]|(?:^|[\s(])[^\W\d][^().!?\n]{0,60}, \d{1,4}\))(?:\s*\[\d+\])*$")
 #: The beginning of an escape, an entity or a tag: cut in the middle of a character or mark-up.
 _PARTIAL = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#?\w{1,6})?|</?(?:[a-z]{1,6}\d?)?)$")
+#: What a text must end with to match ``_MARK``: tells most texts without a search of them.
+_MARK_ENDS = ("...", "…", "...]", "…]", "...)", "…)", "truncated]", "shortened]", "cut]", "continued)", "truncated)", "more)", "read more", "continue reading")
+_PARTIAL_MOST = 12  # characters that ``_PARTIAL`` can match
 _HEADING = re.compile(r"={2,}[^=\n]+={2,}$|#{1,6} [^\n]+$")
 _FIELDS = (("||", " || "), ("|", "|"), ("\t", "\t"), ("</td>", "</td>"), ('": ', '": '), (",", ","), ("  ", None))
 _PAIRS = (" – ", " - ", ": ")
@@ -56,9 +60,9 @@ def stripped(text: str) -> tuple[str, bool]:
     marked = False
     if core.endswith("�") and core.count("�") <= 2:
         core, marked = core.rstrip("�").rstrip(_TRIM), True
-    elif (m := _PARTIAL.search(core)) and "\\" not in core[: m.start()] and core.count("<") + core.count("&") <= 3:
+    elif (m := _PARTIAL.search(core, max(0, len(core) - _PARTIAL_MOST))) and "\\" not in core[: m.start()] and core.count("<") + core.count("&") <= 3:
         core, marked = core[: m.start()], True
-    if m := _MARK.search(core):
+    if core[-16:].lower().endswith(_MARK_ENDS) and (m := _MARK.search(core)):
         if m.start() > 0:
             core, marked = core[: m.start()].rstrip(_TRIM), True
     return core, marked
@@ -145,7 +149,8 @@ def ending(text: str, odd: float) -> tuple[str, bool, bool, bool, str]:
     n = len(parts)
     own = words(parts[-1])
     word = own[-1] if own and core[-1].isalpha() else ""
-    closed = _CLOSED.search(core) is not None
+    # All ends but the longest lie in the last characters.
+    closed = (_CLOSED.search(core, max(0, len(core) - 200)) or _CLOSED.search(core)) is not None
     item_marker = structure.MARKER.match(last)
     marks = sum(structure.MARKER.match(x) is not None for x in lines)
     bare = [p for x in lines for p in structure.MARKER.sub("", x, count=1).split()] or parts
@@ -239,17 +244,10 @@ def readings(chunks: DataFrame) -> DataFrame:
 
 
 def _listed(hashes: DataFrame) -> np.ndarray | None:
-    """The hashes in order, if they are few enough to go to every task."""
+    """The hashes, if they are few enough to go to every task."""
     if hashes.count() > LEADS:
         return None
-    return np.sort(hashes.toArrow().column(0).to_numpy())
-
-
-def _among(value: int, listed: np.ndarray | None) -> bool:
-    if listed is None:
-        return True
-    at = int(np.searchsorted(listed, value))
-    return at < len(listed) and listed[at] == value
+    return hashes.toArrow().column(0).to_numpy()
 
 
 def continuations(chunks: DataFrame, ends: DataFrame) -> DataFrame:
@@ -267,21 +265,21 @@ def continuations(chunks: DataFrame, ends: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((_listed(common), _listed(small)))
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leads, shorts = shared.value
+        leads, shorts = (None if v is None else set(v.tolist()) for v in shared.value)
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
                 lead = _hash(text[:LEAD])
-                if len(text) >= LEAD and _among(lead, leads):
+                if len(text) >= LEAD and (leads is None or lead in leads):
                     core = stripped(text)[0]
                     if len(core) >= LEAD:
                         rows.append((_hash(core), lead, core, None))
                 for k in range(1, min(LEAD, len(text))):
                     if text[k - 1].isalnum() and text[k].isalnum():
                         h = _hash(text[:k])
-                        if _among(h, shorts) and k < len(stripped(text)[0]):
+                        if (shorts is None or h in shorts) and k < len(stripped(text)[0]):
                             rows.append((h, None, None, text[k : k + 24]))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["core", "lead", "text", "next"])
