@@ -46,7 +46,7 @@ def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         stats[i] = (
             structure.running_share(flags), sum(flags) / n, sum(structure.SENTENCE_END.search(x.rstrip()) is not None for x in lines) / len(lines),
             min(solid / n, 40.0), (kinds[i, structure.SYMBOL] + kinds[i, structure.ODD]) / solid, kinds[i, structure.DIGIT] / solid,
-            math.log1p(n / len(lines)), marked / len(lines), math.log1p(8 * delimiters / n), sum(p[0].isupper() for p in parts) / n,
+            math.log1p(n / len(lines)), marked / len(lines), math.log1p(8 * delimiters / n), sum(map(str.isupper, [p[0] for p in parts])) / n,
             math.sqrt(kinds[i, structure.ODD] / solid), 0.25 * math.log1p(n),
         )
     return counts, stats

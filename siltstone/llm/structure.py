@@ -55,20 +55,22 @@ def char_classes(texts: list[str]) -> np.ndarray:
     return out
 
 
-_FLAGS: dict[str, bool] = {}
+class _Flags(dict):
+    """Part -> whether it is a word of running sentences; computed when first asked for."""
+
+    def __missing__(self, part: str) -> bool:
+        flag = self[part] = part.strip(STRIP).lower() in SENTENCE_WORDS
+        return flag
+
+
+_FLAGS = _Flags()
 
 
 def sentence_flags(parts: list[str]) -> list[bool]:
-    """For each white-space separated part, whether it is a word of running sentences. Parts met before are looked up."""
+    """For each white-space separated part, whether it is a word of running sentences."""
     if len(_FLAGS) > 500_000:
         _FLAGS.clear()
-    out = []
-    for p in parts:
-        flag = _FLAGS.get(p)
-        if flag is None:
-            flag = _FLAGS[p] = p.strip(STRIP).lower() in SENTENCE_WORDS
-        out.append(flag)
-    return out
+    return [_FLAGS[p] for p in parts]
 
 
 def running_share(flags: list[bool]) -> float:
