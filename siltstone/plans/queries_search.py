@@ -362,7 +362,7 @@ def _run(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query(f"WITH {_RUNS_SQL}{_CAPPED} SELECT * FROM metrics")
 def rerank_compare(spark: SparkSession, d: str) -> DataFrame:
-    return E.ranking_metrics(_run(spark, d, "flat"), _run(spark, d, "ann"), "query_id", "chunk_id", [5, 10], True)
+    return E.ranking_metrics(_run(spark, d, "flat"), _run(spark, d, "ann"), "query_id", "chunk_id", [5, 10, 50], True)
 
 
 @query("""WITH h AS (SELECT DISTINCT run, query_id, rank, chunk_id, source FROM reranked_results) SELECT run, query_id, count(*) FILTER (WHERE source = 'semantic') AS semantic_only, count(*) FILTER (WHERE source = 'lexical') AS lexical_only,
